@@ -220,7 +220,7 @@ def label(text: Column) -> Column:
 def sample_id(dataset: str, row_index: Column) -> Column:
     """``<DATASET>_<zero padded index>`` (CV7); the index must be a stable source key."""
     prefix = dataset.upper().replace(" ", "_").replace("-", "_")
-    return F.concat(F.lit(prefix + "_"), F.lpad(row_index.cast("string"), 6, "0"))
+    return F.format_string(f"{prefix}_%06d", row_index.cast("bigint"))
 
 
 def assay_metadata(fields: dict[str, Column], constants: dict[str, str]) -> Column:
