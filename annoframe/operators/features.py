@@ -130,19 +130,25 @@ def position_stats(positions: Column, sequence: Column) -> list[Column]:
     return [_dbl(F.when(some, v).otherwise(0), k) for k, v in values.items()]
 
 
+def residue_text(residues: Column) -> Column:
+    """Anchor residues as one text, so that letter counts need no array functions."""
+    return F.array_join(residues, "")
+
+
 def _share(residues: Column, letters: str) -> Column:
-    hit = F.size(F.filter(residues, lambda r: r.isin(*letters)))
-    return F.when(F.size(residues) > 0, hit / F.size(residues)).otherwise(0)
+    n = F.length(residues)
+    return F.when(n > 0, _letter_count(residues, letters) / n).otherwise(0)
 
 
 def residue_composition(residues: Column) -> list[Column]:
-    """Share of each letter among the anchor residues (FE8)."""
+    """Share of each letter in the text of anchor residues (FE8)."""
     return [_dbl(_share(residues, a), f"anchor_res_{a}") for a in C.LETTERS]
 
 
 def residue_properties(residues: Column, edits: Column) -> list[Column]:
-    """Six residue group shares and three terminal counts (FE9); all zero without anchors."""
-    some = F.size(residues) > 0
+    """Six residue group shares and three terminal counts (FE9) from the text of anchor residues;
+    all zero without anchors."""
+    some = F.length(residues) > 0
     out = [_dbl(_share(residues, g), f"anchor_{k}_frac") for k, g in C.ANCHOR_GROUPS.items()]
     ends = F.size(of_family(edits, "n_terminal", "c_terminal"))
     tails = {
@@ -180,10 +186,10 @@ def diversity_block(edits: Column) -> list[Column]:
 
 def type_block(edits: Column) -> list[Column]:
     """Annotations of nine named types and of all others (FE12)."""
-    named = [
-        _dbl(F.size(F.filter(edits, lambda e, t=t: e["edit_type"] == t)), f"edit_type_{t}")
-        for t in C.COUNTED_TYPES
-    ]
+    def of_type(t: str) -> Column:
+        return F.size(F.filter(edits, lambda e: e["edit_type"] == t))
+
+    named = [_dbl(of_type(t), f"edit_type_{t}") for t in C.COUNTED_TYPES]
     others = F.size(F.filter(edits, lambda e: ~e["edit_type"].isin(*C.COUNTED_TYPES)))
     return [*named, _dbl(others, "edit_type_other")]
 
@@ -235,15 +241,26 @@ MODES = {
 }
 
 
+def with_anchors(df: DataFrame, edits: str = "edits") -> DataFrame:
+    """Helper columns the blocks share, computed once per row: ``_pos`` and ``_res``."""
+    ann = F.col(edits)
+    return df.withColumns(
+        {
+            "_pos": anchor_positions(ann),
+            "_res": residue_text(anchor_residues(ann)),
+        }
+    )
+
+
 def block_columns(
     mode: str,
     sequence: str = "sequence",
     edits: str = "edits",
     descriptors: Sequence[str] = C.DESCRIPTORS,
 ) -> list[Column]:
-    """Feature columns of a representation, in fixed order (FE14)."""
+    """Feature columns of a representation, in fixed order (FE14), over ``with_anchors`` rows."""
     seq, ann = F.col(sequence), F.col(edits)
-    positions, residues = anchor_positions(ann), anchor_residues(ann)
+    positions, residues = F.col("_pos"), F.col("_res")
     blocks = {
         "A": lambda: descriptor_block(descriptors, ann),
         "B1": lambda: position_stats(positions, seq),
@@ -291,7 +308,8 @@ def feature_names(mode: str, descriptors: Sequence[str] = C.DESCRIPTORS) -> list
 
 def select_blocks(df: DataFrame, mode: str, keep: Sequence[str], **columns) -> DataFrame:
     """``keep`` columns and the features of a representation; unused blocks are never computed."""
-    return df.select(*keep, *block_columns(mode, **columns))
+    ready = with_anchors(df, columns.get("edits", "edits"))
+    return ready.select(*keep, *block_columns(mode, **columns))
 
 
 def count_features(edits: Column) -> list[Column]:
@@ -370,16 +388,14 @@ def window_mean(sequence: Column, edits: Column, width: int = 2) -> list[Column]
     that have one (FE16). Works on the array in place, so no shuffle; none gives zeros."""
     spots = F.array_compact(F.transform(edits, lambda e: F.get(e["anchor_positions"], F.lit(0))))
     n = F.size(spots)
-    sample = window_columns(sequence, F.lit(0), width)
-    names = window_names(width)
-    assert len(sample) == len(names)
-    out = []
-    for i, name in enumerate(names):
+
+    def mean_of(i: int) -> Column:
         total = F.aggregate(
-            spots, F.lit(0.0), lambda a, p, i=i: a + window_columns(sequence, p, width)[i]
+            spots, F.lit(0.0), lambda a, p: a + window_columns(sequence, p, width)[i]
         )
-        out.append(_dbl(F.when(n > 0, total / n).otherwise(0), name))
-    return out
+        return F.when(n > 0, total / n).otherwise(0)
+
+    return [_dbl(mean_of(i), name) for i, name in enumerate(window_names(width))]
 
 
 def window_names(width: int = 2) -> list[str]:
