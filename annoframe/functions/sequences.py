@@ -6,7 +6,7 @@ anchor_positions and anchor_residues. Positions count from 0.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annoframe.functions.constants import LETTERS
@@ -14,6 +14,19 @@ from annoframe.functions.constants import LETTERS
 LETTER_CLASS = f"[{LETTERS}]"
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns so that each is evaluated once per row.
+
+    A projection may be inlined into every later use, and a filter on it is pushed below it with
+    the whole expression. Exploding a one-element array is a row-local step that neither crosses.
+    """
+    fields = [col.alias(name) for name, col in columns.items()]
+    keep = [c for c in df.columns if c not in columns]
+    return df.select(*keep, F.explode(F.array(F.struct(*fields))).alias("_once")).select(
+        *keep, *[F.col(f"_once.{name}").alias(name) for name in columns]
+    )
+
+
 def letters_of(text: Column) -> Column:
     """Array of the characters of ``text``."""
     return F.filter(F.split(text, ""), lambda c: c != "")

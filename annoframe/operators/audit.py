@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annoframe.functions import constants as C
-from annoframe.functions.sequences import LETTER_CLASS
+from annoframe.functions.sequences import LETTER_CLASS, once
 
 MIN_VIABLE = 100
 RECOMMENDED = 300
@@ -85,7 +85,8 @@ def flag_rows(
     ]
     if strict:
         reasons.append((weak, "weak_anchor_only"))
-    found = F.array_compact(F.array(*[F.when(c, F.lit(r)) for c, r in reasons]))
+    df = once(df, exclusion_reasons=F.array_compact(F.array(*[F.when(c, F.lit(r)) for c, r in reasons])))
+    found = F.col("exclusion_reasons")
     count = F.size(edits) if edits else F.lit(None).cast("int")
     out = df.select(
         "*",
@@ -99,7 +100,6 @@ def flag_rows(
         count.alias("edit_count"),
         F.coalesce(count == 1, F.lit(False)).alias("is_single_edit"),
         (F.col(assay) if assay else F.lit(None).cast("string")).alias("audit_assay_type"),
-        found.alias("exclusion_reasons"),
         (F.size(found) > 0).alias("is_excluded"),
     )
     return _mark_duplicates(out, key, duplicate_on)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annoframe.functions import constants as C
-from annoframe.functions.sequences import context, tagged_string
+from annoframe.functions.sequences import context, once, tagged_string
 
 # Rule ids, in the order they are tried.
 MIRRORED = "ncaa_d_amino_acid_v1"
@@ -35,8 +35,9 @@ def canonicalise(df: DataFrame, sequence: str, edit: str) -> DataFrame:
         .when((kind == "acetylation") & family.isin("sidechain", "n_terminal"), ACETYL)
         .when((family == "sidechain") & (kind == "phosphorylation"), PHOSPHATE)
     )
-    rows = df.withColumns(
-        {
+    rows = once(
+        df,
+        **{
             "rule_id": rule,
             "_p": F.when(rule == BRIDGE, F.get(spots, F.lit(0))).otherwise(
                 F.get(e["anchor_positions"], F.lit(0))
@@ -47,7 +48,7 @@ def canonicalise(df: DataFrame, sequence: str, edit: str) -> DataFrame:
     r, p, q = F.col("rule_id"), F.col("_p"), F.col("_q")
     letter = F.substring(seq, p + 1, F.lit(1))
     second = F.substring(seq, q + 1, F.lit(1))
-    rows = rows.withColumns({"_r": letter, "_r2": second})
+    rows = once(rows, _r=letter, _r2=second)
     letter, second = F.col("_r"), F.col("_r2")
     at_start = (family == "n_terminal") & (p == 0)
     atom = (
@@ -110,9 +111,7 @@ def canonicalise(df: DataFrame, sequence: str, edit: str) -> DataFrame:
             F.lit("single").alias("bond"),
         )
 
-    rows = rows.withColumns(
-        {"canonical_error": error, "_atom": atom, "_name": name, "_structure": structure}
-    )
+    rows = once(rows, canonical_error=error, _atom=atom, _name=name, _structure=structure)
     bad = F.col("canonical_error").isNotNull()
     attach, ctx = point(p, letter), context(seq, p)
     bridge = F.when(r == BRIDGE, point(q, second))

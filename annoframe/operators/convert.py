@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annoframe.functions import constants as C
-from annoframe.functions.sequences import anchor_status
+from annoframe.functions.sequences import anchor_status, once
 from annoframe.operators import validate
 
 PARSER_VERSION = "1.0.0"
@@ -274,12 +274,12 @@ def convert(
     if year:
         fields["publication_year"] = F.col(year).cast("string").try_cast("double").cast("int")
     raw = df.columns
-    step = df.withColumn("_placed", placed_tokens(parse_token_list(F.col(tokens)), extra_tokens))
-    step = step.withColumn("_seq", backbone(F.col("_placed"), strict))
-    step = step.withColumn("_id", sample_id(dataset, F.col(row_index)))
-    step = step.withColumn(
-        "_edits", annotate(F.col("_placed"), F.col("_seq"), shape_col, F.col("_id"))
+    step = once(df, _tokens=parse_token_list(F.col(tokens)))
+    step = once(step, _placed=placed_tokens(F.col("_tokens"), extra_tokens))
+    step = once(
+        step, _seq=backbone(F.col("_placed"), strict), _id=sample_id(dataset, F.col(row_index))
     )
+    step = once(step, _edits=annotate(F.col("_placed"), F.col("_seq"), shape_col, F.col("_id")))
     lab = F.col(label_col)
     out = step.select(
         F.col("_id").alias("sample_id"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annoframe.functions import constants as C
-from annoframe.functions.sequences import of_family, zero_nonfinite
+from annoframe.functions.sequences import of_family, once, zero_nonfinite
 from annoframe.operators import ranks
 
 
@@ -244,12 +244,7 @@ MODES = {
 def with_anchors(df: DataFrame, edits: str = "edits") -> DataFrame:
     """Helper columns the blocks share, computed once per row: ``_pos`` and ``_res``."""
     ann = F.col(edits)
-    return df.withColumns(
-        {
-            "_pos": anchor_positions(ann),
-            "_res": residue_text(anchor_residues(ann)),
-        }
-    )
+    return once(df, _pos=anchor_positions(ann), _res=residue_text(anchor_residues(ann)))
 
 
 def block_columns(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annoframe.functions import constants as C
+from annoframe.functions.sequences import once
 from annoframe.operators.metrics import finite
 
 Rule = tuple[str, Column]
@@ -136,7 +137,7 @@ def legacy_rules(sequence: str, mods: str) -> list[Rule]:
 def with_errors(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Add ``errors``: the names of the rules a row breaks (NULL counts as broken)."""
     broken = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules]
-    return df.withColumn("errors", F.array_compact(F.array(*broken)))
+    return once(df, errors=F.array_compact(F.array(*broken)))
 
 
 def split_valid(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:

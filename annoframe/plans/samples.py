@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annoframe.functions.sequences import once
 from annoframe.plans.base import load
 
 DIGITS_TO_LETTERS = ("0123456789abcdef", "ACDEFGHIKLMNPQRS")
@@ -107,7 +108,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.array().cast(grouped.schema["lines"].dataType)
     joined = joined.withColumn("lines", F.coalesce("lines", none))
     edits = F.transform("lines", lambda x, i: _annotation(x, i, F.col("sequence"), F.col("id")))
-    return joined.withColumn("edits", edits).drop("lines")
+    return once(joined, edits=edits).drop("lines")
 
 
 def _annotation(x, i, seq, sample):
