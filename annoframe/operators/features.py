@@ -360,37 +360,36 @@ def family_counts(edits: Column, families: Sequence[str]) -> list[Column]:
     ]
 
 
-def window_columns(sequence: Column, position: Column, width: int = 2) -> list[Column]:
-    """Three letter properties at each window offset and the relative position (FE16)."""
-    hydro = F.create_map(*[F.lit(x) for p in C.HYDROPATHY.items() for x in p])
-    charge = F.create_map(*[F.lit(x) for p in C.WINDOW_CHARGE.items() for x in p])
-    out = []
-    for d in range(-width, width + 1):
-        spot = position + d
-        inside = (spot >= 0) & (spot < F.length(sequence))
-        letter = F.when(inside, F.substring(sequence, spot + 1, F.lit(1)))
-        out += [
-            _dbl(F.coalesce(F.try_element_at(hydro, letter), F.lit(0.0)), f"pos{d}_hydrophobicity"),
-            _dbl(F.coalesce(F.try_element_at(charge, letter), F.lit(0.0)), f"pos{d}_charge"),
-            _dbl(F.coalesce(letter.isin(*C.WINDOW_LARGE), F.lit(False)), f"pos{d}_size"),
-        ]
-    out.append(_dbl(position / F.greatest(F.length(sequence), F.lit(1)), "normalized_position"))
-    return out
-
-
 def window_mean(sequence: Column, edits: Column, width: int = 2) -> list[Column]:
     """Window features at the first position of each annotation, averaged over the annotations
-    that have one (FE16). Works on the array in place, so no shuffle; none gives zeros."""
+    that have one (FE16): three letter properties per offset and the relative position.
+
+    The letters met at one offset are joined to a text, so a mean is letter counts times property
+    values. Offsets outside the sequence count as 0; no annotation gives zeros.
+    """
     spots = F.array_compact(F.transform(edits, lambda e: F.get(e["anchor_positions"], F.lit(0))))
     n = F.size(spots)
+    pad = "-" * width
+    padded = F.concat(F.lit(pad), sequence, F.lit(pad))
 
-    def mean_of(i: int) -> Column:
-        total = F.aggregate(
-            spots, F.lit(0.0), lambda a, p: a + window_columns(sequence, p, width)[i]
-        )
+    def met(d: int) -> Column:
+        letters = F.transform(spots, lambda p: F.substring(padded, p + width + d + 1, F.lit(1)))
+        return F.array_join(letters, "")
+
+    def mean(total: Column) -> Column:
         return F.when(n > 0, total / n).otherwise(0)
 
-    return [_dbl(mean_of(i), name) for i, name in enumerate(window_names(width))]
+    out = []
+    for d in range(-width, width + 1):
+        text = met(d)
+        out += [
+            _dbl(mean(_property_sum(text, C.HYDROPATHY)), f"pos{d}_hydrophobicity"),
+            _dbl(mean(_property_sum(text, C.WINDOW_CHARGE)), f"pos{d}_charge"),
+            _dbl(mean(_letter_count(text, C.WINDOW_LARGE)), f"pos{d}_size"),
+        ]
+    relative = F.aggregate(spots, F.lit(0.0), lambda a, p: a + p)
+    out.append(_dbl(mean(relative) / F.greatest(F.length(sequence), F.lit(1)), "normalized_position"))
+    return out
 
 
 def window_names(width: int = 2) -> list[str]:

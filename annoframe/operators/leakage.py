@@ -92,11 +92,14 @@ def js_divergence(
             F.sum(F.when(F.col(split) == "train", n(f)).otherwise(0)).alias(f"p{i}"),
             F.sum(F.when(F.col(split) == "test", n(f)).otherwise(0)).alias(f"q{i}"),
         ]
-    row = df.agg(*aggs)
+    return _js_row(df.agg(*aggs), len(families))
+
+
+def _js_row(row: DataFrame, n: int) -> DataFrame:
     return row.select(
         js_of(
-            [F.col(f"p{i}") for i in range(len(families))],
-            [F.col(f"q{i}") for i in range(len(families))],
+            [F.col(f"p{i}") for i in range(n)],
+            [F.col(f"q{i}") for i in range(n)],
         ).alias("edit_family_js_divergence")
     )
 

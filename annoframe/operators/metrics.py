@@ -154,7 +154,7 @@ def inversions(
     """
     by = list(by)
     rows = ranks.with_bucket(pairs, by, "_x", "_bx", bucket_rows)
-    rows = ranks.with_bucket(rows.drop("_n"), by, "_y", "_by", bucket_rows).drop("_n")
+    rows = ranks.with_bucket(rows, by, "_y", "_by", bucket_rows)
     key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema)
     schema = key_ddl + ", _inv bigint"
     grid = rows.groupBy(*by, "_bx", "_by").agg(F.sum("_w").alias("_w"))
@@ -281,7 +281,7 @@ def _top_flags(
     cut = cut.select(*keys, F.struct(*order).alias("_cut"), F.col("_k").alias(f"_k_{flag}"))
     out = items.join(cut, keys)
     out = out.withColumn(flag, F.struct(*order) <= F.col("_cut"))
-    return out.drop("_neg", "_h", "_vb", "_b", "_one", "_n", "_cut")
+    return out.drop("_neg", "_h", "_vb", "_b", "_one", "_cut")
 
 
 def topk_overlap(

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from annoframe.session import settle
+
 BUCKET_ROWS = 100_000
 FAN = 16
 HASH_SHIFT = 16
@@ -36,14 +38,20 @@ def with_bucket(
     bucket. A value equal to an edge has a bucket of its own (odd number), so a value held by
     many rows never shares a bucket with others.
     """
+    return _bucketed(df, by, value, _edges(df, by, value, bucket_rows, fan), name, fan)
+
+
+def _edges(df: DataFrame, by: Sequence[str], value: str, bucket_rows: int, fan: int) -> DataFrame:
+    """Per key: row count, approximate quantile edges, and every ``fan``-th of them."""
     by = list(by)
     probs = [i / (fan * fan) for i in range(1, fan * fan)]
     edges = df.groupBy(*by).agg(
         F.count(value).alias("_n"),
         F.percentile_approx(value, probs, F.lit(10_000)).alias("_e"),
     )
-    edges = edges.select(
+    return edges.select(
         *by,
+        "_n",
         F.when(
             (F.col("_n") > bucket_rows) & F.col("_e").isNotNull(),
             F.array_distinct(F.transform("_e", lambda e: e.cast("double"))),
@@ -54,8 +62,13 @@ def with_bucket(
         "_c",
         F.filter("_e", lambda e, i: F.pmod(i + 1, F.lit(fan)) == 0),
     )
+
+
+def _bucketed(
+    df: DataFrame, by: Sequence[str], value: str, edges: DataFrame, name: str, fan: int
+) -> DataFrame:
     x = F.col(value).cast("double")
-    joined = df.join(edges, by)
+    joined = df.join(edges.drop("_n"), list(by))
     coarse = F.size(F.filter("_c", lambda e: e < x))
     joined = joined.withColumn("_c", coarse)
     fine = F.size(F.filter(F.slice("_e", F.col("_c") * fan + 1, fan), lambda e: e < x))
@@ -143,7 +156,8 @@ def quantiles(
     x = F.col(value).cast("double")
     rows = df.filter(x.isNotNull() & ~F.isnan(x)).select(*by, x.alias("_v"))
     rows, keys = keyed(rows, by)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    # One row per key, used three times below.
+    edges = settle(_edges(rows, keys, "_v", bucket_rows, FAN))
     wanted = F.array(
         *[
             F.struct(
@@ -153,7 +167,7 @@ def quantiles(
             for name, p in probs.items()
         ]
     )
-    targets = sizes.select(*keys, F.explode(wanted).alias("t")).select(
+    targets = edges.select(*keys, F.explode(wanted).alias("t")).select(
         *keys,
         F.col("t.name").alias("_name"),
         (F.col("t.pos") - F.floor("t.pos")).alias("_frac"),
@@ -164,7 +178,7 @@ def quantiles(
         ).alias("_rank"),
     )
     targets = targets.withColumn("_target", F.col("_rank") + 1)
-    items = with_bucket(rows, keys, "_v", bucket_rows=bucket_rows).withColumn("_one", F.lit(1))
+    items = _bucketed(rows, keys, "_v", edges, "_bucket", FAN).withColumn("_one", F.lit(1))
     found = crossing(items, keys, "_bucket", ["_v"], "_one", targets, "_target")
     per = found.groupBy(*keys, "_name", "_frac").agg(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from annoframe.functions import draws
 from annoframe.operators import ranks
+from annoframe.session import settle
 
 TOLERANCE = 0.02
 SPLIT_VERSION = "1.0.0"
@@ -53,7 +54,9 @@ def _cuts(
     found = found.withColumn("_at", F.struct("_h", F.col(key).alias("_k")))
     picked = [F.max(F.when(F.col("cut") == c, F.col("_at"))).alias(c) for c in cut_names]
     # Strata without any crossing (all sizes 0) keep NULL cut points: nothing lies below.
-    return sizes.select(*strata).join(found.groupBy(*strata).agg(*picked), strata, "left")
+    cuts = sizes.select(*strata).join(found.groupBy(*strata).agg(*picked), strata, "left")
+    # One row per stratum. Settled, so that using the cuts does not repeat the search for them.
+    return settle(cuts)
 
 
 def _below(cut: str, key: str) -> Column:
@@ -67,7 +70,7 @@ def _finish(rows: DataFrame, strata: Sequence[str], split: Column, drop: Sequenc
 
 def quartile_stratum(df: DataFrame, label: str, name: str = "stratum") -> DataFrame:
     """Number of quartile edges that a label reaches: 0..3 (SP1)."""
-    edges = ranks.quantiles(df, label, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75})
+    edges = settle(ranks.quantiles(df, label, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}))
     one = df.withColumn("_all", F.lit(0)).join(F.broadcast(edges.withColumn("_all", F.lit(0))), "_all")
     reached = [(F.col(label) >= F.col(q)).cast("int") for q in ("_q1", "_q2", "_q3")]
     return one.withColumn(name, reached[0] + reached[1] + reached[2]).drop("_all", "_q1", "_q2", "_q3")
@@ -157,6 +160,7 @@ def by_group_fill(
     order = ["_h", group]
     goal = total.select("_all", test_target.alias("_t"), val_target.alias("_v"))
     first = ranks.crossing(items, ["_all"], "_b", order, "_w", goal.filter("_t > 0"), "_t")
+    first = settle(first)
     # Without a test target nothing is placed in test and the fill of val starts at zero.
     first = goal.select("_all", "_v").join(
         first.select("_all", F.struct("_h", F.col(group).alias("_k")).alias("_test"), "reached"),
@@ -167,6 +171,7 @@ def by_group_fill(
     second = ranks.crossing(
         items, ["_all"], "_b", order, "_w", goal2.filter("_v > 0").select("_all", "_t2"), "_t2"
     )
+    second = settle(second)
     # If val cannot be filled, every remaining group was placed in it.
     second = goal2.select("_all", "_test", "_v").join(
         second.select("_all", F.struct("_h", F.col(group).alias("_k")).alias("_val")), "_all", "left"
@@ -240,15 +245,15 @@ def support_query(
     )
     big = sizes.filter(F.col("n_family") >= min_family)
     rows = df.join(big, family)
-    items = ranks.with_bucket(rows, [family], first, "_vb").withColumn("_w", F.lit(1)).drop("_n")
+    items = ranks.with_bucket(rows, [family], first, "_vb").withColumn("_w", F.lit(1))
     # Many rows can share one number: such a number has a bucket of its own, cut again by id.
-    items = ranks.with_bucket(items, [family, "_vb"], key, "_kb").drop("_n")
+    items = ranks.with_bucket(items, [family, "_vb"], key, "_kb")
     items = items.withColumn("_b", F.struct("_vb", F.when(F.col("_vb") % 2 == 1, F.col("_kb")).otherwise(0).alias("_kb")))
     targets = big.select(
         family, F.greatest(F.lit(3), F.floor(F.col("n_family") * F.lit(share))).alias("n_support")
     )
     cut = ranks.crossing(items, [family], "_b", [first, key], "_w", targets, "n_support")
-    cut = cut.select(family, "n_support", F.struct(F.col(first).alias("_a"), F.col(key).alias("_k")).alias("_cut"))
+    cut = settle(cut).select(family, "n_support", F.struct(F.col(first).alias("_a"), F.col(key).alias("_k")).alias("_cut"))
     out = rows.join(cut, family)
     mine = F.struct(F.col(first).alias("_a"), F.col(key).alias("_k"))
     role = F.when(mine <= F.col("_cut"), "support").otherwise("query")

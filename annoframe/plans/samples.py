@@ -89,9 +89,9 @@ def orders_with_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with an annotation array built from their lines."""
-    orders = orders_with_sequence(spark, sf_dir)
+def samples(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """Orders, as given or all, with an annotation array built from their lines."""
+    orders = orders_with_sequence(spark, sf_dir) if orders is None else orders
     lines = load(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("id"),
         F.struct(

@@ -238,14 +238,15 @@ def split_support_query(spark, sf):
 
 def split_samples(spark, sf):
     """Order samples with keys and the group split."""
-    df = samples(spark, sf)
-    df = df.withColumns(
+    orders = splits.by_group(
+        orders_with_sequence(spark, sf), "priority", splits.Ratios(0.6, 0.2, 0.2)
+    )
+    return samples(spark, sf, orders).withColumns(
         {
             "scaffold": S.scaffold_key(F.col("sequence"), F.col("edits")),
             "profile": S.profile_key(F.col("edits")),
         }
     )
-    return splits.by_group(df, "priority", splits.Ratios(0.6, 0.2, 0.2))
 
 
 SPLIT = f"""
