@@ -47,20 +47,20 @@ def _edges(df: DataFrame, by: Sequence[str], value: str, bucket_rows: int, fan:
     probs = [i / (fan * fan) for i in range(1, fan * fan)]
     edges = df.groupBy(*by).agg(
         F.count(value).alias("_n"),
-        F.percentile_approx(value, probs, F.lit(10_000)).alias("_e"),
+        F.percentile_approx(value, probs, F.lit(10_000)).alias("_fine_edges"),
     )
     return edges.select(
         *by,
         "_n",
         F.when(
-            (F.col("_n") > bucket_rows) & F.col("_e").isNotNull(),
-            F.array_distinct(F.transform("_e", lambda e: e.cast("double"))),
+            (F.col("_n") > bucket_rows) & F.col("_fine_edges").isNotNull(),
+            F.array_distinct(F.transform("_fine_edges", lambda e: e.cast("double"))),
         )
         .otherwise(F.array().cast("array<double>"))
-        .alias("_e"),
+        .alias("_fine_edges"),
     ).withColumn(
-        "_c",
-        F.filter("_e", lambda e, i: F.pmod(i + 1, F.lit(fan)) == 0),
+        "_coarse_edges",
+        F.filter("_fine_edges", lambda e, i: F.pmod(i + 1, F.lit(fan)) == 0),
     )
 
 
@@ -69,13 +69,13 @@ def _bucketed(
 ) -> DataFrame:
     x = F.col(value).cast("double")
     joined = df.join(edges.drop("_n"), list(by))
-    coarse = F.size(F.filter("_c", lambda e: e < x))
-    joined = joined.withColumn("_c", coarse)
-    fine = F.size(F.filter(F.slice("_e", F.col("_c") * fan + 1, fan), lambda e: e < x))
-    below = F.when(F.size("_e") == 0, F.lit(0)).otherwise(F.col("_c") * fan + fine)
-    joined = joined.withColumn("_c", below)
-    at_edge = F.coalesce((F.get("_e", F.col("_c")) == x).cast("int"), F.lit(0))
-    return joined.withColumn(name, (F.col("_c") * 2 + at_edge).cast("bigint")).drop("_c", "_e")
+    coarse = F.size(F.filter("_coarse_edges", lambda e: e < x))
+    joined = joined.withColumn("_coarse_edges", coarse)
+    fine = F.size(F.filter(F.slice("_fine_edges", F.col("_coarse_edges") * fan + 1, fan), lambda e: e < x))
+    below = F.when(F.size("_fine_edges") == 0, F.lit(0)).otherwise(F.col("_coarse_edges") * fan + fine)
+    joined = joined.withColumn("_coarse_edges", below)
+    at_edge = F.coalesce((F.get("_fine_edges", F.col("_coarse_edges")) == x).cast("int"), F.lit(0))
+    return joined.withColumn(name, (F.col("_coarse_edges") * 2 + at_edge).cast("bigint")).drop("_coarse_edges", "_fine_edges")
 
 
 def cumulate(

@@ -132,7 +132,7 @@ def sign_flip(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
         F.max("n_pairs").alias("_n"), F.array_sort(F.collect_list(F.abs(value))).alias("_d"),
         F.abs(F.sum(value)).alias("_obs"),
     )
-    masks = F.sequence(F.lit(0), F.shiftleft(F.lit(1), F.col("_n").cast("int")) - 1)
+    masks = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_n").cast("int")) - 1)
     flips = lists.select(*keys, "_n", "_d", "_obs", F.explode(masks).alias("_m"))
     bit = F.expr("aggregate(transform(_d, (v, i) -> if(getbit(_m, i) = 1, v, -v)), 0D, (a, v) -> a + v)")
     reached = F.abs(bit) / F.col("_n") >= F.col("_obs") / F.col("_n") - 1e-15
