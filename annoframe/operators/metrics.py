@@ -6,7 +6,7 @@ run that holds most of the rows is still spread over all tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -113,35 +113,63 @@ def spearman(
     return agg.select(*by, rho.alias("spearman"))
 
 
-def weighted_inversions(first: np.ndarray, second: np.ndarray, weight: np.ndarray) -> int:
-    """Sum of w_i*w_j over pairs with first_i < first_j and second_i > second_j."""
-    if len(first) < 2:
-        return 0
-    order = np.lexsort((second, first))
-    rank = np.unique(second, return_inverse=True)[1][order].astype(np.int64)
-    w = weight[order].astype(np.int64)
-    total = 0
+def grouped_inversions(
+    group: np.ndarray, first: np.ndarray, second: np.ndarray, weight: np.ndarray
+) -> np.ndarray:
+    """Per group number 0..g-1: sum of w_i*w_j over pairs with first_i < first_j and
+    second_i > second_j, all groups at once.
+
+    Rows are ordered by (group, first, second) and ranked by (group, second), so an inversion of
+    ranks is an inversion within a group. Inversions are counted bit by bit of the rank.
+    """
+    total = np.zeros(int(group.max()) + 1, dtype=np.int64)
+    by_second = np.lexsort((second, group))
+    new = np.ones(len(group), dtype=bool)
+    new[1:] = (np.diff(group[by_second]) != 0) | (
+        second[by_second][1:] != second[by_second][:-1]
+    )
+    rank = np.empty(len(group), dtype=np.int64)
+    rank[by_second] = np.cumsum(new) - 1
+    order = np.lexsort((second, first, group))
+    rank, w, g = rank[order], weight[order].astype(np.int64), group[order]
     for bit in range(int(rank.max()).bit_length() - 1, -1, -1):
         block = np.argsort(rank >> (bit + 1), kind="stable")
         head = (rank >> (bit + 1))[block]
-        ones = ((rank[block] >> bit) & 1) * w[block]
-        run = np.cumsum(ones)
+        one = ((rank[block] >> bit) & 1).astype(bool)
+        run = np.cumsum(np.where(one, w[block], 0))
         start = np.searchsorted(head, head, side="left")
         earlier = run - np.where(start > 0, run[start - 1], 0)
-        zeros = ((rank[block] >> bit) & 1) == 0
-        total += int((earlier[zeros] * w[block][zeros]).sum())
+        np.add.at(total, g[block][~one], (earlier * w[block])[~one])
     return total
 
 
-def _count_groups(keys: Sequence[str], first: str, second: str):
+def _counter(keys: Sequence[str], first: str, second: str):
+    """Batch function over rows sorted by ``keys``; the last group of a batch waits for the next."""
+    keys = list(keys)
+
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[list(keys)].iloc[:1].copy()
-        out["_inv"] = weighted_inversions(
-            pdf[first].to_numpy(), pdf[second].to_numpy(), pdf["_w"].to_numpy()
+        groups = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+        out = pdf[keys].drop_duplicates(ignore_index=True)
+        out["_inv"] = grouped_inversions(
+            groups, pdf[first].to_numpy(), pdf[second].to_numpy(), pdf["_w"].to_numpy()
         )
         return out
 
-    return count
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            if held is not None:
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            open_group = (pdf[keys] == pdf[keys].iloc[-1]).all(axis=1)
+            if not open_group.all():
+                yield count(pdf[~open_group])
+            held = pdf[open_group]
+        if held is not None and len(held):
+            yield count(held)
+
+    return run
 
 
 def inversions(
@@ -150,28 +178,30 @@ def inversions(
     """Weighted count of pairs with _x rising and _y falling, per group, without making pairs.
 
     Both axes are cut into buckets. A pair in different buckets on both axes is counted on the
-    bucket grid; a pair sharing a bucket is counted inside it. No task sees more than a bucket.
+    bucket grid; a pair sharing a bucket is counted inside it. A task streams over many small
+    groups and never holds more than one bucket of a large one.
     """
     by = list(by)
     rows = ranks.with_bucket(pairs, by, "_x", "_bx", bucket_rows)
     rows = ranks.with_bucket(rows, by, "_y", "_by", bucket_rows)
     key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema)
     schema = key_ddl + ", _inv bigint"
+
+    def counted(df: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:
+        extra = [k for k in keys if k not in by]
+        full = schema if not extra else key_ddl + ", " + ", ".join(f"{k} bigint" for k in extra) + ", _inv bigint"
+        ready = df.select(*dict.fromkeys([*keys, first, second, "_w"]))
+        ready = ready.repartition(*keys).sortWithinPartitions(*keys)
+        return ready.mapInPandas(_counter(keys, first, second), full).select(*by, "_inv")
+
     grid = rows.groupBy(*by, "_bx", "_by").agg(F.sum("_w").alias("_w"))
-    across = grid.groupBy(*by).applyInPandas(_count_groups(by, "_bx", "_by"), schema)
-    same_x = (
-        rows.filter(F.col("_bx") % 2 == 0)
-        .select(*by, "_bx", "_x", "_y", "_w")
-        .groupBy(*by, "_bx")
-        .applyInPandas(_count_groups(by, "_x", "_y"), schema)
-    )
-    same_y = (
-        rows.filter(F.col("_by") % 2 == 0)
-        .groupBy(*by, "_by", "_bx", "_y")
-        .agg(F.sum("_w").alias("_w"))
-        .groupBy(*by, "_by")
-        .applyInPandas(_count_groups(by, "_bx", "_y"), schema)
-    )
+    same_x = counted(rows.filter(F.col("_bx") % 2 == 0), [*by, "_bx"], "_x", "_y")
+    # A group in one bucket is finished by same_x; only cut groups have more to count.
+    cut = grid.groupBy(*by).agg(F.count(F.lit(1)).alias("_cells")).filter(F.col("_cells") > 1)
+    across = counted(grid.join(cut, by, "left_semi"), by, "_bx", "_by")
+    large = rows.join(cut, by, "left_semi").filter(F.col("_by") % 2 == 0)
+    large = large.groupBy(*by, "_by", "_bx", "_y").agg(F.sum("_w").alias("_w"))
+    same_y = counted(large, [*by, "_by"], "_bx", "_y")
     parts = across.unionByName(same_x).unionByName(same_y)
     return parts.groupBy(*by).agg(F.sum("_inv").alias("inversions"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annoframe.operators import metrics, ranks, stats
+from annoframe.session import settle
 
 
 def family_accuracy(
@@ -46,6 +47,7 @@ def summary(
     seed: int = stats.BOOTSTRAP_SEED,
 ) -> DataFrame:
     """Pooled and mean family accuracy per model with a family bootstrap interval (RK3)."""
+    families = settle(families)
     pooled = families.groupBy(model).agg(
         F.countDistinct(family).alias("n_families_total"),
         (F.sum("correct_pair_count") / F.sum("valid_pair_count")).alias("overall_pairwise_accuracy"),
@@ -86,7 +88,7 @@ def compare(
     seed: int = stats.BOOTSTRAP_SEED,
 ) -> DataFrame:
     """Mean family difference of two models with interval and exact sign test (RK4)."""
-    diff = family_differences(families, left, right, family, model)
+    diff = settle(family_differences(families, left, right, family, model))
     boot = stats.mean_bootstrap(diff, [], family, "difference", replicates, seed)
     sign = stats.sign_test(diff, [], "difference").drop("n_units")
     boot, sign = boot.withColumn("_all", F.lit(0)), sign.withColumn("_all", F.lit(0))

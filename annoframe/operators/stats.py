@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from annoframe.functions import draws
 from annoframe.functions.tquantile import t_975_column
 from annoframe.operators import metrics, ranks
+from annoframe.session import settle
 
 SIGN_FLIP_LIMIT = 20
 BOOTSTRAP_REPLICATES = 2000
@@ -239,8 +240,9 @@ def group_bootstrap(
     needs weighted ranks of rows in every replicate; switch it off for very large row counts.
     """
     df, keys = ranks.keyed(metrics.clean(df, truth, pred).filter(F.col(truth).isNotNull()), by)
-    picks = draw_groups(df, keys, group, replicates, seed)
-    sums = _error_sums(df, [*keys, group], truth, {"": pred})
+    # One row per group, used by the draws and by every replicate.
+    sums = settle(_error_sums(df, [*keys, group], truth, {"": pred}))
+    picks = draw_groups(sums, keys, group, replicates, seed)
     cols = ["n", "sy", "syy", "sse", "sae"]
     reps = _weighted(picks.join(sums, [*keys, group]), [*keys, "replicate"], cols)
     reps = reps.select(*keys, "replicate", *[c.alias(k) for k, c in _scores().items()])
@@ -293,7 +295,8 @@ def group_bootstrap_diff(
 ) -> DataFrame:
     """Interval of the metric difference x - y, both models seeing the same draw (ST8)."""
     df, keys = ranks.keyed(df, by)
-    picks = draw_groups(df, keys, group, replicates, seed)
+    sums = settle(_error_sums(df, [*keys, group], truth, {"_x": pred_x, "_y": pred_y}))
+    picks = draw_groups(sums, keys, group, replicates, seed)
     names = ["r2", "rmse", "mae"]
 
     def differences(sums: DataFrame, extra: list[str]) -> DataFrame:
@@ -301,7 +304,6 @@ def group_bootstrap_diff(
         wide = sums.select(*keys, *extra, *[(x[m] - y[m]).alias(m) for m in names])
         return melt(wide, [*keys, *extra], names, "metric", "value")
 
-    sums = _error_sums(df, [*keys, group], truth, {"_x": pred_x, "_y": pred_y})
     cols = ["n", "sy", "syy", "sse_x", "sae_x", "sse_y", "sae_y"]
     reps = differences(_weighted(picks.join(sums, [*keys, group]), [*keys, "replicate"], cols), ["replicate"])
     total = _weighted(sums.withColumn("multiplicity", F.lit(1)), keys, cols)
@@ -348,7 +350,7 @@ def mean_bootstrap(
     """
     v = F.col(value).cast("double")
     rows, keys = ranks.keyed(df.filter(v.isNotNull() & ~F.isnan(v)), by)
-    rows = rows.select(*keys, unit, v.alias("_v"))
+    rows = settle(rows.select(*keys, unit, v.alias("_v")))
     picks = draw_groups(rows, keys, unit, replicates, seed).join(rows, [*keys, unit])
     w = F.col("multiplicity")
     reps = picks.groupBy(*keys, "replicate").agg((F.sum(F.col("_v") * w) / F.sum(w)).alias("_m"))

@@ -290,12 +290,12 @@ def stats_matrix(spark, sf):
 
 @query(
     "stats_mean_prediction",
-    f"""WITH {PREDICTIONS} SELECT priority, id, y_true, {r("avg(y_pred)", "y_pred", 3)}, count(*) AS n_seeds
+    f"""WITH {PREDICTIONS} SELECT priority, id, y_true, {r("avg(y_pred)", "y_pred")}, count(*) AS n_seeds
     FROM pred GROUP BY priority, id, y_true""",
 )
 def stats_mean_prediction(spark, sf):
     """Mean prediction per row over models (ST14)."""
-    return rounded(stats.mean_prediction(predictions(spark, sf), ["priority"], "id"), 3)
+    return rounded(stats.mean_prediction(predictions(spark, sf), ["priority"], "id"))
 
 
 @query(

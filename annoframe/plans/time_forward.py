@@ -49,11 +49,11 @@ ls AS (SELECT cutoff, {", ".join(f'''count_if(side = '{s}') AS {s}_n,
     AS {s}_label_iqr''' for s in ("train", "test"))} FROM x GROUP BY cutoff)
 """
 _LABELS = ", ".join(
-    f"{s}_n, " + ", ".join(r(f"{s}_label_{k}", f"{s}_label_{k}", 3) for k in ("mean", "sd", "median", "iqr"))
+    f"{s}_n, " + ", ".join(r(f"{s}_label_{k}", f"{s}_label_{k}", 5) for k in ("mean", "sd", "median", "iqr"))
     for s in ("train", "test")
 )
 _COUNTED = ", ".join(
-    f"train_{n}, test_{n}, {r(f'unseen_{n}', f'unseen_{n}_fraction', 3)}" for n in ("sequences", "families", "types")
+    f"train_{n}, test_{n}, {r(f'unseen_{n}', f'unseen_{n}_fraction', 5)}" for n in ("sequences", "families", "types")
 )
 
 
@@ -73,7 +73,7 @@ def cutoff_table(spark, sf):
 )
 def time_cutoff_stats(spark, sf):
     """Rows, distinct values, unseen shares and label statistics per cutoff (TF1-TF3)."""
-    return rounded(cutoff_table(spark, sf), 3)
+    return rounded(cutoff_table(spark, sf), 5)
 
 
 @query(
