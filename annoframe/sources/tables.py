@@ -32,9 +32,13 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Many run documents as one table (IO9). Older documents lack split, seed or model; these
     come from the path ``.../<split>/seed_<n>/<model>/metrics.json``."""
     docs = spark.read.schema(RUN_DDL).option("multiLine", True).json(path)
-    rows = docs.withColumn("source_path", F.col("_metadata.file_path"))
+    return with_path_keys(docs.withColumn("source_path", F.col("_metadata.file_path")))
+
+
+def with_path_keys(docs: DataFrame) -> DataFrame:
+    """Fill split, seed and model from ``source_path`` where a document lacks them."""
     part = lambda pattern: F.nullif(F.regexp_extract("source_path", pattern, 1), F.lit(""))
-    return rows.withColumns(
+    return docs.withColumns(
         {
             "split_type": F.coalesce("split_type", part(r"/([^/]+)/seed_\d+/")),
             "seed": F.coalesce("seed", part(r"/seed_(\d+)/").cast("int")),
