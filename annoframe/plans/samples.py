@@ -90,43 +90,35 @@ def orders_with_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
-    """Orders, as given or all, with an annotation array built from their lines."""
+    """Orders, as given or all, with an annotation array built from their lines.
+
+    An annotation is computed per line, before the lines of an order are gathered.
+    """
     orders = orders_with_sequence(spark, sf_dir) if orders is None else orders
-    lines = load(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("id"),
-        F.struct(
-            F.col("l_linenumber").alias("ln"),
-            F.col("l_partkey").alias("pk"),
-            F.col("l_suppkey").alias("sk"),
-            F.col("l_extendedprice").alias("price"),
-            F.col("l_returnflag").alias("rf"),
-            F.col("l_linestatus").alias("ls"),
-        ).alias("line"),
-    )
-    grouped = lines.groupBy("id").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    lines = load(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "id")
+    lines = lines.join(orders_with_sequence(spark, sf_dir).select("id", "sequence"), "id")
+    notes = lines.select("id", _annotation(F.col("sequence")).alias("a"))
+    grouped = notes.groupBy("id").agg(F.array_sort(F.collect_list("a")).alias("a"))
+    edits = F.transform("a", lambda a, i: _edit(a, i, F.col("id")))
+    grouped = grouped.select("id", edits.alias("edits"))
+    none = F.array().cast(grouped.schema["edits"].dataType)
     joined = orders.join(grouped, "id", "left")
-    none = F.array().cast(grouped.schema["lines"].dataType)
-    joined = joined.withColumn("lines", F.coalesce("lines", none))
-    edits = F.transform("lines", lambda x, i: _annotation(x, i, F.col("sequence"), F.col("id")))
-    return once(joined, edits=edits).drop("lines")
+    return once(joined, edits=F.coalesce("edits", none))
 
 
-def _annotation(x, i, seq, sample):
-    ln, rf, ls = x["ln"], x["rf"], x["ls"]
+def _annotation(seq):
+    """One line as an annotation; the first four fields give the order within a sample."""
+    ln, rf, ls = F.col("l_linenumber"), F.col("l_returnflag"), F.col("l_linestatus")
     n = F.length(seq)
-    p = (x["pk"] % n).cast("int")
-    case = lambda pairs, default: _case(ln, pairs, default)
-    family = case(
-        {
-            1: "n_terminal",
-            2: "c_terminal",
-            3: "sidechain",
-            4: "backbone",
-            5: "cyclization",
-            6: "substitution",
-        },
-        "other",
-    )
+    p = (F.col("l_partkey") % n).cast("int")
+    families = {
+        1: "n_terminal",
+        2: "c_terminal",
+        3: "sidechain",
+        4: "backbone",
+        5: "cyclization",
+        6: "substitution",
+    }
     kind = (
         F.when(ln == 7, "global")
         .when((ln == 6) & (ls == "F"), "inferred")
@@ -152,20 +144,43 @@ def _annotation(x, i, seq, sample):
         .when(ln == 7, F.array().cast("array<int>"))
         .otherwise(F.array(p))
     )
-    ring = (ln == 5) & (ls == "O")
+    letter = lambda q: F.substring(seq, q + 1, F.lit(1))
+    residues = (
+        F.when(ln == 1, F.array(letter(F.lit(0))))
+        .when(ln == 2, F.array(letter(n - 1)))
+        .when(ln == 5, F.array(letter(F.lit(0)), letter(n - 1)))
+        .when(ln == 7, F.array().cast("array<string>"))
+        .otherwise(F.array(letter(p)))
+    )
     return F.struct(
-        F.concat(F.lit("ORDER_"), sample.cast("string"), F.lit("_edit_"), i.cast("string")).alias("edit_id"),
-        family.alias("edit_family"),
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
+        "l_extendedprice",
+        _case(ln, families, "other").alias("edit_family"),
         edit_type.alias("edit_type"),
         kind.alias("anchor_kind"),
         positions.alias("anchor_positions"),
-        F.transform(positions, lambda q: F.substring(seq, q + 1, F.lit(1))).alias("anchor_residues"),
+        residues.alias("anchor_residues"),
         rf.alias("chem_rep_raw"),
-        F.concat(edit_type, F.lit("/"), rf).alias("chem_rep_canonical"),
-        F.concat(family, F.lit("_"), rf).alias("attachment_semantics"),
+        F.when((ln == 5) & (ls == "O"), n).alias("ring_size"),
+    )
+
+
+def _edit(a, i, sample):
+    return F.struct(
+        F.concat(F.lit("ORDER_"), sample.cast("string"), F.lit("_edit_"), i.cast("string")).alias("edit_id"),
+        *[
+            a[k].alias(k)
+            for k in ("edit_family", "edit_type", "anchor_kind", "anchor_positions", "anchor_residues", "chem_rep_raw")
+        ],
+        F.concat(a["edit_type"], F.lit("/"), a["chem_rep_raw"]).alias("chem_rep_canonical"),
+        F.concat(a["edit_family"], F.lit("_"), a["chem_rep_raw"]).alias("attachment_semantics"),
         F.lit("success").alias("parser_status"),
         F.lit("line_v1").alias("rule_id"),
-        F.when(ring, F.create_map(F.lit("ring_size"), n.cast("string")))
+        F.when(
+            a["ring_size"].isNotNull(), F.create_map(F.lit("ring_size"), a["ring_size"].cast("string"))
+        )
         .otherwise(F.create_map().cast("map<string,string>"))
         .alias("edit_metadata"),
     )
