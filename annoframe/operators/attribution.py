@@ -41,7 +41,7 @@ def feature_share(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Mean absolute contribution per feature and its share of the run's total (AT2)."""
     agg = df.groupBy(*by, "feature").agg(F.avg(F.abs("contribution")).alias("mean_absolute"))
     total = F.sum("mean_absolute").over(W.partitionBy(*by))
-    return agg.withColumn("proportion", F.col("mean_absolute") / total)
+    return agg.withColumn("proportion", F.try_divide("mean_absolute", total))
 
 
 def block_share(shares: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -133,7 +133,8 @@ def ks(df: DataFrame, label: str, split: str = "split") -> DataFrame:
     sizes = counts.groupBy(*keys).agg(F.sum("_a").alias("_m"), F.sum("_b").alias("_n"))
     both = cum.join(F.broadcast(sizes), keys)
     gap = F.abs(
-        (F.col("_a_before") + F.col("_a")) / F.col("_m") - (F.col("_b_before") + F.col("_b")) / F.col("_n")
+        F.try_divide(F.col("_a_before") + F.col("_a"), F.col("_m"))
+        - F.try_divide(F.col("_b_before") + F.col("_b"), F.col("_n"))
     )
     row = both.agg(F.max(gap).alias("_d"), F.max("_m").alias("_m"), F.max("_n").alias("_n"))
     d, m, n = F.col("_d"), F.col("_m").cast("double"), F.col("_n").cast("double")

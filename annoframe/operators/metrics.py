@@ -51,7 +51,7 @@ def regression(
         F.avg(F.abs(err)).alias("_mae"),
         F.var_pop(truth).alias("_vt"),
         F.var_pop(pred).alias("_vp"),
-        F.corr(truth, pred).alias("_corr"),
+        F.covar_pop(truth, pred).alias("_cov"),
     )
     enough = F.col("n_samples") >= 2
     n = F.col("n_samples")
@@ -61,7 +61,10 @@ def regression(
         F.when(enough, F.sqrt(F.col("_sse") / n)).alias("rmse"),
         F.when(enough, F.col("_mae")).alias("mae"),
         F.when(enough, r2_of(F.col("_sse"), F.col("_vt") * n)).alias("r2"),
-        F.when(enough, F.nanvl(F.col("_corr"), F.lit(None).cast("double"))).alias("pearson"),
+        F.when(
+            enough & (F.col("_vt") > 0) & (F.col("_vp") > 0),
+            F.col("_cov") / (F.sqrt("_vt") * F.sqrt("_vp")),
+        ).alias("pearson"),
         F.when(
             enough, F.when(F.col("_vt") > 0, F.col("_vp") / F.col("_vt")).otherwise(0.0)
         ).alias("variance_ratio"),

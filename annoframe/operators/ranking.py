@@ -50,7 +50,9 @@ def summary(
     families = settle(families)
     pooled = families.groupBy(model).agg(
         F.countDistinct(family).alias("n_families_total"),
-        (F.sum("correct_pair_count") / F.sum("valid_pair_count")).alias("overall_pairwise_accuracy"),
+        F.try_divide(F.sum("correct_pair_count"), F.sum("valid_pair_count")).alias(
+            "overall_pairwise_accuracy"
+        ),
     )
     boot = stats.mean_bootstrap(families, [model], family, "pairwise_accuracy", replicates, seed)
     out = pooled.join(boot, model)

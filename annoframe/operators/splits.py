@@ -390,7 +390,7 @@ def feasible_profiles(
     row = distribution(df, profile).agg(
         F.count(F.lit(1)).alias("n_profiles"), F.count_if(F.col("n") < minimum).alias("n_sparse")
     )
-    row = row.withColumn("pct_sparse", 100.0 * F.col("n_sparse") / F.col("n_profiles"))
+    row = row.withColumn("pct_sparse", F.try_divide(100.0 * F.col("n_sparse"), F.col("n_profiles")))
     text = F.format_string(
         f"%d/%d profiles have <{minimum} samples (%.1f%% sparse)", "n_sparse", "n_profiles", "pct_sparse"
     )
