@@ -360,36 +360,49 @@ def family_counts(edits: Column, families: Sequence[str]) -> list[Column]:
     ]
 
 
-def window_mean(sequence: Column, edits: Column, width: int = 2) -> list[Column]:
-    """Window features at the first position of each annotation, averaged over the annotations
-    that have one (FE16): three letter properties per offset and the relative position.
+def window_mean(
+    df: DataFrame,
+    keep: Sequence[str],
+    sequence: str = "sequence",
+    edits: str = "edits",
+    width: int = 2,
+) -> DataFrame:
+    """``keep`` columns and the window features at the first position of each annotation, averaged
+    over the annotations that have one (FE16): three letter properties per offset and the
+    relative position.
 
-    The letters met at one offset are joined to a text, so a mean is letter counts times property
-    values. Offsets outside the sequence count as 0; no annotation gives zeros.
+    The letters met at one offset are joined to a text, once per row, so a mean is letter counts
+    times property values. Offsets outside the sequence count as 0; no annotation gives zeros.
     """
-    spots = F.array_compact(F.transform(edits, lambda e: F.get(e["anchor_positions"], F.lit(0))))
-    n = F.size(spots)
+    seq = F.col(sequence)
+    spots = F.transform(edits, lambda e: F.get(e["anchor_positions"], F.lit(0)))
+    rows = once(df, _spots=F.array_compact(spots))
     pad = "-" * width
-    padded = F.concat(F.lit(pad), sequence, F.lit(pad))
+    padded = F.concat(F.lit(pad), seq, F.lit(pad))
 
     def met(d: int) -> Column:
-        letters = F.transform(spots, lambda p: F.substring(padded, p + width + d + 1, F.lit(1)))
-        return F.array_join(letters, "")
+        return F.array_join(
+            F.transform("_spots", lambda p: F.substring(padded, p + width + d + 1, F.lit(1))), ""
+        )
+
+    offsets = range(-width, width + 1)
+    rows = once(rows, **{f"_at{i}": met(d) for i, d in enumerate(offsets)})
+    n = F.size("_spots")
 
     def mean(total: Column) -> Column:
         return F.when(n > 0, total / n).otherwise(0)
 
     out = []
-    for d in range(-width, width + 1):
-        text = met(d)
+    for i, d in enumerate(offsets):
+        text = F.col(f"_at{i}")
         out += [
             _dbl(mean(_property_sum(text, C.HYDROPATHY)), f"pos{d}_hydrophobicity"),
             _dbl(mean(_property_sum(text, C.WINDOW_CHARGE)), f"pos{d}_charge"),
             _dbl(mean(_letter_count(text, C.WINDOW_LARGE)), f"pos{d}_size"),
         ]
-    relative = F.aggregate(spots, F.lit(0.0), lambda a, p: a + p)
-    out.append(_dbl(mean(relative) / F.greatest(F.length(sequence), F.lit(1)), "normalized_position"))
-    return out
+    relative = F.aggregate("_spots", F.lit(0.0), lambda a, p: a + p)
+    out.append(_dbl(mean(relative) / F.greatest(F.length(seq), F.lit(1)), "normalized_position"))
+    return rows.select(*keep, *out)
 
 
 def window_names(width: int = 2) -> list[str]:

@@ -219,8 +219,7 @@ def _window_sql() -> str:
 @query("window_features", _window_sql())
 def window_features(spark, sf):
     """Mean window properties at the first position of each annotation (FE16)."""
-    df = samples(spark, sf)
-    return rounded(df.select("id", *features.window_mean(F.col("sequence"), F.col("edits"))))
+    return rounded(features.window_mean(samples(spark, sf), ["id"]))
 
 
 @query(
