@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from annoframe.llm import packing, runtime, simple8b
+from annoframe.llm import bpe, ngram_join, packing, runtime, simple8b
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-#: Where the public vocabulary files are; each operator takes a path.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-
-
-def vocabulary(name: str) -> str:
-    return os.path.join(TOKENIZERS, name)
+vocabulary = public_tokenizers.path
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -35,6 +29,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_ngram_jaccard")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(load(spark, sf_dir, "documents"))
+
+
 @query("op3_token_ids")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = runtime.folder(spark)
@@ -42,6 +41,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_ids(spark, path, digest=True)
 
 
+@query("op7_byte_bpe")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(load(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 @query("op8_best_fit")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(load(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)

@@ -152,14 +152,16 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iter
 def write_ids(docs: DataFrame, path: str, vocabulary: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text (null: empty), add ``end_id``, write the ids under ``path``.
 
-    Documents go in ascending order of id (null first), repeated ids by text. Only ids and texts are
+    Documents go in ascending order of id (null first), repeated ids by a hash of the
+    text. Only ids and texts are
     read; further columns are left alone. An empty table gives no segments.
     """
     runtime.ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    tie = F.xxhash64("text")  # the sample of the range cuts goes to the driver: numbers, not texts
     (
-        rows.repartitionByRange("doc_id", "text")
-        .sortWithinPartitions("doc_id", "text")
+        rows.repartitionByRange("doc_id", tie)
+        .sortWithinPartitions("doc_id", tie, "text")
         .mapInArrow(lambda batches: _segments(batches, vocabulary, end_id), SEGMENTS)
         .write.option("compression", "zstd")
         .parquet(path)
