@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from annoframe.llm import bpe, ngram_join, packing, runtime, simple8b
+from annoframe.llm import bpe, ngram_join, packing, recompress, runtime, simple8b
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,6 +34,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(load(spark, sf_dir, "documents"))
 
 
+@query("op2_substring_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.digests(load(spark, sf_dir, "documents"))
+
+
 @query("op3_token_ids")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = runtime.folder(spark)
