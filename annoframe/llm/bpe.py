@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from annoframe.llm import runtime, tokens
 from annoframe.llm.spans import hash_spans, mix, ranges, slices
@@ -180,7 +181,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text_col: str = "text",
                 part = batch.slice(x.first, x.rows)
                 yield pa.RecordBatch.from_arrays([*part.columns, column], [*batch.schema.names, out_col])
 
-    return docs.mapInArrow(run, docs.schema.add(out_col, "array<int>"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, path: str, pattern: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -198,7 +199,7 @@ def decode(rows: DataFrame, path: str, pattern: str, *, ids_col: str = "ids", ou
             column = pa.array(v.decode(ids, first), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, out_col])
 
-    return rows.mapInArrow(run, rows.schema.add(out_col, "binary"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out_col, T.BinaryType())]))
 
 
 def digests(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from annoframe.llm import bpe, ngram_join, packing, recompress, runtime, simple8b
+from annoframe.llm import bpe, language, ngram_join, packing, recompress, runtime, simple8b
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,6 +46,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_ids(spark, path, digest=True)
 
 
+@query("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(~language.held_out()).select("lang", "text"))
+    rows = docs.select("doc_id", "text", language.held_out().alias("held_out"))
+    return language.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score", "languages")
+
+
 @query("op7_byte_bpe")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(load(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
