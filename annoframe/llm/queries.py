@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from annoframe.llm import bpe, language, ngram_join, packing, recompress, runtime, simple8b
+from annoframe.llm import bpe, cover_tree, language, ngram_join, packing, recompress, runtime, simple8b
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,6 +54,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score", "languages")
 
 
+@query("op6_cover_tree")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.links(load(spark, sf_dir, "embeddings"))
+
+
 @query("op7_byte_bpe")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(load(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
