@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from annoframe.llm import bpe, chat, cover_tree, language, ngram_join, order_minhash, packing, recompress, runtime, simple8b
+from annoframe.llm import backoff, bpe, chat, cover_tree, language, ngram_join, order_minhash, packing, recompress, runtime, simple8b
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,6 +55,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score", "languages")
 
 
+@query("op5_stupid_backoff")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = backoff.score(load(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", "longest", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 @query("op6_cover_tree")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.links(load(spark, sf_dir, "embeddings"))
