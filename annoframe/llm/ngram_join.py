@@ -13,8 +13,8 @@ fragment. Overlaps are counted for each fragment separately and summed for each
 4. *Rounds.* The nodes of one such n-gram are not all paired. Each round takes its few best connected
    nodes, compares them with those others that are in another component by now, and takes them off the
    list; an n-gram whose nodes are in one component is done. Near copies of one text hang together after
-   the first round. A pair is left out if its sizes, or the n-grams that either one shares with any other
-   node, rule out the threshold. The number of leaders grows fourfold, so that rounds grow with the logarithm of the
+   the first round. A pair is left out if its sizes, or the n-grams that either one has from there on
+   in the order, rule out the threshold. The number of leaders grows fourfold, so that rounds grow with the logarithm of the
    longest list, and every pair is either compared or within one component.
 5. *Overlaps.* Compared pairs get one count for each fragment, then the sum, exact over the whole sets.
 """
@@ -40,7 +40,7 @@ FIRST_SHARE = 0.3
 FRAGMENTS = 8
 #: Text bytes whose first-fragment n-grams one group counts: about 1.5 million of them.
 GROUP_BYTES = 32 << 20
-LEADERS = 4
+LEADERS = 2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -174,17 +174,18 @@ def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 
 
 def _candidates(segments: DataFrame, percent: int) -> DataFrame:
-    """(gram, node, n, shared): each node's first n-grams in the order from rare to common.
+    """(gram, node, n, rest): each node's first n-grams in the order from rare to common.
 
-    ``shared`` counts the node's n-grams that other nodes hold too: no overlap of it is larger.
+    ``rest`` counts the node's n-grams from this one on. If this is the first one that a pair shares, its
+    overlap is at most that; if it is not, the pair is on the list of the first one.
     """
     grams = segments.select("node", "n", F.explode("grams").alias("gram"))
     counts = grams.groupBy("gram").agg(F.count("*").alias("held")).filter("held > 1")
     ordered = grams.join(counts, "gram").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("held", "gram"))).alias("grams"))
     # N-grams that no other node holds come first in the order and are not in ``grams``.
     first = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1 - (F.col("n") - F.size("grams"))
-    shared = F.size("grams").cast("long").alias("shared")
-    return ordered.filter(first > 0).select("node", "n", shared, F.explode(F.slice("grams", F.lit(1), first.cast("int"))).alias("g")).select(F.col("g.gram").alias("gram"), "node", "n", "shared")
+    listed = ordered.filter(first > 0).select("node", "n", F.size("grams").alias("size"), F.posexplode(F.slice("grams", F.lit(1), first.cast("int"))).alias("place", "g"))
+    return listed.select(F.col("g.gram").alias("gram"), "node", "n", (F.col("size") - F.col("place")).cast("long").alias("rest"))
 
 
 def classes(docs: DataFrame, *, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,18 +219,18 @@ def classes(docs: DataFrame, *, n: int = N, percent: int = PERCENT, id_col: str
     while True:
         rooted = lists.withColumn("root", F.col("node")) if roots is None else lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_grams = rooted.groupBy("gram").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("n").alias("small")).filter("x < y").select("gram", "small")
-        # An overlap of at most ``shared`` is too little for partners above a certain size.
-        rooted = rooted.join(open_grams, "gram").filter((100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("small"))).drop("small")
+        # An overlap of at most ``rest`` is too little for partners above a certain size.
+        rooted = rooted.join(open_grams, "gram").filter((100 + percent) * F.col("rest") >= percent * (F.col("n") + F.col("small"))).drop("small")
         rooted = runtime.table(rooted)
         if rooted.isEmpty():
             break
         # The first ``leaders`` of each list, by salted parts first, so that no task sorts a whole long list.
-        best = [F.desc(F.col("shared") / F.col("n")), F.asc("node")]
+        best = [F.desc(F.col("rest") / F.col("n")), F.asc("node")]
         parted = rooted.withColumn("k", F.row_number().over(Window.partitionBy("gram", F.pmod("node", F.lit(64))).orderBy(*best))).filter(F.col("k") <= leaders)
         top = parted.withColumn("k", F.row_number().over(Window.partitionBy("gram").orderBy(*best))).filter(F.col("k") <= leaders)
-        top = runtime.table(top.select("gram", F.col("node").alias("lead"), F.col("n").alias("m"), F.col("shared").alias("most"), F.col("root").alias("other")))
+        top = runtime.table(top.select("gram", F.col("node").alias("lead"), F.col("n").alias("m"), F.col("rest").alias("most"), F.col("root").alias("other")))
         near = (F.col("root") != F.col("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-        near &= (100 + percent) * F.least("shared", "most") >= percent * (F.col("n") + F.col("m"))
+        near &= (100 + percent) * F.least("rest", "most") >= percent * (F.col("n") + F.col("m"))
         pairs = rooted.join(top, "gram").filter(near)
         pairs = pairs.select(
             F.least("node", "lead").alias("a"),
@@ -241,7 +242,7 @@ def classes(docs: DataFrame, *, n: int = N, percent: int = PERCENT, id_col: str
         links = found if links is None else links.union(found)
         if not found.isEmpty():
             roots = components(links)
-        lists = rooted.join(top.select("gram", F.col("lead").alias("node")), ["gram", "node"], "left_anti").select("gram", "node", "n", "shared")
+        lists = rooted.join(top.select("gram", F.col("lead").alias("node")), ["gram", "node"], "left_anti").select("gram", "node", "n", "rest")
         leaders *= 4
 
     ids = nodes.select("n", "f1", "f2", "node", "doc_id")

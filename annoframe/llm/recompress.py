@@ -118,7 +118,7 @@ def anchors(words: np.ndarray, first: np.ndarray, length: int = WINDOW, rounds:
         open_ &= ~found
     if open_.any():
         least = np.full(n, none)
-        for k in range(length):
+        for k in range(min(length, n)):
             np.minimum(least[: n - k], words[k:], out=least[: n - k])
         best[open_] = least[open_]
     return best
@@ -285,7 +285,8 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROUNDS, id_col
     """
     found = repeats(docs, window=window, rounds=rounds, id_col=id_col, text_col=text_col).withColumnsRenamed({"doc_id": "_doc", "own": "_own"})
     whole = docs.join(found, docs[id_col].cast("long") == found["_doc"], "left").drop("_doc")
-    at = docs.columns.index(text_col)
+    names = docs.columns
+    at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,6 +296,6 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROUNDS, id_col
                 old = part.column(at)
                 text = pa.array([k[0].decode("utf-8", "replace") if k[2] else old[i].as_py() for i, k in enumerate(kept)], old.type)
                 columns = [text if i == at else c for i, c in enumerate(part.columns[:-1])]
-                yield pa.RecordBatch.from_arrays(columns, docs.columns)
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return whole.mapInArrow(run, docs.schema)
