@@ -212,27 +212,25 @@ def _answers(found: pa.Table, later: bool) -> pa.Table:
         # A name is shared if it has two owners, or a batch that said so.
         shared = (owners[start] == _MANY) | (owners[start + count - 1] != owners[start])
         tell = np.repeat(shared, count) & (owners != _MANY)
-    docs, own = owners[tell], names[tell]
-    order = np.argsort(docs, kind="stable")
-    docs, own = docs[order], own[order]
-    start = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(docs)), pa.int32()), pa.array(own.view(np.int64)))
-    schema = pa.schema([("doc_id", pa.int64()), ("own", pa.list_(pa.int64()))])
-    return pa.concat_tables([found.filter(known).select(["doc_id", "own"]).cast(schema), pa.table([pa.array(docs[start], pa.int64()), lists], schema=schema)])
+    known_lists = found.filter(known).column("own").combine_chunks()
+    size = np.diff(np.asarray(known_lists.offsets)) if len(known_lists) else np.zeros(0, np.int64)
+    docs = np.concatenate([np.repeat(found.filter(known).column("doc_id").to_numpy(), size), owners[tell]])
+    own = np.concatenate([known_lists.flatten().to_numpy(), names[tell].view(np.int64)])
+    return pa.table([pa.array(docs, pa.int64()), pa.array(own, pa.int64())], ["doc_id", "own"])
 
 
 def _told(records: DataFrame, later: bool) -> DataFrame:
-    answers = records.groupBy("group").applyInArrow(lambda t: _answers(t, later), "doc_id long, own array<long>")
-    return answers.groupBy("doc_id").agg(F.flatten(F.collect_list("own")).alias("own"))
+    answers = records.groupBy("group").applyInArrow(lambda t: _answers(t, later), "doc_id long, own long")
+    return answers.groupBy("doc_id").agg(F.collect_list("own").alias("own"))
 
 
-def repeats(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, own): for each document the names of those of its windows that start in a smaller document too."""
-    runtime.ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
+def repeats(rows: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, own): for each document of ``rows`` (doc_id, text) the names of those of its windows that start in a
+    smaller document too."""
+    runtime.ship(rows.sparkSession)
     groups = runtime.groups_for(rows, "text", GROUP_BYTES)
     shared = _told(rows.mapInArrow(lambda b: _anchor_records(b, window, rounds, groups), _RECORDS), False)
-    near = shared.join(rows, "doc_id").select("doc_id", "own", "text")
+    near = rows.join(shared, "doc_id").select("doc_id", "own", "text")
     return _told(near.mapInArrow(lambda b: _window_records(b, window, rounds, groups), _RECORDS), True)
 
 
@@ -264,8 +262,11 @@ def digests(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROUNDS, id_c
     repeat an id belong to one document: they never take words from each other. A row without id
     loses nothing, and nothing is lost to it. Other columns are not read.
     """
-    found = repeats(docs, window=window, rounds=rounds, id_col=id_col, text_col=text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = runtime.texts(docs, id_col, text_col)
+    # The same rows go into both joins by id, so that Spark deals the texts out once for both.
+    known = rows.filter("doc_id is not null")
+    whole = known.join(repeats(known, window, rounds), "doc_id", "left").select("doc_id", "text", "own")
+    whole = whole.union(rows.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<bigint>")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,7 +275,7 @@ def digests(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROUNDS, id_c
                 columns = [batch.column(0).slice(x.first, x.rows), pa.array([k[1] for k in kept], pa.int64()), pa.array([k[2] for k in kept], pa.int64()), pa.array([hashlib.sha256(k[0]).hexdigest() for k in kept])]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return rows.join(found, "doc_id", "left").select("doc_id", "text", "own").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return whole.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,7 +284,8 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROUNDS, id_col
     A text that loses words becomes its kept words joined by one space, maybe none; every other text,
     null included, and all other columns stay as they are. Cases as in ``digests``.
     """
-    found = repeats(docs, window=window, rounds=rounds, id_col=id_col, text_col=text_col).withColumnsRenamed({"doc_id": "_doc", "own": "_own"})
+    rows = runtime.texts(docs, id_col, text_col).filter("doc_id is not null")
+    found = repeats(rows, window, rounds).withColumnsRenamed({"doc_id": "_doc", "own": "_own"})
     whole = docs.join(found, docs[id_col].cast("long") == found["_doc"], "left").drop("_doc")
     names = docs.columns
     at = names.index(text_col)

@@ -51,3 +51,9 @@ def groups_for(docs: DataFrame, text: str, bytes_per_group: int) -> int:
     """How many groups keep each near ``bytes_per_group`` of text: one more pass over the texts."""
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     return max(1, -(-int(total) // bytes_per_group))
+
+
+def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text) of ``docs``: the columns themselves where they fit, so that equal plans stay equal."""
+    same = id_col == "doc_id" and text_col == "text" and docs.schema[id_col].dataType.typeName() == "long"
+    return docs.select("doc_id", "text") if same else docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
