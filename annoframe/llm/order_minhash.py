@@ -127,7 +127,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     its texts' beginnings and of its fingerprints count. A row without id has no next document: its edited
     text is its first half, and ``near_next`` is null. Only the two named columns are read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = runtime.texts(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     known = half_edited(rows.filter("doc_id is not null"))
     first = F.expr("left(text, char_length(text) - cast(floor(char_length(text) / 2) as int))")
     lone = rows.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("long").alias("next_id"), first.alias("edited"))
