@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annoframe.llm import backoff, bpe, chat, cover_tree, language, ngram_join, order_minhash, packing, recompress, runtime, simple8b
+from annoframe.llm import backoff, bpe, chat, cover_tree, language, ngram_join, order_minhash, packing, recompress, runtime, simple8b, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,12 +30,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op1_ngram_jaccard")
+@query("op1_ngram_jaccard", sql.NGRAM_JACCARD)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(load(spark, sf_dir, "documents"))
 
 
-@query("op2_substring_dedup")
+@query("op2_substring_dedup", sql.SUBSTRING_DEDUP)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.digests(load(spark, sf_dir, "documents"))
 
@@ -55,13 +55,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score", "languages")
 
 
-@query("op5_stupid_backoff")
+@query("op5_stupid_backoff", sql.STUPID_BACKOFF)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = backoff.score(load(spark, sf_dir, "documents"))
     return scored.select("doc_id", "n_words", "longest", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
-@query("op6_cover_tree")
+@query("op6_cover_tree", sql.COVER_TREE)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.links(load(spark, sf_dir, "embeddings"))
 
@@ -81,7 +81,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(load(spark, sf_dir, "documents"))
 
 
-@query("op10_chat_format")
+@query("op10_chat_format", sql.CHAT_FORMAT)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = "</s>[INST] ok [/INST]"
