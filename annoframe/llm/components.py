@@ -17,7 +17,8 @@ def components(links: DataFrame) -> DataFrame:
     Self links and repeated links do no harm; nodes without links have no row.
     """
     pairs = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
-    pairs = runtime.table(pairs)
+    spent: list[str] = []
+    pairs = runtime.table(pairs, spent)
     before = None
     while True:
         both = pairs.union(pairs.select("b", "a"))
@@ -27,7 +28,9 @@ def components(links: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a")
         small = small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
-        pairs = runtime.table(small.filter("a > b").distinct())
+        old, spent = spent, []
+        pairs = runtime.table(small.filter("a > b").distinct(), spent)
+        runtime.remove(links.sparkSession, old)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -14,7 +14,7 @@ fragment. Overlaps are counted for each fragment separately and summed for each
    nodes, compares them with those others that are in another component by now, and takes them off the
    list; an n-gram whose nodes are in one component is done. Near copies of one text hang together after
    the first round. A pair is left out if its sizes, or the n-grams that either one has from there on
-   in the order, rule out the threshold. The number of leaders grows fourfold, so that rounds grow with the logarithm of the
+   in the order, rule out the threshold. The number of leaders grows sixteenfold, so that rounds grow with the logarithm of the
    longest list, and every pair is either compared or within one component.
 5. *Overlaps.* Compared pairs get one count for each fragment, then the sum, exact over the whole sets.
 """
@@ -166,8 +166,10 @@ def _segments(batches: Iterator[pa.RecordBatch], n: int, fragments: int) -> Iter
 
 def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) at the threshold: counts for each fragment, summed for each pair."""
-    left = segments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("ga"))
-    right = segments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("gb"))
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    near = segments.join(named, "node", "left_semi")
+    left = near.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("ga"))
+    right = near.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("gb"))
     part = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("part"))
     total = part.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
     return total.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both")))
@@ -212,23 +214,25 @@ def classes(docs: DataFrame, *, n: int = N, percent: int = PERCENT, id_col: str
     texts = wanted.join(known, "doc_id").select("doc_id", "node", "f1", "f2", "text")
     if facts.groupBy("doc_id").count().filter("count > 1").limit(1).count():
         texts = texts.dropDuplicates(["node", "text"])
-    segments = runtime.table(texts.mapInArrow(lambda batches: _segments(batches, n, FRAGMENTS), "node long, n long, fragment int, grams array<long>"))
+    spent: list[str] = []
+    segments = texts.mapInArrow(lambda batches: _segments(batches, n, FRAGMENTS), "node long, n long, fragment int, grams array<long>")
+    segments = runtime.table(segments, spent)
 
-    lists = runtime.table(_candidates(segments, percent))
+    lists = runtime.table(_candidates(segments, percent), spent)
     roots, links, leaders = None, None, LEADERS
     while True:
         rooted = lists.withColumn("root", F.col("node")) if roots is None else lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_grams = rooted.groupBy("gram").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("n").alias("small")).filter("x < y").select("gram", "small")
         # An overlap of at most ``rest`` is too little for partners above a certain size.
         rooted = rooted.join(open_grams, "gram").filter((100 + percent) * F.col("rest") >= percent * (F.col("n") + F.col("small"))).drop("small")
-        rooted = runtime.table(rooted)
+        rooted = runtime.table(rooted, spent)
         if rooted.isEmpty():
             break
         # The first ``leaders`` of each list, by salted parts first, so that no task sorts a whole long list.
         best = [F.desc(F.col("rest") / F.col("n")), F.asc("node")]
         parted = rooted.withColumn("k", F.row_number().over(Window.partitionBy("gram", F.pmod("node", F.lit(64))).orderBy(*best))).filter(F.col("k") <= leaders)
         top = parted.withColumn("k", F.row_number().over(Window.partitionBy("gram").orderBy(*best))).filter(F.col("k") <= leaders)
-        top = runtime.table(top.select("gram", F.col("node").alias("lead"), F.col("n").alias("m"), F.col("rest").alias("most"), F.col("root").alias("other")))
+        top = runtime.table(top.select("gram", F.col("node").alias("lead"), F.col("n").alias("m"), F.col("rest").alias("most"), F.col("root").alias("other")), spent)
         near = (F.col("root") != F.col("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
         near &= (100 + percent) * F.least("rest", "most") >= percent * (F.col("n") + F.col("m"))
         pairs = rooted.join(top, "gram").filter(near)
@@ -238,13 +242,17 @@ def classes(docs: DataFrame, *, n: int = N, percent: int = PERCENT, id_col: str
             F.when(F.col("node") < F.col("lead"), F.col("n")).otherwise(F.col("m")).alias("na"),
             F.when(F.col("node") < F.col("lead"), F.col("m")).otherwise(F.col("n")).alias("nb"),
         ).distinct()
-        found = runtime.table(_overlaps(pairs, segments, percent).select("a", "b"))
-        links = found if links is None else links.union(found)
-        if not found.isEmpty():
-            roots = components(links)
+        pairs = runtime.table(pairs, spent)
+        if not pairs.isEmpty():
+            found = runtime.table(_overlaps(pairs, segments, percent).select("a", "b"), spent)
+            links = found if links is None else links.union(found)
+            if not found.isEmpty():
+                roots = components(links)
         lists = rooted.join(top.select("gram", F.col("lead").alias("node")), ["gram", "node"], "left_anti").select("gram", "node", "n", "rest")
-        leaders *= 4
+        leaders *= 16
 
+    # Only the roots, a table of their own, are read from here on.
+    runtime.remove(docs.sparkSession, spent)
     ids = nodes.select("n", "f1", "f2", "node", "doc_id")
     named = ids.withColumn("root", F.col("node")) if roots is None else ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -221,17 +221,24 @@ def _answers(found: pa.Table, later: bool) -> pa.Table:
 
 def _told(records: DataFrame, later: bool) -> DataFrame:
     answers = records.groupBy("group").applyInArrow(lambda t: _answers(t, later), "doc_id long, own long")
-    return answers.groupBy("doc_id").agg(F.collect_list("own").alias("own"))
+    return answers.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list("own").alias("_own"))
 
 
-def repeats(rows: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, own): for each document of ``rows`` (doc_id, text) the names of those of its windows that start in a
-    smaller document too."""
-    runtime.ship(rows.sparkSession)
-    groups = runtime.groups_for(rows, "text", GROUP_BYTES)
-    shared = _told(rows.mapInArrow(lambda b: _anchor_records(b, window, rounds, groups), _RECORDS), False)
-    near = rows.join(shared, "doc_id").select("doc_id", "own", "text")
-    return _told(near.mapInArrow(lambda b: _window_records(b, window, rounds, groups), _RECORDS), True)
+def _with_repeats(docs: DataFrame, id_col: str, text_col: str, keep: list[str], window: int, rounds: int) -> DataFrame:
+    """(_doc, _text, *keep, _own): ``_own`` has the names of those of a document's windows that start in a smaller one too.
+
+    Both joins take the same rows with the same columns, so that Spark deals the texts out once for both.
+    """
+    runtime.ship(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("_text"), *keep)
+    known = rows.filter("_doc is not null")
+    groups = runtime.groups_for(known, "_text", GROUP_BYTES)
+    texts = known.select("_doc", "_text")
+    shared = _told(texts.mapInArrow(lambda b: _anchor_records(b, window, rounds, groups), _RECORDS), False)
+    near = known.join(shared, "_doc").select("_doc", "_own", "_text", *keep)
+    found = _told(near.mapInArrow(lambda b: _window_records(b, window, rounds, groups), _RECORDS), True)
+    lone = rows.filter("_doc is null").withColumn("_own", F.lit(None).cast("array<bigint>"))
+    return known.join(found, "_doc", "left").select(*lone.columns).union(lone)
 
 
 def _kept(x: Texts, lists: pa.Array, length: int) -> Iterator[tuple[bytes, int, int]]:
@@ -262,11 +269,7 @@ def digests(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROUNDS, id_c
     repeat an id belong to one document: they never take words from each other. A row without id
     loses nothing, and nothing is lost to it. Other columns are not read.
     """
-    rows = runtime.texts(docs, id_col, text_col)
-    # The same rows go into both joins by id, so that Spark deals the texts out once for both.
-    known = rows.filter("doc_id is not null")
-    whole = known.join(repeats(known, window, rounds), "doc_id", "left").select("doc_id", "text", "own")
-    whole = whole.union(rows.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<bigint>")))
+    whole = _with_repeats(docs, id_col, text_col, [], window, rounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,20 +287,18 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROUNDS, id_col
     A text that loses words becomes its kept words joined by one space, maybe none; every other text,
     null included, and all other columns stay as they are. Cases as in ``digests``.
     """
-    rows = runtime.texts(docs, id_col, text_col).filter("doc_id is not null")
-    found = repeats(rows, window, rounds).withColumnsRenamed({"doc_id": "_doc", "own": "_own"})
-    whole = docs.join(found, docs[id_col].cast("long") == found["_doc"], "left").drop("_doc")
     names = docs.columns
-    at = names.index(text_col)
+    keep = [c for c in names if c != text_col]
+    whole = _with_repeats(docs, id_col, text_col, keep, window, rounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in slices(batch.column(at)):
+            for x in slices(batch.column(1)):
                 part = batch.slice(x.first, x.rows)
                 kept = list(_kept(x, part.column(part.num_columns - 1), window))
-                old = part.column(at)
+                old = part.column(1)
                 text = pa.array([k[0].decode("utf-8", "replace") if k[2] else old[i].as_py() for i, k in enumerate(kept)], old.type)
-                columns = [text if i == at else c for i, c in enumerate(part.columns[:-1])]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                others = dict(zip(keep, part.columns[2:-1], strict=True))
+                yield pa.RecordBatch.from_arrays([text if c == text_col else others[c] for c in names], names)
 
     return whole.mapInArrow(run, docs.schema)

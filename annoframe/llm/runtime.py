@@ -1,50 +1,37 @@
-"""Tables that cut lineage, the package on the workers, and sizes that follow the input."""
+"""Tables that cut lineage, and sizes that follow the input."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_shipped: set[str] = set()
-
+from annoframe.session import shared_folder, ship  # noqa: F401  (ship: for the operators)
 
 def folder(spark: SparkSession) -> str:
-    """A new folder in the one the cluster shares; a folder of our own only in local sessions."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder in the one that driver and executors share."""
+    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
 
+def table(df: DataFrame, spent: list[str] | None = None, *, compression: str = "snappy") -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it: whatever is lost later, this stays.
 
-def table(df: DataFrame, *, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it: whatever is lost later, this stays."""
+    The path is added to ``spent``, if given, for ``remove`` when nothing reads it any more.
+    """
     spark, path = df.sparkSession, folder(df.sparkSession)
     df.write.option("compression", compression).parquet(path)
+    if spent is not None:
+        spent.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the package to the executors, wherever the session was started; once per application."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    top = os.path.dirname(package)
-    path = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "annoframe.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for at, _, names in os.walk(package):
-            for name in names:
-                if name.endswith(".py"):
-                    z.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), top))
-    context.addPyFile(path)
-    _shipped.add(context.applicationId)
+def remove(spark: SparkSession, spent: list[str]) -> None:
+    """Delete tables that no lazy result reads."""
+    for name in spent:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spent.clear()
 
 
 def groups_for(docs: DataFrame, text: str, bytes_per_group: int) -> int:
