@@ -7,16 +7,18 @@ word's own share, and a word that no other document has counts as one word more
 
 1. *Pages.* Some documents' words become a page: a local dictionary and a code for each word. Pages are
    a table, so that what follows works on the same pages whatever is lost in between.
-2. *Counts.* Each page sends its different n-grams (all orders) with their counts, dealt to groups by
+2. *Counts.* Each page sends its different words and word pairs with their counts, dealt to groups by
    hash; a group adds up its part of the count table. A frequent n-gram is one record for each page.
 3. *Join.* A group sends each page the totals of those of its n-grams that other pages have too.
-4. *Scores.* Page and totals meet again by page; each document's own counts are taken off, and the scores of
+4. *Longer n-grams.* Those follow order by order in the same way, but only where both shorter n-grams inside occur outside
+   the document: no other one can, and most cannot.
+5. *Scores.* Page and totals meet again by page; each document's own counts are taken off, and the scores of
    its words are summed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +26,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annoframe.llm import runtime
-from annoframe.llm.columns import group_of, numbers, planes
+from annoframe.llm.columns import group_of, packed, unpacked
 from annoframe.llm.spans import hash_spans, mix, rows_of, slices
 
 ORDER = 3
 FACTOR = 0.4
-PAGE_BYTES = 16 << 20
+PAGE_BYTES = 12 << 20
 #: Text bytes for each group of the count tables: some 3 million n-grams.
 GROUP_BYTES = 8 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_PAGES = "page long, doc_id array<long>, n_words array<long>, words binary, codes binary"
+# A page's own row has its documents, words and codes; rows without documents have names and totals.
+_PAGES = "page long, doc_id array<long>, n_words array<long>, a binary, b binary"
+_PAGE_SCHEMA = pa.schema([("page", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary())])
+_ASKED = "group int, page long, names binary, counts binary"
+_ASKED_SCHEMA = pa.schema([("group", pa.int32()), ("page", pa.int64()), ("names", pa.binary()), ("counts", pa.binary())])
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +47,6 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     context = TaskContext.get()
     page = (context.partitionId() if context else 0) << 32
-    schema = pa.schema([("page", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("words", pa.binary()), ("codes", pa.binary())])
     for batch in batches:
         for x in slices(batch.column(1), PAGE_BYTES):
             start, end, first = x.words()
@@ -49,9 +54,9 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             by = np.argsort(-count, kind="stable")  # frequent words get small codes, which compress well
             rank = np.empty(len(names), np.int64)
             rank[by] = np.arange(len(names))
-            row = [[page], [batch.column(0).slice(x.first, x.rows).to_pylist()], [np.diff(first)], [planes(names[by])], [planes(rank[code])]]
+            row = [[page], [batch.column(0).slice(x.first, x.rows).to_pylist()], [np.diff(first)], [packed(names[by])], [packed(rank[code])]]
             page += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, schema, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, _PAGE_SCHEMA, strict=True)], schema=_PAGE_SCHEMA)
 
 
 def _grams(words: np.ndarray, first: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -68,28 +73,32 @@ def _grams(words: np.ndarray, first: np.ndarray, order: int) -> list[tuple[np.nd
 
 
 def _page(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    words = numbers(row["words"])[numbers(row["codes"], np.int64)]
+    words = unpacked(row["a"])[unpacked(row["b"], np.int64)]
     return words, np.concatenate([[0], np.cumsum(np.array(row["n_words"], np.int64))])
 
 
+def _asked(page: int, name: np.ndarray, groups: int) -> Iterator[pa.RecordBatch]:
+    """The different names with their counts, one record for each group."""
+    names, counts = np.unique(name, return_counts=True)
+    group = group_of(names, groups)
+    cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+    for a, b in zip(cut, np.append(cut[1:], len(group)), strict=True):
+        cells = [[group[a]], [page], [packed(names[a:b])], [packed(counts[a:b].astype(np.int64))]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, _ASKED_SCHEMA, strict=True)], schema=_ASKED_SCHEMA)
+
+
 def _requests(batches: Iterator[pa.RecordBatch], order: int, groups: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("group", pa.int32()), ("page", pa.int64()), ("names", pa.binary()), ("counts", pa.binary())])
     for batch in batches:
         for row in batch.to_pylist():
             for name, has in _grams(*_page(row), order):
-                names, counts = np.unique(name[has], return_counts=True)
-                group = group_of(names, groups)
-                cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
-                for a, b in zip(cut, np.append(cut[1:], len(group)), strict=True):
-                    cells = [[group[a]], [row["page"]], [planes(names[a:b])], [planes(counts[a:b].astype(np.int64))]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, schema, strict=True)], schema=schema)
+                yield from _asked(row["page"], name[has], groups)
 
 
 def _totals(found: pa.Table) -> pa.Table:
-    """(page, names, totals): for each page its n-grams that other pages have too."""
-    cells = [numbers(c) for c in found.column("names").to_pylist()]
+    """Rows of names and totals: for each page its n-grams that other pages have too."""
+    cells = [unpacked(c) for c in found.column("names").to_pylist()]
     names = np.concatenate(cells)
-    counts = np.concatenate([numbers(c, np.int64) for c in found.column("counts").to_pylist()])
+    counts = np.concatenate([unpacked(c, np.int64) for c in found.column("counts").to_pylist()])
     owner = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
     order = np.argsort(names, kind="stable")
     names, counts, owner = names[order], counts[order], owner[order]
@@ -103,47 +112,68 @@ def _totals(found: pa.Table) -> pa.Table:
     cut = np.searchsorted(owner, np.arange(len(cells) + 1))
     some = np.flatnonzero(np.diff(cut))
     page = np.asarray(found.column("page"))[some]
-    columns = [page, [planes(names[cut[i] : cut[i + 1]]) for i in some], [planes(total[cut[i] : cut[i + 1]]) for i in some]]
-    schema = pa.schema([("page", pa.int64()), ("names", pa.binary()), ("totals", pa.binary())])
-    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    none = [None] * len(some)
+    columns = [page, none, none, [packed(names[cut[i] : cut[i + 1]]) for i in some], [packed(total[cut[i] : cut[i + 1]]) for i in some]]
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, _PAGE_SCHEMA, strict=True)], schema=_PAGE_SCHEMA)
+
+
+class _Counts:
+    """A page's words with the counts of its n-grams outside each word's document, order by order."""
+
+    def __init__(self, rows: list[dict]):
+        self.row = next(r for r in rows if r["doc_id"] is not None)
+        told = [r for r in rows if r["doc_id"] is None]
+        self.words, self.first = _page(self.row)
+        self.doc = rows_of(self.first, len(self.words))
+        names = np.concatenate([unpacked(r["a"]) for r in told] or [np.zeros(0, np.uint64)])
+        totals = np.concatenate([unpacked(r["b"], np.int64) for r in told] or [np.zeros(0, np.int64)])
+        by = np.argsort(names)
+        self.names, self.totals = names[by], totals[by]
+
+    def outside(self, name: np.ndarray, has: np.ndarray) -> np.ndarray:
+        """How often the n-gram that ends at each word occurs in other documents."""
+        kinds, code, count = np.unique(name[has], return_inverse=True, return_counts=True)
+        at = np.searchsorted(self.names, kinds)
+        hit = at < len(self.names)
+        hit[hit] = self.names[at[hit]] == kinds[hit]
+        count[hit] = self.totals[at[hit]]
+        _, pair, own = np.unique(code * (len(self.first) - 1) + self.doc[has], return_inverse=True, return_counts=True)
+        left = np.zeros(len(name), np.int64)
+        left[has] = count[code] - own[pair]
+        return left
+
 
+def _longer(found: pa.Table, n: int, groups: int) -> pa.Table:
+    """Requests for the n-grams of order ``n`` whose two shorter ones occur outside their document."""
+    counts = _Counts(found.to_pylist())
+    grams = _grams(counts.words, counts.first, n)
+    left = counts.outside(*grams[n - 2]) > 0
+    both = grams[n - 1][1] & left & np.r_[False, left[:-1]] if len(left) else left
+    parts = list(_asked(counts.row["page"], grams[n - 1][0][both], groups))
+    return pa.Table.from_batches(parts, schema=_ASKED_SCHEMA)
 
-def _scores(pages: pa.Table, told: pa.Table, order: int, factor: float, all_words: int) -> pa.Table:
+
+def _asking(n: int, groups: int) -> Callable[[pa.Table], pa.Table]:
+    return lambda found: _longer(found, n, groups)
+
+
+def _scores(rows: list[dict], order: int, factor: float, all_words: int) -> pa.Table:
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64()), ("longest", pa.int64())])
-    if not pages.num_rows:
-        return schema.empty_table()
-    row = pages.to_pylist()[0]
-    words, first = _page(row)
-    rows = len(first) - 1
-    doc = rows_of(first, len(words))
-    names = np.concatenate([numbers(c) for c in told.column("names").to_pylist()] or [np.zeros(0, np.uint64)])
-    totals = np.concatenate([numbers(c, np.int64) for c in told.column("totals").to_pylist()] or [np.zeros(0, np.int64)])
-    by = np.argsort(names)
-    names, totals = names[by], totals[by]
-    others, size = all_words - np.diff(first), np.diff(first)
-    score = np.log(1.0 / (others[doc] + 1)) + order * np.log(factor)
-    context = others[doc].astype(np.float64)
-    longest = np.zeros(len(words), np.int64)
-    for n, (name, has) in enumerate(_grams(words, first, order), 1):
-        kinds, code, count = np.unique(name[has], return_inverse=True, return_counts=True)
-        at = np.searchsorted(names, kinds)
-        hit = at < len(names)
-        hit[hit] = names[at[hit]] == kinds[hit]
-        count[hit] = totals[at[hit]]
-        # What the document has itself does not count.
-        _, pair, own = np.unique(code * rows + doc[has], return_inverse=True, return_counts=True)
-        left = np.zeros(len(words))
-        left[has] = count[code] - own[pair]
-        if n > 1:
-            # The context is the same n-gram without its last word: it ends one word before.
-            context = np.concatenate([[0.0], shorter[:-1]])
+    counts = _Counts(rows)
+    first, doc, size = counts.first, counts.doc, np.diff(counts.first)
+    others = (all_words - size)[doc]
+    score = np.log(1.0 / (others + 1)) + order * np.log(factor)
+    context, longest = others, np.zeros(len(doc), np.int64)
+    for n, (name, has) in enumerate(_grams(counts.words, first, order), 1):
+        left = counts.outside(name, has)
         seen = left > 0
         score[seen] = np.log(left[seen] / context[seen]) + (order - n) * np.log(factor)
         longest[seen] = n
-        shorter = left
+        # The context of the next order is this n-gram without the next word: it ends one word before.
+        context = np.r_[0, left[:-1]]
     total = np.concatenate([[0.0], np.cumsum(score)])
     full = np.concatenate([[0], np.cumsum(longest == order)])
-    columns = [row["doc_id"], size, total[first[1:]] - total[first[:-1]], full[first[1:]] - full[first[:-1]]]
+    columns = [counts.row["doc_id"], size, total[first[1:]] - total[first[:-1]], full[first[1:]] - full[first[:-1]]]
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
@@ -158,11 +188,22 @@ def score(docs: DataFrame, *, order: int = ORDER, factor: float = FACTOR, id_col
     runtime.ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     groups = runtime.groups_for(rows, "text", GROUP_BYTES)
-    pages = runtime.table(rows.mapInArrow(_pages, _PAGES), compression="zstd")
+    pages = runtime.table(rows.mapInArrow(_pages, _PAGES))
     n = pages.agg(F.sum(F.aggregate("n_words", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    asked = pages.mapInArrow(lambda b: _requests(b, order, groups), "group int, page long, names binary, counts binary")
-    told = asked.groupBy("group").applyInArrow(_totals, "page long, names binary, totals binary")
-    scored = pages.groupBy("page").cogroup(told.groupBy("page")).applyInArrow(
-        lambda p, t: _scores(p, t, order, factor, n), "doc_id long, n_words long, log_score double, longest long"
-    )
+    asked = pages.mapInArrow(lambda b: _requests(b, min(order, 2), groups), _ASKED)
+    # Pages and what they were told so far: dealt out by page once for all that follows.
+    known = pages.union(asked.groupBy("group").applyInArrow(_totals, _PAGES))
+    more = None
+    for k in range(3, order + 1):
+        if more is not None:
+            known, more = known.union(more), None
+        asked = known.groupBy("page").applyInArrow(_asking(k, groups), _ASKED)
+        more = asked.groupBy("group").applyInArrow(_totals, _PAGES)
+    kind = "doc_id long, n_words long, log_score double, longest long"
+    if more is None:
+        scored = known.groupBy("page").applyInArrow(lambda t: _scores(t.to_pylist(), order, factor, n), kind)
+    else:
+        scored = known.groupBy("page").cogroup(more.groupBy("page")).applyInArrow(
+            lambda a, b: _scores(a.to_pylist() + b.to_pylist(), order, factor, n), kind
+        )
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -23,3 +24,15 @@ def joined(cells: list[bytes], kind: type = np.uint64) -> np.ndarray:
 def group_of(names: np.ndarray, groups: int) -> np.ndarray:
     """The group of each 64-bit name: equal ranges of the name space."""
     return ((names >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """As ``planes``, and compressed, for numbers that are small or that are kept on disk too."""
+    data = planes(values)
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpacked(cell: bytes, kind: type = np.uint64) -> np.ndarray:
+    """The numbers of a cell made by ``packed``."""
+    size = int.from_bytes(cell[:8], "little")
+    return numbers(pa.decompress(cell[8:], size, codec="zstd", asbytes=True), kind)
