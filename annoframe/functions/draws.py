@@ -9,14 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = 1 << 32
+#: 60 bits, so that draws reach every row of any table.
+SPACE = 1 << 60
 
 
 def unit(seed: int | str, *keys: Column | str) -> Column:
-    """A uniform integer in [0, 2**32) drawn from ``seed`` and ``keys``."""
+    """A uniform integer in [0, 2**60) drawn from ``seed`` and ``keys``."""
     parts = [F.col(k) if isinstance(k, str) else k for k in keys]
     text = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def below(limit: Column | int, seed: int | str, *keys: Column | str) -> Column:

@@ -194,3 +194,13 @@ def flatten_record(record: Column, paths: dict[str, str]) -> list[Column]:
             col = col[part]
         out.append(col.alias(name))
     return out
+
+
+# What a number may look like: no type suffixes such as 1d or 5f, which a cast would take.
+_NUMBER = r"(?i)^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?$|^[+-]?(inf|infinity|nan)$"
+
+
+def number(text: Column) -> Column:
+    """The text as a double, NULL if it is not written as a number."""
+    plain = F.trim(text.cast("string"))
+    return F.when(plain.rlike(_NUMBER), F.regexp_replace(plain, "_", "").try_cast("double"))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annoframe.functions import constants as C
-from annoframe.functions.sequences import LETTER_CLASS, once
+from annoframe.functions.sequences import LETTER_CLASS, number, once
 
 MIN_VIABLE = 100
 RECOMMENDED = 300
@@ -35,7 +35,7 @@ def ambiguous(text: Column) -> Column:
 
 def numeric(label: Column) -> Column:
     """The label text reads as a number (AU4)."""
-    return F.trim(label.cast("string")).try_cast("double").isNotNull()
+    return number(label).isNotNull()
 
 
 def flag_rows(

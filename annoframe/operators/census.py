@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annoframe.functions import constants as C
+from annoframe.functions.joins import join_keys
 from annoframe.operators import ranks
 
 # Notation patterns of a sequence text.
@@ -82,7 +83,7 @@ def numeric_stats(
         aggs += [F.percentile_approx("_v", p).alias(n) for n, p in probs.items()]
         return rows.groupBy(*keys).agg(*aggs).select(*by, "count", "mean", "std", "min", "max", *probs)
     qs = ranks.quantiles(rows, "_v", probs, keys)
-    out = rows.groupBy(*keys).agg(*aggs).join(qs, keys)
+    out = join_keys(rows.groupBy(*keys).agg(*aggs), qs, keys)
     return out.select(*by, "count", "mean", "std", "min", "max", *probs)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annoframe.functions import constants as C
-from annoframe.functions.sequences import anchor_status, once
+from annoframe.functions.sequences import anchor_status, number, once
 from annoframe.operators import validate
 
 PARSER_VERSION = "1.0.0"
@@ -214,7 +214,7 @@ def annotate(
 
 def label(text: Column) -> Column:
     """The label as a number, NULL for missing or non-numeric text (CV5)."""
-    return F.trim(text.cast("string")).try_cast("double")
+    return number(text)
 
 
 def sample_id(dataset: str, row_index: Column) -> Column:
@@ -231,13 +231,19 @@ def assay_metadata(fields: dict[str, Column], constants: dict[str, str]) -> Colu
 
 
 def provenance(
-    source_file: Column, row_index: Column, raw: Sequence[str], version: str = PARSER_VERSION
+    source_file: Column,
+    row_index: Column,
+    raw: Sequence[str],
+    version: str = PARSER_VERSION,
+    max_fields: int | None = None,
+    max_chars: int | None = None,
 ) -> Column:
-    """Where a row came from, with the first five raw fields cut to 100 characters (CV9)."""
+    """Where a row came from, with its raw fields (CV9): all of them whole, unless cut by the two limits."""
     flat = []
-    for name in list(raw)[:5]:
-        text = F.substring(F.col(f"`{name}`").cast("string"), 1, 100)
-        falsy = (text == "") | (text.try_cast("double") == 0) | (text == "false")
+    for name in list(raw)[:max_fields]:
+        text = F.col(f"`{name}`").cast("string")
+        text = text if max_chars is None else F.substring(text, 1, max_chars)
+        falsy = (text == "") | (number(text) == 0) | (text == "false")
         flat += [F.lit(name), F.when(~F.coalesce(falsy, F.lit(False)), text)]
     return F.struct(
         source_file.alias("source_file"),
@@ -272,7 +278,7 @@ def convert(
     shape_col = F.col(shape) if shape else F.lit(None).cast("string")
     fields = {name: F.col(col) for name, col in (metadata or {}).items()}
     if year:
-        fields["publication_year"] = F.col(year).cast("string").try_cast("double").cast("int")
+        fields["publication_year"] = number(F.col(year)).cast("int")
     raw = df.columns
     step = once(df, _tokens=parse_token_list(F.col(tokens)))
     step = once(step, _placed=placed_tokens(F.col("_tokens"), extra_tokens))

@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annoframe.functions import draws
+from annoframe.functions.joins import join_keys
 from annoframe.operators import ranks
+from annoframe.session import ship
 
 KEY_METRICS = ("rmse", "mae", "r2", "spearman")
 
@@ -100,8 +102,8 @@ def spearman(
     """Spearman correlation with average ranks per group (ME5); ``weight`` repeats rows."""
     base, keys = ranks.keyed(df, by)
     pairs = _distinct_pairs(base, keys, x, y, weight)
-    ranked = pairs.join(_mid_ranks(pairs, keys, "_x", "_rx", bucket_rows), [*keys, "_x"])
-    ranked = ranked.join(_mid_ranks(pairs, keys, "_y", "_ry", bucket_rows), [*keys, "_y"])
+    ranked = join_keys(pairs, _mid_ranks(pairs, keys, "_x", "_rx", bucket_rows), [*keys, "_x"])
+    ranked = join_keys(ranked, _mid_ranks(pairs, keys, "_y", "_ry", bucket_rows), [*keys, "_y"])
     w, rx, ry = F.col("_w"), F.col("_rx"), F.col("_ry")
     agg = ranked.groupBy(*keys).agg(
         F.sum(w).alias("_n"),
@@ -165,7 +167,8 @@ def _counter(keys: Sequence[str], first: str, second: str):
                 pdf = pd.concat([held, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            open_group = (pdf[keys] == pdf[keys].iloc[-1]).all(axis=1)
+            numbers = pdf.groupby(keys, sort=False, dropna=False).ngroup()
+            open_group = numbers == numbers.iloc[-1]
             if not open_group.all():
                 yield count(pdf[~open_group])
             held = pdf[open_group]
@@ -195,14 +198,15 @@ def inversions(
         full = schema if not extra else key_ddl + ", " + ", ".join(f"{k} bigint" for k in extra) + ", _inv bigint"
         ready = df.select(*dict.fromkeys([*keys, first, second, "_w"]))
         ready = ready.repartition(*keys).sortWithinPartitions(*keys)
+        ship(df.sparkSession)
         return ready.mapInPandas(_counter(keys, first, second), full).select(*by, "_inv")
 
     grid = rows.groupBy(*by, "_bx", "_by").agg(F.sum("_w").alias("_w"))
     same_x = counted(rows.filter(F.col("_bx") % 2 == 0), [*by, "_bx"], "_x", "_y")
     # A group in one bucket is finished by same_x; only cut groups have more to count.
     cut = grid.groupBy(*by).agg(F.count(F.lit(1)).alias("_cells")).filter(F.col("_cells") > 1)
-    across = counted(grid.join(cut, by, "left_semi"), by, "_bx", "_by")
-    large = rows.join(cut, by, "left_semi").filter(F.col("_by") % 2 == 0)
+    across = counted(join_keys(grid, cut, by, "left_semi"), by, "_bx", "_by")
+    large = join_keys(rows, cut, by, "left_semi").filter(F.col("_by") % 2 == 0)
     large = large.groupBy(*by, "_by", "_bx", "_y").agg(F.sum("_w").alias("_w"))
     same_y = counted(large, [*by, "_by"], "_bx", "_y")
     parts = across.unionByName(same_x).unionByName(same_y)
@@ -236,10 +240,9 @@ def pair_counts(
     tx = tx.groupBy(*keys).agg(F.sum(_choose2(F.col("_w"))).alias("tied_truth"))
     ty = pairs.groupBy(*keys, "_y").agg(F.sum("_w").alias("_w"))
     ty = ty.groupBy(*keys).agg(F.sum(_choose2(F.col("_w"))).alias("tied_pred"))
+    out = join_keys(join_keys(both, tx, keys), ty, keys)
     out = (
-        both.join(tx, keys)
-        .join(ty, keys)
-        .join(inversions(pairs, keys, bucket_rows), keys, "left")
+        join_keys(out, inversions(pairs, keys, bucket_rows), keys, "left")
         .withColumn("total", _choose2(F.col("n")))
         .withColumn("discordant", F.coalesce(F.col("inversions"), F.lit(0)).cast("double"))
     )
@@ -253,7 +256,7 @@ def pair_counts(
     )
     counts = ["total", "tied_truth", "tied_pred", "tied_both", "concordant", "discordant"]
     if order is not None:
-        out = out.join(_tied_rising(base, keys, truth, pred, order, bucket_rows), keys, "left")
+        out = join_keys(out, _tied_rising(base, keys, truth, pred, order, bucket_rows), keys, "left")
         out = out.withColumn("tied_rising", F.coalesce("tied_rising", F.lit(0.0)))
         counts.append("tied_rising")
     return out.select(*by, "n", *[F.col(c).cast("bigint").alias(c) for c in counts])
@@ -269,13 +272,13 @@ def _tied_rising(
     ).withColumn("_w", F.lit(1).cast("bigint"))
     groups = rows.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_s"))
     groups = groups.filter(F.col("_s") > 1)
-    tied = rows.join(groups.drop("_s"), [*keys, "_p"], "left_semi")
+    tied = join_keys(rows, groups.drop("_s"), [*keys, "_p"], "left_semi")
     same = tied.groupBy(*keys, "_p", "_y").agg(F.count(F.lit(1)).alias("_s"))
     same = same.groupBy(*keys).agg(F.sum(_choose2(F.col("_s"))).alias("_same"))
     every = groups.groupBy(*keys).agg(F.sum(_choose2(F.col("_s"))).alias("_all_pairs"))
     falling = inversions(tied, [*keys, "_p"], bucket_rows)
     falling = falling.groupBy(*keys).agg(F.sum("inversions").alias("_fall"))
-    out = every.join(same, keys).join(falling, keys, "left")
+    out = join_keys(join_keys(every, same, keys), falling, keys, "left")
     rising = F.col("_all_pairs") - F.col("_same") - F.coalesce("_fall", F.lit(0))
     return out.select(*keys, rising.alias("tied_rising"))
 
@@ -312,7 +315,7 @@ def _top_flags(
     order = ["_neg", "_h", key]
     cut = ranks.crossing(items, keys, "_b", order, "_one", targets, "_k")
     cut = cut.select(*keys, F.struct(*order).alias("_cut"), F.col("_k").alias(f"_k_{flag}"))
-    out = items.join(cut, keys)
+    out = join_keys(items, cut, keys)
     out = out.withColumn(flag, F.struct(*order) <= F.col("_cut"))
     return out.drop("_neg", "_h", "_vb", "_b", "_one", "_cut")
 
@@ -386,13 +389,13 @@ def sampled_pairwise_accuracy(
     right = rows.select(
         *keys, F.col("_i").alias("_j"), F.col(truth).alias("_tj"), F.col(pred).alias("_pj")
     )
-    seen = sets.join(left, [*keys, "_i"]).join(right, [*keys, "_j"])
+    seen = join_keys(join_keys(sets, left, [*keys, "_i"]), right, [*keys, "_j"])
     valid = F.col("_ti") != F.col("_tj")
     agree = (F.col("_ti") > F.col("_tj")) == (F.col("_pi") > F.col("_pj"))
     agg = seen.groupBy(*keys).agg(
         F.count_if(valid).alias("valid_pairs"), F.count_if(valid & agree).alias("correct_pairs")
     )
-    out = sizes.join(agg, keys, "left")
+    out = join_keys(sizes, agg, keys, "left")
     acc = F.when(F.col("valid_pairs") > 0, F.col("correct_pairs") / F.col("valid_pairs"))
     return out.select(
         *by,
@@ -408,7 +411,7 @@ def key_metrics(
     """rmse, mae, r2 and spearman per group: the set other reports use (ME10)."""
     reg, keys = ranks.keyed(regression(df, by, truth, pred), by)
     rho, _ = ranks.keyed(spearman(df, by, truth, pred), by)
-    return reg.join(rho, keys, "left").select(*by, "n_samples", *KEY_METRICS)
+    return join_keys(reg, rho, keys, "left").select(*by, "n_samples", *KEY_METRICS)
 
 
 def all_metrics(
@@ -421,7 +424,7 @@ def all_metrics(
     reg, keys = ranks.keyed(regression(df, by, truth, pred), by)
     rho, _ = ranks.keyed(spearman(df, by, truth, pred), by)
     tau, _ = ranks.keyed(kendall(df, by, truth, pred), by)
-    out = reg.join(rho, keys, "left").join(tau, keys, "left")
+    out = join_keys(join_keys(reg, rho, keys, "left"), tau, keys, "left")
     enough = F.col("n_samples") >= 2
     return out.select(
         *by,

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annoframe.functions.joins import join_keys
 from annoframe.operators import metrics, ranks, stats
 from annoframe.session import settle
 
@@ -28,7 +29,7 @@ def family_accuracy(
     n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_test"))
     rho = metrics.spearman(df, by, truth, pred, bucket_rows=bucket_rows)
     share = F.when(F.col("valid_pairs") > 0, F.col("correct_pairs") / F.col("valid_pairs"))
-    out = n.join(acc, list(by), "left").join(rho, list(by), "left")
+    out = join_keys(join_keys(n, acc, by, "left"), rho, by, "left")
     return out.select(
         *by,
         "n_test",

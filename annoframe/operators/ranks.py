@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from annoframe.functions.joins import join_keys
 from annoframe.session import settle
 
 BUCKET_ROWS = 100_000
 FAN = 16
-HASH_SHIFT = 16
+# Leaves 16 of the 60 bits of a draw.
+HASH_SHIFT = 44
 
 
 def keyed(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -68,7 +70,9 @@ def _bucketed(
     df: DataFrame, by: Sequence[str], value: str, edges: DataFrame, name: str, fan: int
 ) -> DataFrame:
     x = F.col(value).cast("double")
-    joined = df.join(edges.drop("_n"), list(by))
+    # Without keys there is one row of edges; with the constant key folded away it must be the built side.
+    sides = F.broadcast(edges.drop("_n")) if list(by) == ["_all"] else edges.drop("_n")
+    joined = join_keys(df, sides, by)
     coarse = F.size(F.filter("_coarse_edges", lambda e: e < x))
     joined = joined.withColumn("_coarse_edges", coarse)
     fine = F.size(F.filter(F.slice("_fine_edges", F.col("_coarse_edges") * fan + 1, fan), lambda e: e < x))
@@ -99,7 +103,7 @@ def cumulate(
         *[F.coalesce(F.sum(f"_t_{m}").over(earlier), F.lit(0)).alias(f"_o_{m}") for m in measures],
     )
     inside = W.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    out = rows.join(offsets, [*by, "_bucket"])
+    out = join_keys(rows, offsets, [*by, "_bucket"])
     for m in measures:
         out = out.withColumn(
             f"{m}_before", F.col(f"_o_{m}") + F.coalesce(F.sum(m).over(inside), F.lit(0))
@@ -128,14 +132,14 @@ def crossing(
     totals = totals.withColumn("_hi", F.sum("_w").over(upto)).withColumn(
         "_lo", F.col("_hi") - F.col("_w")
     )
-    hits = targets.join(totals.drop("_w"), by).filter(
+    hits = join_keys(targets, totals.drop("_w"), by).filter(
         (F.col("_lo") < F.col(target)) & (F.col(target) <= F.col("_hi"))
     )
-    near = items.join(hits.select(*by, bucket).distinct(), [*by, bucket], "left_semi")
+    near = join_keys(items, hits.select(*by, bucket).distinct(), [*by, bucket], "left_semi")
     near = near.groupBy(*by, bucket, *order).agg(F.sum(weight).alias("_w"))
     inner = W.partitionBy(*by, bucket).orderBy(*order)
     near = near.withColumn("_run", F.sum("_w").over(inner))
-    found = hits.join(near, [*by, bucket])
+    found = join_keys(hits, near, [*by, bucket])
     found = found.withColumn("reached", F.col("_lo") + F.col("_run")).filter(
         (F.col("reached") >= F.col(target)) & (F.col("reached") - F.col("_w") < F.col(target))
     )
@@ -191,7 +195,7 @@ def quantiles(
 
 
 def hash_bucket(hashed: Column) -> Column:
-    """Leading bits of a 32-bit hash: an order-preserving bucket for hash order."""
+    """Leading bits of a draw: an order-preserving bucket for hash order."""
     return F.shiftright(hashed, HASH_SHIFT)
 
 
@@ -205,7 +209,7 @@ def dense_index(df: DataFrame, by: Sequence[str], hashed: str, key: str, name: s
         *keys, "_hb", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off")
     )
     inside = W.partitionBy(*keys, "_hb").orderBy(hashed, key)
-    out = rows.join(offsets, [*keys, "_hb"]).withColumn(
+    out = join_keys(rows, offsets, [*keys, "_hb"]).withColumn(
         name, F.col("_off") + F.row_number().over(inside) - 1
     )
     return out.drop("_hb", "_off", *([] if by else ["_all"]))

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annoframe.functions import draws
+from annoframe.functions.joins import join_keys
 from annoframe.operators import ranks
 from annoframe.session import settle
 
@@ -54,7 +55,7 @@ def _cuts(
     found = found.withColumn("_at", F.struct("_h", F.col(key).alias("_k")))
     picked = [F.max(F.when(F.col("cut") == c, F.col("_at"))).alias(c) for c in cut_names]
     # Strata without any crossing (all sizes 0) keep NULL cut points: nothing lies below.
-    cuts = sizes.select(*strata).join(found.groupBy(*strata).agg(*picked), strata, "left")
+    cuts = join_keys(sizes.select(*strata), found.groupBy(*strata).agg(*picked), strata, "left")
     # One row per stratum. Settled, so that using the cuts does not repeat the search for them.
     return settle(cuts)
 
@@ -86,7 +87,7 @@ def _take(
         F.floor(F.count(F.lit(1)) * F.lit(share) + 0.5).cast("bigint").alias("_cut")
     )
     cuts = _cuts(rows, strata, key, sizes, ["_cut"])
-    out = rows.join(cuts, strata).withColumn(flag, _below("_cut", key))
+    out = join_keys(rows, cuts, strata).withColumn(flag, _below("_cut", key))
     return out.drop("_h", "_w", "_cut")
 
 
@@ -141,7 +142,7 @@ def by_group(
     split = (
         F.when(_below("_train", group), "train").when(_below("_val", group), "val").otherwise("test")
     )
-    return _finish(rows.join(cuts, strata), strata, split, ["_train", "_val"])
+    return _finish(join_keys(rows, cuts, strata), strata, split, ["_train", "_val"])
 
 
 def by_group_fill(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annoframe.functions import draws
+from annoframe.functions.joins import join_keys
 from annoframe.functions.tquantile import t_975_column
 from annoframe.operators import metrics, ranks
 from annoframe.session import settle
@@ -124,11 +126,11 @@ def sign_flip(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Exact two-sided sign-flip permutation p of the mean (ST5).
 
     All 2**n sign vectors of the n values of a group are enumerated, which bounds n: groups with
-    more than SIGN_FLIP_LIMIT values get NULL.
+    more than SIGN_FLIP_LIMIT values are an error when their row is computed, never NULL.
     """
     rows, keys = ranks.keyed(df.filter(F.col(value).isNotNull()), by)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pairs"))
-    small = rows.join(sizes.filter(F.col("n_pairs") <= SIGN_FLIP_LIMIT), keys)
+    small = join_keys(rows, sizes.filter(F.col("n_pairs") <= SIGN_FLIP_LIMIT), keys)
     lists = small.groupBy(*keys).agg(
         F.max("n_pairs").alias("_n"), F.array_sort(F.collect_list(F.abs(value))).alias("_d"),
         F.abs(F.sum(value)).alias("_obs"),
@@ -138,7 +140,9 @@ def sign_flip(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     bit = F.expr("aggregate(transform(_d, (v, i) -> if(getbit(_m, i) = 1, v, -v)), 0D, (a, v) -> a + v)")
     reached = F.abs(bit) / F.col("_n") >= F.col("_obs") / F.col("_n") - 1e-15
     p = flips.groupBy(*keys).agg(F.avg(reached.cast("double")).alias("p_value_unadjusted"))
-    return sizes.join(p, keys, "left").select(*by, "n_pairs", "p_value_unadjusted")
+    many = F.raise_error(F.concat(F.lit(f"more than {SIGN_FLIP_LIMIT} values in a group: "), F.col("n_pairs").cast("string")))
+    checked = F.when(F.col("n_pairs") > SIGN_FLIP_LIMIT, many.cast("double")).otherwise(F.col("p_value_unadjusted"))
+    return join_keys(sizes, p, keys, "left").select(*by, "n_pairs", checked.alias("p_value_unadjusted"))
 
 
 def holm(df: DataFrame, p: str, key: Sequence[str], name: str = "p_value_holm") -> DataFrame:
@@ -359,15 +363,32 @@ def mean_bootstrap(
     return out.select(*by, "n_units", "mean", "ci95_low", "ci95_high")
 
 
+def log_factorial(n: Column) -> Column:
+    """ln n!, by Stirling's series from 16 on (error below 1e-15 of the value)."""
+    x = n.cast("double") + 1 + 16
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi)
+    series = series + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    product = F.lit(1.0)
+    for k in range(1, 17):
+        product = product * (n.cast("double") + k)
+    return series - F.log(product)
+
+
 def binomial_tail(n: Column, k: Column) -> Column:
-    """min(1, 2 P(X <= k)) for X ~ Binomial(n, 1/2), summed term by term in log space."""
-    start = F.struct((-n * F.log(F.lit(2.0))).alias("lc"), F.lit(0.0).alias("s"))
+    """min(1, 2 P(X <= k)) for X ~ Binomial(n, 1/2), from the largest term down.
+
+    Terms fall at least like those of a normal tail: beyond 5 sqrt(n) + 50 they are below double precision.
+    """
+    largest = F.exp(log_factorial(n) - log_factorial(k) - log_factorial(n - k) - n * math.log(2.0))
+    lowest = F.greatest(F.lit(0), k - F.ceil(5 * F.sqrt(n.cast("double"))) - 50).cast("bigint")
+    start = F.struct(largest.alias("term"), F.lit(0.0).alias("s"))
 
     def step(a: Column, i: Column) -> Column:
-        grown = a["lc"] + F.log((n - i).cast("double") / (i + 1))
-        return F.struct(F.coalesce(grown, F.lit(0.0)).alias("lc"), (a["s"] + F.exp(a["lc"])).alias("s"))
+        j = k - i + lowest  # k down to lowest
+        below = a["term"] * j / (n - j + 1)
+        return F.struct(below.alias("term"), (a["s"] + a["term"]).alias("s"))
 
-    walk = F.aggregate(F.sequence(F.lit(0).cast("bigint"), k), start, step)
+    walk = F.aggregate(F.sequence(lowest, k.cast("bigint")), start, step)
     return F.least(F.lit(1.0), 2 * walk["s"])
 
 
@@ -400,7 +421,7 @@ def association(
     long = melt(df, [*by, metric], diagnostics, "diagnostic", "_d")
     rho = metrics.spearman(long, [*by, "diagnostic"], metric, "_d")
     n = long.groupBy(*by, "diagnostic").agg(F.count("_d").alias("n_cutoffs"))
-    out = rho.join(n, [*by, "diagnostic"])
+    out = join_keys(rho, n, [*by, "diagnostic"])
     return out.withColumnRenamed("spearman", "cutoff_level_spearman")
 
 

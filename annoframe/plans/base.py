@@ -51,4 +51,4 @@ def r(expr: str, name: str, digits: int = DIGITS) -> str:
 def sql_unit(*parts: str) -> str:
     """SQL counterpart of ``draws.unit``: parts are SQL expressions, the seed included."""
     text = " || ':' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
-    return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
+    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"

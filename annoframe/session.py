@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,15 +29,44 @@ def local_session(cores: int | str = 8, name: str = "annoframe", **conf: str) ->
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return named
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, so that a lost executor cannot undo an iteration.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset (tests, local runs) a folder of our own is made.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; only local sessions
+    without one get a folder of our own, and others are an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors, wherever the session was started; once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    top = os.path.dirname(package)
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "annoframe.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for at, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    archive.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), top))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)

@@ -85,9 +85,17 @@ def write_both(df: DataFrame, folder: str, name: str) -> dict[str, int]:
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Read by suffix (IO6); an unknown one is an error."""
+    """Read by suffix (IO6); an unknown one is an error, and so is any line that cannot be read.
+
+    ``readable(read_samples_json(...))`` gives good and bad lines apart.
+    """
     if path.endswith((".jsonl", ".json")):
-        return readable(read_samples_json(spark, path))[0]
+        lines = read_samples_json(spark, path)
+        # A column of its own has to be read along with the unreadable lines.
+        bad = lines.agg(F.count(CORRUPT), F.count("sample_id")).first()[0]
+        if bad:
+            raise ValueError(f"{bad} lines of {path} cannot be read")
+        return readable(lines)[0]
     if path.endswith(".parquet"):
         return read_samples_parquet(spark, path)
     raise ValueError(f"unknown sample format: {path}")

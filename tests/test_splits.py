@@ -176,10 +176,54 @@ def test_risk(spark):
     assert all(r.got == r.want for r in out.collect())
 
 
-def test_full_pair_mode(spark):
-    rows = [(1, "ACDEFG", "train"), (2, "AAAAAA", "train"), (3, "ACDEFF", "test"), (4, "WWWWWW", "test")]
+def test_similarity_is_over_all_pairs(spark):
+    rows = [(1, "ACDEFG", "train"), (2, "AAAAAA", "train"), (3, "ACDEFF", "test"), (4, "WWWWWW", "test"), (5, None, "test")]
     df = spark.createDataFrame(rows, "id int, s string, split string")
-    row = leakage.sequence_similarity(df, "id", "s").first()
+    row = leakage.sequence_similarity(df, "s").first()
     assert row.max_sequence_identity == pytest.approx(5 / 6)
     assert row.pct_test_high_similarity == 50.0
-    assert row.mean_test_train_similarity == pytest.approx((5 / 6 + 1 / 6) / 4)
+    low = leakage.sequence_similarity(df.filter("id <> 3"), "s").first()
+    assert (low.max_sequence_identity, low.pct_test_high_similarity) == (0.0, 0.0)
+    half = leakage.sequence_similarity(spark.createDataFrame([("ACDEFG", "train"), ("ACWWWW", "test")], "s string, split string"), "s").first()
+    assert half.max_sequence_identity == pytest.approx(2 / 6)
+    assert leakage.sampled_mean_identity(df.filter("s is not null"), "id", "s", 2000).first()[0] == pytest.approx((5 / 6 + 1 / 6) / 4, abs=0.05)
+
+
+def test_long_texts_are_compared(spark):
+    import random
+
+    draw = random.Random(4)
+    texts = ["".join(draw.choice("ACDEFG") for _ in range(n)) for n in (62, 124, 125, 130, 186, 187, 300)]
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    pairs = [(a, b) for a in texts for b in texts if a != b]
+    df = similarity.with_identity(spark.createDataFrame(pairs, "a string, b string"), "a", "b")
+    for r in df.collect():
+        assert r.identity == pytest.approx(lcs(r.a, r.b) / max(len(r.a), len(r.b)))
+    near = spark.createDataFrame([(1, "ACDEFGHIKL" * 13), (2, "ACDEFGHIKL" * 12 + "ACDEFGHIKK")], "id int, s string")
+    assert similarity.edges(near, "s", "id", 0.9).count() == 1
+
+
+@pytest.mark.parametrize("how", ["stratum", "label", "within", "group"])
+def test_no_split_loses_rows_with_null_keys(spark, how):
+    rows = [(i, None if i % 3 == 0 else f"s{i % 2}", None if i % 5 == 0 else float(i), f"g{i % 7}" if i % 4 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, s string, y double, g string")
+    out = {
+        "stratum": lambda: splits.stratified(df, "id", strata="s"),
+        "label": lambda: splits.stratified(df, "id", label="y"),
+        "within": lambda: splits.by_group(df, "g", within=["s"]),
+        "group": lambda: splits.by_group_fill(df, "g"),
+    }[how]()
+    assert sorted(r.id for r in out.collect()) == list(range(60))
+    assert {r.split for r in out.collect()} <= {"train", "val", "test"}
+    if how == "stratum":
+        sides = [r.split for r in out.filter("s is null").collect()]
+        assert sides.count("test") == 3 and sides.count("val") == 3
