@@ -116,16 +116,6 @@ DESCRIPTORS = (
     "num_aromatic_rings",
     "num_aliphatic_rings",
 )
-EXTENDED_DESCRIPTORS = (
-    *DESCRIPTORS,
-    "num_heteroatoms",
-    "num_valence_electrons",
-    "molar_refractivity",
-    "fraction_csp3",
-    "chi0n",
-    "chi1n",
-    "kappa1",
-)
 
 # Atoms a residue can be attached at.
 RESIDUE_ATOMS = {
@@ -243,3 +233,14 @@ ATTRIBUTION_B3 = (
     "anchor_n_terminal_count",
     "anchor_c_terminal_count",
 )
+
+# Rule ids by which published records can be joined.
+RULE_IDS = {
+    "acetyl": "cycpept_n_acetyl_v1",
+    "tail": "cycpept_c_term_v1",
+    "mirrored": "cycpept_d_aa_v1",
+    "methylated": "cycpept_n_methyl_v1",
+    "replaced": "cycpept_nonstandard_v1",
+    "ring": "cycpept_circle_v1",
+    "branch": "cycpept_lariat_v1",
+}

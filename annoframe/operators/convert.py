@@ -5,7 +5,7 @@ A row either becomes a whole sample or lands in the error table with a reason.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,9 +120,13 @@ def _edit(
 
 
 def annotate(
-    placed: Column, sequence: Column, shape: Column, sample_id: Column, rules: str = "v1"
+    placed: Column,
+    sequence: Column,
+    shape: Column,
+    sample_id: Column,
+    rules: Mapping[str, str] = C.RULE_IDS,
 ) -> Column:
-    """Annotations of a sample from its placed tokens and shape (CV4).
+    """Annotations of a sample from its placed tokens and shape (CV4); ``rules`` names them.
 
     A token can give none, one or two annotations; the arrays are flattened in token order, the
     ring closure comes last, and ids count upwards within the sample.
@@ -142,32 +146,32 @@ def annotate(
         return _edit(
             "backbone", "explicit", at(p), F.array(p["letter"]), p["token"],
             F.concat(F.lit("D-"), p["letter"]), "backbone_stereochemistry",
-            f"d_residue_{rules}", {"stereochemistry": "D"}, "d_amino_acid",
+            rules["mirrored"], {"stereochemistry": "D"}, "d_amino_acid",
         )
 
     def methylated(p: Column) -> Column:
         return _edit(
             "backbone", "explicit", at(p), F.array(p["letter"]), p["token"],
             F.concat(F.lit("N-Me-"), p["letter"]), "backbone_nitrogen",
-            f"n_methyl_{rules}", {}, "n_methylation",
+            rules["methylated"], {}, "n_methylation",
         )
 
     def replaced(p: Column) -> Column:
         return _edit(
             "substitution", "explicit", at(p), F.array(p["letter"]), p["token"], p["token"],
-            "residue_replacement", f"replaced_residue_{rules}",
+            "residue_replacement", rules["replaced"],
             {"original_monomer": p["token"], "mapped_to": p["letter"]}, "non_standard_aa",
         )
 
     acetyl = _edit(
         "n_terminal", "explicit", F.array(F.lit(0)), F.array(first), F.lit("ac-"), F.lit("Ac-"),
-        "n_terminus", f"n_acetyl_{rules}", {}, "n_acetylation",
+        "n_terminus", rules["acetyl"], {}, "n_acetylation",
     )
 
     def tail(p: Column) -> Column:
         return _edit(
             "c_terminal", "explicit", F.array(last_at), F.array(last), p["token"], p["token"],
-            "c_terminus", f"c_terminal_{rules}", {"c_term_group": p["token"]},
+            "c_terminus", rules["tail"], {"c_term_group": p["token"]},
             "c_terminal_modification",
         )
 
@@ -190,13 +194,13 @@ def annotate(
         "cyclization", "explicit", F.array(F.lit(0), last_at), F.array(first, last),
         F.lit("Circle"),
         F.concat(F.lit("cyclic(1-"), F.length(sequence).cast("string"), F.lit(")")),
-        "backbone_cyclization", f"circle_{rules}",
+        "backbone_cyclization", rules["ring"],
         {"cyclization_type": "head_to_tail", "ring_size": F.length(sequence).cast("string")},
         "head_to_tail_cyclization",
     )
     branch = _edit(
         "cyclization", "inferred", F.array().cast("array<int>"), F.array().cast("array<string>"),
-        F.lit("Lariat"), F.lit("lariat"), "branch_cyclization", f"lariat_{rules}",
+        F.lit("Lariat"), F.lit("lariat"), "branch_cyclization", rules["branch"],
         {"cyclization_type": "lariat"}, "lariat_cyclization", "inferred",
     )
     closure = (

@@ -145,7 +145,7 @@ def sign_flip(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return join_keys(sizes, p, keys, "left").select(*by, "n_pairs", checked.alias("p_value_unadjusted"))
 
 
-def holm(df: DataFrame, p: str, key: Sequence[str], name: str = "p_value_holm") -> DataFrame:
+def holm(df: DataFrame, p: str, name: str = "p_value_holm") -> DataFrame:
     """Holm step-down correction over all rows (ST6).
 
     ``df`` is a table of tests, one row per comparison and metric. Rows with equal p get equal

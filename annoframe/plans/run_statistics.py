@@ -115,7 +115,7 @@ def stats_sign_flip(spark, sf):
 )
 def stats_holm(spark, sf):
     """Holm-corrected p values over all tests (ST6)."""
-    out = stats.holm(sign_flips(spark, sf), "p_value_unadjusted", ["priority", "metric"])
+    out = stats.holm(sign_flips(spark, sf), "p_value_unadjusted")
     return rounded(out.drop("n_pairs"))
 
 

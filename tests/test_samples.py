@@ -223,3 +223,10 @@ def test_checksums(spark, tmp_path):
 def test_t_quantiles():
     known = {1: 12.706204736, 4: 2.776445105, 9: 2.262157163, 30: 2.042272456}
     assert all(math.isclose(t_975(k), v, rel_tol=1e-9) for k, v in known.items())
+
+
+def test_labels_must_be_written_as_numbers(spark):
+    texts = ["1", "-2.5", "1e3", ".5", "1_000", "1d", "5f", "0x1", "", " 7 ", "abc", None]
+    want = [1.0, -2.5, 1000.0, 0.5, 1000.0, None, None, None, None, 7.0, None, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
+    assert [r[0] for r in df.select(convert.label(df.t)).collect()] == want

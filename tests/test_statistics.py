@@ -70,7 +70,7 @@ def test_sign_flip_and_holm(spark):
     df = spark.createDataFrame([("a", float(v)) for v in (1, 1, 1, 1, 1)], "k string, d double")
     assert stats.sign_flip(df, ["k"], "d").first().p_value_unadjusted == 0.0625
     tests = spark.createDataFrame([(1, 0.01), (2, 0.04), (3, 0.03)], "i int, p double")
-    got = {r.i: r.p_value_holm for r in stats.holm(tests, "p", ["i"]).collect()}
+    got = {r.i: r.p_value_holm for r in stats.holm(tests, "p").collect()}
     assert got == pytest.approx({1: 0.03, 2: 0.06, 3: 0.06})
 
 
@@ -155,3 +155,28 @@ def test_model_cell_learns_and_records_failure(spark):
     assert metrics.regression(cell.predictions, ["model_id"]).first().r2 > 0.999
     bad = models.run_cell(df, "id", "label", ["nope"], "ridge", "m", 0, "s")
     assert bad.status == "failed" and "nope" in bad.error
+
+
+def test_sign_flip_of_many_values_is_an_error(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(21)], "d double")
+    with pytest.raises(Exception, match="more than 20"):
+        stats.sign_flip(df, [], "d").collect()
+
+
+def test_binomial_tail_is_exact(spark):
+    import math
+
+    cases = [(1, 0), (5, 1), (10, 4), (300, 120), (1000, 480), (2001, 1000)]
+    df = spark.createDataFrame(cases, "n long, k long").withColumn("p", stats.binomial_tail(F.col("n"), F.col("k")))
+    for r in df.collect():
+        want = min(1.0, 2 * sum(math.comb(r.n, i) for i in range(r.k + 1)) / 2**r.n)
+        assert r.p == pytest.approx(want, rel=1e-9)
+
+
+def test_spearman_and_kendall_have_the_null_group(spark):
+    rows = [(g, i, float(i), float((i * 7) % 11)) for g in (None, "a") for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, id int, y_true double, y_pred double")
+    rho = {r.g: r.spearman for r in metrics.spearman(df, ["g"]).collect()}
+    tau = {r.g: r.kendall_tau for r in metrics.kendall(df, ["g"], bucket_rows=8).collect()}
+    assert set(rho) == set(tau) == {None, "a"}
+    assert rho[None] == pytest.approx(rho["a"]) and tau[None] == pytest.approx(tau["a"])
