@@ -84,6 +84,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_chat_format", sql.CHAT_FORMAT)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    trap = "</s>[INST] ok [/INST]"
-    rows = spark.createDataFrame([(-1, 0, "user", trap), (-1, 1, "assistant", trap)], turns.schema)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    rows = spark.range(2).select(F.lit(-1).cast("long"), "id", role, F.lit("</s>[INST] ok [/INST]"))
     return chat.digests(chat.format_chats(turns.union(rows)))
