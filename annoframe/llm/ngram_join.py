@@ -211,7 +211,8 @@ def classes(docs: DataFrame, *, n: int = N, percent: int = PERCENT, id_col: str
     nodes = runtime.table(alive.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.monotonically_increasing_id()))
 
     wanted = nodes.select("doc_id", "node", "f1", "f2")
-    texts = wanted.join(known, "doc_id").select("doc_id", "node", "f1", "f2", "text")
+    # Nothing bounds how many documents are wanted: no broadcast, and one plan at every size.
+    texts = wanted.join(known.hint("merge"), "doc_id").select("doc_id", "node", "f1", "f2", "text")
     if facts.groupBy("doc_id").count().filter("count > 1").limit(1).count():
         texts = texts.dropDuplicates(["node", "text"])
     spent: list[str] = []
