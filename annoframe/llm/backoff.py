@@ -48,15 +48,27 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     context = TaskContext.get()
     page = (context.partitionId() if context else 0) << 32
     for batch in batches:
-        for x in slices(batch.column(1), PAGE_BYTES):
-            start, end, first = x.words()
-            names, code, count = np.unique(hash_spans(x.buf, start, end, fold_case=True), return_inverse=True, return_counts=True)
+        ids = batch.column(0)
+        rows, size, words, held = 0, [], [], 0
+
+        def flush(until: int) -> pa.RecordBatch:
+            names, code, count = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
             by = np.argsort(-count, kind="stable")  # frequent words get small codes, which compress well
             rank = np.empty(len(names), np.int64)
             rank[by] = np.arange(len(names))
-            row = [[page], [batch.column(0).slice(x.first, x.rows).to_pylist()], [np.diff(first)], [packed(names[by])], [packed(rank[code])]]
-            page += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, _PAGE_SCHEMA, strict=True)], schema=_PAGE_SCHEMA)
+            row = [[page], [ids.slice(rows, until - rows).to_pylist()], [np.concatenate(size)], [packed(names[by])], [packed(rank[code])]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, _PAGE_SCHEMA, strict=True)], schema=_PAGE_SCHEMA)
+
+        # Words are named slice by slice; only their names are gathered for a page.
+        for x in slices(batch.column(1)):
+            start, end, first = x.words()
+            words.append(hash_spans(x.buf, start, end, fold_case=True))
+            size.append(np.diff(first))
+            held += len(x.buf)
+            if held >= PAGE_BYTES or x.first + x.rows == batch.num_rows:
+                yield flush(x.first + x.rows)
+                page += 1
+                rows, size, words, held = x.first + x.rows, [], [], 0
 
 
 def _grams(words: np.ndarray, first: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
