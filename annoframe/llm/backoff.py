@@ -94,7 +94,7 @@ def _asked(page: int, name: np.ndarray, groups: int) -> Iterator[pa.RecordBatch]
     names, counts = np.unique(name, return_counts=True)
     group = group_of(names, groups)
     cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
-    for a, b in zip(cut, np.append(cut[1:], len(group)), strict=True):
+    for a, b in zip(cut, np.append(cut, len(group))[1:], strict=True):
         cells = [[group[a]], [page], [packed(names[a:b])], [packed(counts[a:b].astype(np.int64))]]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, _ASKED_SCHEMA, strict=True)], schema=_ASKED_SCHEMA)
 

@@ -138,7 +138,7 @@ def _records(names: np.ndarray, owners: np.ndarray, docs: np.ndarray, own: np.nd
     schema = pa.schema([("group", pa.int32()), ("names", pa.binary()), ("owners", pa.binary()), ("doc_id", pa.int64()), ("own", pa.list_(pa.int64()))])
     group = group_of(names, groups)
     cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
-    for a, b in zip(cut, np.append(cut[1:], len(group)), strict=True):
+    for a, b in zip(cut, np.append(cut, len(group))[1:], strict=True):
         row = [[group[a]], [planes(names[a:b])], [planes(owners[a:b])], [None], [None]]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, schema, strict=True)], schema=schema)
     if len(docs):
