@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from annoframe.llm import runtime
 from annoframe.llm.columns import group_of, packed, unpacked
-from annoframe.llm.spans import hash_spans, mix, rows_of, slices
+from annoframe.llm.spans import SMALL_SLICE, hash_spans, mix, rows_of, slices
 
 ORDER = 3
 FACTOR = 0.4
@@ -60,7 +60,7 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, _PAGE_SCHEMA, strict=True)], schema=_PAGE_SCHEMA)
 
         # Words are named slice by slice; only their names are gathered for a page.
-        for x in slices(batch.column(1)):
+        for x in slices(batch.column(1), SMALL_SLICE):
             start, end, first = x.words()
             words.append(hash_spans(x.buf, start, end, fold_case=True))
             size.append(np.diff(first))

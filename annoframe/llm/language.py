@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annoframe.llm import runtime
-from annoframe.llm.spans import Texts, rows_of, slices
+from annoframe.llm.spans import SMALL_SLICE, Texts, rows_of, slices
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
@@ -72,7 +72,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages = batch.column(0).to_pylist()
         names = sorted(set(languages))
         number = np.array([names.index(v) for v in languages])
-        for x in slices(batch.column(1)):
+        for x in slices(batch.column(1), SMALL_SLICE):
             cell, _, _, first = _cells(x)
             key = number[x.first + rows_of(first, len(cell))] * BUCKETS + cell
             found = np.bincount(key, minlength=len(names) * BUCKETS).reshape(len(names), BUCKETS)
@@ -180,7 +180,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", prefix: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for x in slices(batch.column(at)):
+            for x in slices(batch.column(at), SMALL_SLICE):
                 best, score, shares = predict(m, x)
                 sets = [[(m.languages[j], float(s[j])) for j in np.flatnonzero(s > 0)] for s in shares]
                 found = [

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from annoframe.llm import runtime
 from annoframe.llm.columns import group_of, joined, planes
 from annoframe.llm.components import components
-from annoframe.llm.spans import Texts, hash_spans, mix, rows_of, slices
+from annoframe.llm.spans import SMALL_SLICE, Texts, hash_spans, mix, rows_of, slices
 
 N = 5
 #: Link when 100 * intersection >= PERCENT * union.
@@ -93,7 +93,7 @@ def _first_fragment(batches: Iterator[pa.RecordBatch], n: int, percent: int, sha
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         names, owner, facts = [], [], []
-        for x in slices(batch.column(1)):
+        for x in slices(batch.column(1), SMALL_SLICE):
             grams, first = ngram_sets(x, n)
             row = rows_of(first, len(grams))
             low = grams < limit
@@ -145,7 +145,7 @@ def _segments(batches: Iterator[pa.RecordBatch], n: int, fragments: int) -> Iter
     for batch in batches:
         node = batch.column(1).to_numpy()
         want = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-        for x in slices(batch.column(4)):
+        for x in slices(batch.column(4), SMALL_SLICE):
             grams, first = ngram_sets(x, n)
             f1, f2 = _prints(grams, first)
             # A row that only shares the id of a node, but not its text, is not that node.
@@ -265,7 +265,7 @@ def classes(docs: DataFrame, *, n: int = N, percent: int = PERCENT, id_col: str
 
 def _counts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        size = [np.diff(ngram_sets(x, n)[1]) for x in slices(batch.column(1))]
+        size = [np.diff(ngram_sets(x, n)[1]) for x in slices(batch.column(1), SMALL_SLICE)]
         none = pa.nulls(batch.num_rows, pa.int64())
         yield pa.RecordBatch.from_arrays([none, pa.array(np.concatenate(size) if size else np.zeros(0, np.int64)), none], ["doc_id", "n_shingles", "component_id"])
 

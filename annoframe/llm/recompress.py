@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from annoframe.llm import runtime
 from annoframe.llm.columns import group_of, joined, planes
-from annoframe.llm.spans import Texts, hash_spans, mix, rows_of, slices
+from annoframe.llm.spans import SMALL_SLICE, Texts, hash_spans, mix, rows_of, slices
 
 WINDOW = 13
 ROUNDS = 4
@@ -154,7 +154,7 @@ def _records(names: np.ndarray, owners: np.ndarray, docs: np.ndarray, own: np.nd
 def _anchor_records(batches: Iterator[pa.RecordBatch], length: int, rounds: int, groups: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, names, owner = batch.column(0).to_numpy(), [], []
-        for x in slices(batch.column(1)):
+        for x in slices(batch.column(1), SMALL_SLICE):
             words, first = words_of(x)
             real = windows_of(words, first, length)[1]
             found = anchors(words, first, length, rounds)[real]
@@ -182,7 +182,7 @@ def _inside(names: np.ndarray, row: np.ndarray, lists: pa.Array, rows: int) -> n
 def _window_records(batches: Iterator[pa.RecordBatch], length: int, rounds: int, groups: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, names, owner = batch.column(0).to_numpy(), [], []
-        for x in slices(batch.column(2)):
+        for x in slices(batch.column(2), SMALL_SLICE):
             words, first = words_of(x)
             window, real = windows_of(words, first, length)
             row = rows_of(first, len(words))[real]
@@ -273,7 +273,7 @@ def digests(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROUNDS, id_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in slices(batch.column(1)):
+            for x in slices(batch.column(1), SMALL_SLICE):
                 kept = list(_kept(x, batch.column(2).slice(x.first, x.rows), window))
                 columns = [batch.column(0).slice(x.first, x.rows), pa.array([k[1] for k in kept], pa.int64()), pa.array([k[2] for k in kept], pa.int64()), pa.array([hashlib.sha256(k[0]).hexdigest() for k in kept])]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_sha256"])
@@ -293,7 +293,7 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, rounds: int = ROUNDS, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in slices(batch.column(1)):
+            for x in slices(batch.column(1), SMALL_SLICE):
                 part = batch.slice(x.first, x.rows)
                 kept = list(_kept(x, part.column(part.num_columns - 1), window))
                 old = part.column(1)

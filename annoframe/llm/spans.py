@@ -16,6 +16,8 @@ import pyarrow as pa
 
 #: Texts are worked on in slices of about this many bytes, so that a task's arrays stay small.
 SLICE_BYTES = 2 << 20
+#: For work that keeps several arrays of all words or letters of a slice.
+SMALL_SLICE = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -38,7 +40,7 @@ def _byte_values(fold_case: bool) -> np.ndarray:
     return values
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _BASE), np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64)))
     up[0] = down[0] = 1
@@ -47,8 +49,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, fold_case: bool = False) -> np.ndarray:
     """64-bit names of ``buf[start:end]``; with ``fold_case`` A-Z count as a-z."""
-    n = 1 << max(int(len(buf)).bit_length(), 16)
-    up, down = _powers(n)
+    # One table of powers for all slices; a single longer text gets its own, which is not kept.
+    up, down = _powers(SLICE_BYTES) if len(buf) < SLICE_BYTES else _powers.__wrapped__(len(buf) + 1)
     total = np.zeros(len(buf) + 1, dtype=np.uint64)
     np.cumsum(_byte_values(fold_case)[buf] * up[: len(buf)], dtype=np.uint64, out=total[1:])
     # The length is part of the name, and an empty span has one too.

@@ -19,7 +19,7 @@ import numpy as np
 from annoframe.llm.spans import Texts, hash_spans, ranges
 
 #: A worker forgets its chunks when it has met this many; they are then encoded anew.
-CHUNKS_KEPT = 1_500_000
+CHUNKS_KEPT = 1_000_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
