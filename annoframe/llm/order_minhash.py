@@ -1,11 +1,12 @@
 """Order MinHash fingerprints of whole texts, in Spark expressions only.
 
 A text's k-mers are its runs of ``K`` words (white space apart; a shorter text is one k-mer), each with its
-occurrence number, so that repeats count. Its base is the k-mers whose hash is among the ``BASE``
-smallest different hashes of the text: a sample that similar texts take alike, found over the whole text. Each of
-``SIZE`` orders of the base takes its ``TUPLE`` smallest k-mers, puts them back into text order, and hashes
-them as one tuple. Two fingerprints are alike in the share of equal tuples: moved or changed text loses
-tuples even where the set of k-mers stays.
+occurrence number, so that repeats count one by one. Each of ``SIZE`` orders of all of them takes its ``TUPLE``
+smallest k-mers, puts them back into text order, and hashes them as one tuple. Two fingerprints are alike in the
+share of equal tuples: moved or changed text loses tuples even where the set of k-mers stays.
+
+An order's values are spread evenly, so a bound under which ``NEAR`` times ``TUPLE`` of them are expected holds the
+smallest ones nearly always; only those are sorted. Where it holds too few, all are.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from pyspark.sql import functions as F
 from annoframe.llm import runtime
 
 K = 3
-BASE = 48
 SIZE = 32
 TUPLE = 2
+#: Values of an order expected below its bound, for each k-mer of a tuple.
+NEAR = 5
 #: Bits of an order's value that carry the k-mer's place.
 _PLACE = 24
 
@@ -40,46 +42,56 @@ def _kmers(text: Column, k: int) -> Column:
     return _let(words, joined)
 
 
-def _numbered(base: Column) -> Column:
+def _numbered(kmers: Column) -> Column:
     """The hash of each k-mer with its occurrence number, in text order."""
 
     def with_numbers(b: Column) -> Column:
         pairs = F.sort_array(F.transform(b, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
 
         def of(p: Column) -> Column:
-            kinds = F.array_distinct(p["x"])
-            firsts = _let(p["x"], lambda xs: F.transform(kinds, lambda u: F.array_position(xs, u)))
-            hashed = _let(kinds, lambda us: _let(firsts, lambda fs: F.transform(p, lambda e, r: F.struct(e["i"].alias("i"), F.xxhash64(e["x"], r + 1 - F.element_at(fs, F.array_position(us, e["x"]).cast("int"))).alias("h")))))
-            return F.sort_array(hashed)["h"]
+            n = F.size(p)
+            firsts = F.filter(F.sequence(F.lit(0), n - 1), lambda r: (r == 0) | (F.get(p, r)["x"] != F.get(p, r - 1)["x"]))
+            number = lambda fs: F.flatten(F.transform(fs, lambda f, q: F.sequence(F.lit(0), F.coalesce(F.get(fs, q + 1), n) - f - 1)))
+            hashed = lambda o: F.transform(p, lambda e, r: F.struct(e["i"].alias("i"), F.xxhash64(e["x"], F.get(o, r).cast("long")).alias("h")))
+            return F.sort_array(_let(_let(firsts, number), hashed))["h"]
 
         return _let(pairs, of)
 
     once = lambda b: F.transform(b, lambda x: F.xxhash64(x, F.lit(0).cast("long")))
-    return _let(base, lambda b: F.when(F.size(F.array_distinct(b)) == F.size(b), once(b)).otherwise(with_numbers(b)))
+    return _let(kmers, lambda b: F.when(F.size(F.array_distinct(b)) == F.size(b), once(b)).otherwise(with_numbers(b)))
+
 
+def signature(text: Column, *, k: int = K, base: int | None = None, size: int = SIZE, width: int = TUPLE) -> Column:
+    """``array<bigint>`` of ``size`` tuple hashes; a null text is empty.
 
-def signature(text: Column, *, k: int = K, base: int = BASE, size: int = SIZE, width: int = TUPLE) -> Column:
-    """``array<bigint>`` of ``size`` tuple hashes; a null text is empty."""
+    With a ``base``, only the k-mers whose hash is among that many smallest different ones of the text count.
+    """
 
-    def lowest(kmers: Column) -> Column:
-        # Enough of the hash range that the base is nearly always in it; else all of it.
-        bound = F.floor(F.lit(-(2.0**63)) + F.lit(2.0**64) * 3 * base / F.size(kmers)).cast("long")
-        near = F.array_distinct(F.filter(kmers, lambda x: x < bound))
-        some = F.when(F.size(kmers) > 3 * base, near)
-        found = _let(some, lambda s: F.when(F.coalesce(F.size(s), F.lit(-1)) >= base, s).otherwise(F.array_distinct(kmers)))
-        return F.get(F.reverse(F.slice(F.sort_array(found), 1, base)), F.lit(0))
+    def based(kmers: Column) -> Column:
+        top = F.get(F.reverse(F.slice(F.sort_array(F.array_distinct(kmers)), 1, base)), F.lit(0))
+        return _let(top, lambda t: F.filter(kmers, lambda x: x <= t))
 
-    kept = _let(F.coalesce(text, F.lit("")), lambda t: _let(_kmers(t, k), lambda ks: _let(lowest(ks), lambda top: F.filter(ks, lambda x: x <= top))))
+    kmers = _kmers(F.coalesce(text, F.lit("")), k)
+    near = NEAR * width
 
-    def tuples(e: Column) -> Column:
-        def one(j: Column) -> Column:
-            order = F.transform(e, lambda x, i: F.shiftleft(F.shiftright(F.xxhash64(x, j), _PLACE), _PLACE) + i)
+    def tuples(e: Column, bound: Column) -> Column:
+        def of(j: Column, some: Column) -> Column:
+            order = F.transform(some, lambda x, i: F.shiftleft(F.shiftright(F.xxhash64(x, j), _PLACE), _PLACE) + i)
             place = F.transform(F.slice(F.sort_array(order), 1, width), lambda v: v.bitwiseAND(F.lit((1 << _PLACE) - 1)).cast("int"))
-            return F.xxhash64(F.transform(F.sort_array(place), lambda i: F.get(e, i)))
+            return F.xxhash64(F.transform(F.sort_array(place), lambda i: F.get(some, i)))
+
+        def one(j: Column) -> Column:
+            # The bound has no place bits, so no k-mer at or above it can come before one below.
+            below = _let(F.filter(e, lambda x: F.xxhash64(x, j) < bound), lambda s: F.when(F.size(s) >= width, s).otherwise(e))
+            return _let(F.when(F.size(e) > 2 * near, below).otherwise(e), lambda s: of(j, s))
 
         return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), one)
 
-    return _let(_numbered(kept), tuples)
+    def bounded(e: Column) -> Column:
+        bound = F.floor(F.lit(-(2.0**63)) + F.lit(2.0**64) * near / F.greatest(F.size(e), F.lit(2 * near)))
+        return _let(F.shiftleft(F.shiftright(bound.cast("long"), _PLACE), _PLACE), lambda b: tuples(e, b))
+
+    return _let(_numbered(kmers if base is None else _let(kmers, based)), bounded)
 
 
 def likeness(a: Column, b: Column) -> Column:

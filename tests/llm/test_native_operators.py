@@ -99,6 +99,41 @@ def test_signature_is_that_of_the_definition(spark):
         assert got == plain_signature(text, 2, 3, 2, 2, remembered)
 
 
+def whole_signature(spark, text, k, size, width):
+    """The fingerprint from all occurrence-numbered k-mers, each step's hashes made in one go."""
+
+    def hashed(rows, kind):
+        table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + ", ".join(f"c{i} {t}" for i, t in enumerate(kind)))
+        return [r.h for r in table.select("i", F.xxhash64(*table.columns[1:]).alias("h")).orderBy("i").collect()]
+
+    w = hashed([(x,) for x in text.split()], ["string"])
+    seen, numbered = {}, []
+    for x in hashed([w[i : i + k] for i in range(len(w) - k + 1)], ["long"] * k):
+        numbered.append((x, seen.get(x, 0)))
+        seen[x] = seen.get(x, 0) + 1
+    kept = hashed(numbered, ["long", "long"])
+    values = hashed([(x, j) for j in range(size) for x in kept], ["long", "int"])
+    orders = [sorted((v >> 24, i) for i, v in enumerate(values[j * len(kept) : (j + 1) * len(kept)]))[:width] for j in range(size)]
+    return hashed([([kept[i] for i in sorted(i for _, i in order)],) for order in orders], ["array<long>"])
+
+
+@pytest.mark.parametrize("near", [1, 5])
+def test_signature_takes_all_numbered_kmers(spark, monkeypatch, near):
+    monkeypatch.setattr(order_minhash, "NEAR", near)
+    text = " ".join([f"w{i}" for i in range(120)] + ["a", "b", "c", "d"] * 40 + [f"v{i % 70}" for i in range(120)])
+    got = spark.createDataFrame([(text,)], "t string").select(order_minhash.signature(F.col("t")).alias("s")).first().s
+    assert got == whole_signature(spark, text, 3, 32, 2)
+
+
+def test_repeated_line_counts_by_its_occurrences(spark):
+    own = " ".join(f"w{i}" for i in range(3000))
+    line = lambda n: " ".join([f"line{n}x{i}" for i in range(10)] * 300)
+    rows = spark.createDataFrame([(f"{own} {line(2 * n)}", f"{own} {line(2 * n + 1)}") for n in range(8)], "a string, b string")
+    alike = [r.x for r in rows.select(order_minhash.likeness(order_minhash.signature(F.col("a")), order_minhash.signature(F.col("b"))).alias("x")).collect()]
+    # A third of all k-mers of both is shared: both of a tuple are among them in a ninth of the orders.
+    assert 0.03 < np.mean(alike) < 0.25 and max(alike) < 0.5
+
+
 def test_order_counts(spark):
     w = [f"w{i}" for i in range(400)]
     moved = w[200:] + w[:200]
