@@ -25,6 +25,8 @@ CLOSE = {"system": "<</SYS>>", "user": "[/INST]", "assistant": "</s>"}
 OTHER_OPEN, OTHER_ROLE, OTHER_CLOSE = "[TURN]", "[ROLE]", "[/TURN]"
 CONTROL = [*OPEN.values(), *CLOSE.values(), OTHER_OPEN, OTHER_ROLE, OTHER_CLOSE]
 TRAINED = "assistant"
+#: Code points of a piece in which ranges are looked up.
+_PIECE = 4096
 
 
 def _quoted(text: str) -> str:
@@ -109,10 +111,23 @@ def format_chats(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     return found.select("conv_id", F.when(same, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation is not read back as it was"))).alias("formatted"), "turns", "loss_spans")
 
 
+def trained(formatted: Column, spans: Column) -> Column:
+    """The texts in the ranges ``spans`` of ``formatted``, unescaped. It is cut into pieces first: each range is sought in its own ones."""
+
+    def text(pieces: Column, s: Column) -> Column:
+        first = F.floor(s["start"] / _PIECE).cast("int")
+        n = F.floor((s["end"] - 1) / _PIECE).cast("int") - first + 1
+        held = F.array_join(F.slice(pieces, first + 1, n), "")
+        return unescape(F.substring(held, (s["start"] - first * _PIECE + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+
+    pieces = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+    return F.flatten(F.transform(F.array(pieces), lambda p: F.transform(spans, lambda s: text(p, s))))
+
+
 def digests(chats: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) from what was read back."""
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) from what was read back, the loss from its ranges in ``formatted``."""
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == TRAINED), lambda t: t["text"]), "")
+    loss = F.array_join(trained(F.col("formatted"), F.col("loss_spans")), "")
     return chats.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

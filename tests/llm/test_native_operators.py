@@ -39,6 +39,17 @@ def test_every_chat_is_read_back(spark):
     assert chat.format_chats(chats(spark, rows).limit(0)).collect() == []
 
 
+def test_loss_digest_is_that_of_the_ranges(spark):
+    said = ["é日😀" * 1000, TRAP * 700, "", "end"]
+    found = chat.format_chats(chats(spark, [(1, 2 * i + j, r, x) for i, x in enumerate(said) for j, r in enumerate(("user", "assistant"))]))
+    digest = lambda spans: chat.digests(found.withColumn("loss_spans", spans)).first()
+    right, loss = digest(F.col("loss_spans")), "".join(said)
+    assert (right.loss_chars, right.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    shifted = digest(F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), (s["end"] + 1).alias("end"))))
+    assert shifted.loss_sha256 != right.loss_sha256
+    assert digest(F.slice("loss_spans", 1, 0)).loss_chars == 0
+
+
 def test_text_without_conflict_is_not_escaped(spark):
     found = chat.format_chats(chats(spark, [(1, 0, "user", "[INST] hi"), (1, 1, "assistant", TRAP)])).first()
     assert found.formatted == "[INST][INST] hi[/INST]<s><\\/s>[\\INST] ok [\\/INST]</s>"
