@@ -111,6 +111,25 @@ def cumulate(
     return out.drop("_bucket", *[f"_o_{m}" for m in measures])
 
 
+def running_max(
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    measure: str,
+    name: str,
+    bucket_rows: int = BUCKET_ROWS,
+) -> DataFrame:
+    """Add ``name``: the largest ``measure`` over rows with this value or a smaller one."""
+    by = list(by)
+    rows = with_bucket(df, by, value, bucket_rows=bucket_rows)
+    tops = rows.groupBy(*by, "_bucket").agg(F.max(measure).alias("_top"))
+    earlier = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = tops.select(*by, "_bucket", F.max("_top").over(earlier).alias("_before"))
+    inside = W.partitionBy(*by, "_bucket").orderBy(value)
+    out = join_keys(rows, offsets, [*by, "_bucket"])
+    return out.withColumn(name, F.greatest(F.max(measure).over(inside), "_before")).drop("_bucket", "_before")
+
+
 def crossing(
     items: DataFrame,
     by: Sequence[str],

@@ -6,7 +6,6 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annoframe.functions import draws
@@ -145,20 +144,21 @@ def sign_flip(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return join_keys(sizes, p, keys, "left").select(*by, "n_pairs", checked.alias("p_value_unadjusted"))
 
 
-def holm(df: DataFrame, p: str, name: str = "p_value_holm") -> DataFrame:
+def holm(df: DataFrame, p: str, name: str = "p_value_holm", bucket_rows: int = ranks.BUCKET_ROWS) -> DataFrame:
     """Holm step-down correction over all rows (ST6).
 
     ``df`` is a table of tests, one row per comparison and metric. Rows with equal p get equal
     corrected values, so the work is done on distinct p values.
     """
     levels, _ = ranks.keyed(df.groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c")), [])
-    levels = levels.filter(F.col("_p").isNotNull())
-    cum = ranks.cumulate(levels, ["_all"], "_p", ["_c"])
-    total = df.agg(F.count(p).alias("_m"))
+    # Each pass over buckets reads its input several times.
+    levels = settle(levels.filter(F.col("_p").isNotNull()))
+    cum = ranks.cumulate(levels, ["_all"], "_p", ["_c"], bucket_rows)
+    total = levels.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_m"))
     steps = cum.join(total.withColumn("_all", F.lit(0)), "_all")
-    raw = (F.col("_m") - F.col("_c_before")) * F.col("_p")
-    running = F.max(raw).over(W.partitionBy("_all").orderBy("_p"))
-    steps = steps.select("_p", F.least(F.lit(1.0), running).alias(name))
+    steps = steps.withColumn("_raw", (F.col("_m") - F.col("_c_before")) * F.col("_p"))
+    steps = ranks.running_max(settle(steps), ["_all"], "_p", "_raw", "_running", bucket_rows)
+    steps = steps.select("_p", F.least(F.lit(1.0), F.col("_running")).alias(name))
     return df.join(steps, df[p] == steps["_p"], "left").drop("_p")
 
 

@@ -1,5 +1,7 @@
 """Metrics, bootstraps, paired tests, ranking and attribution."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -74,6 +76,20 @@ def test_sign_flip_and_holm(spark):
     assert got == pytest.approx({1: 0.03, 2: 0.06, 3: 0.06})
 
 
+def test_holm_sorts_inside_buckets_only(spark):
+    rng = np.random.default_rng(1)
+    p = [float(x) for x in np.r_[np.round(rng.random(1500) ** 4, 6), [0.25] * 300, np.nan]]
+    tests = spark.createDataFrame([(i, x) for i, x in enumerate(p)] + [(-1, None)], "i int, p double")
+    want, run = {-1: None}, 0.0
+    for r, i in enumerate(sorted(range(len(p)), key=lambda i: (np.isnan(p[i]), p[i]))):
+        run = max(run, min(1.0, (len(p) - r) * p[i])) if p[i] == p[i] else 1.0
+        want[i] = run
+    for found in (stats.holm(tests, "p"), stats.holm(tests, "p", bucket_rows=200)):
+        assert {r.i: r.p_value_holm for r in found.collect()} == pytest.approx(want)
+        windows = re.findall(r"windowspecdefinition\((.*?) (?:ASC|DESC)", found._jdf.queryExecution().analyzed().toString())
+        assert windows and all("_bucket" in w for w in windows)
+
+
 def test_t_interval(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("b", 1.0)], "k string, v double")
     got = {r.k: r for r in stats.t_interval(df, ["k"], "v").collect()}
