@@ -1,24 +1,30 @@
 """Vectorised text helpers that run inside Arrow tasks: word spans, span hashes, per-row pieces.
 
-A batch of texts is one UTF-8 buffer plus row offsets. Spans are byte ranges of that buffer. A span's
-hash is a polynomial over random 64-bit byte values, taken from one running sum, so that hashing all
-words of a batch costs a few passes over its bytes whatever the words are. Equal bytes give equal
-hashes in every task; different ones collide with a chance near 2^-64 for each pair.
+A batch of texts is one UTF-8 buffer plus row offsets. Spans are byte ranges of that buffer. A span is
+read as 8-byte blocks and each block is mixed into its name by multiplying and shifting, so that no
+structure of the text survives in it; spans of more than ``LONG`` bytes go through xxh3. Equal bytes give
+equal names in every task; two different ones have one name with a chance near 2^-64.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Texts are worked on in slices of about this many bytes, so that a task's arrays stay small.
 SLICE_BYTES = 2 << 20
 #: For work that keeps several arrays of all words or letters of a slice.
 SMALL_SLICE = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: Spans of more bytes are named by xxh3.
+LONG = 64
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+# The bytes that belong to a block of which n are left.
+_PART = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = np.arange(97, 123)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,29 +38,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=2)
-def _byte_values(fold_case: bool) -> np.ndarray:
-    values = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _BASE)
-    if fold_case:
-        values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
-    return values
+def lower(buf: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z."""
+    return _LOWER[buf]
+
 
+class Blocks:
+    """Spans of a buffer read as little-endian numbers of 8 bytes, zeros after a span's end."""
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE), np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64)))
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    def __init__(self, buf: np.ndarray):
+        held = np.zeros(len(buf) + 8, np.uint8)
+        held[: len(buf)] = buf
+        self.at = np.ndarray((len(buf) + 1,), np.dtype("<u8"), held, strides=(1,))
+
+    def __call__(self, start: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The block at each ``start``, of which ``left`` bytes (or 8) belong to the span."""
+        return self.at[start] & _PART[np.minimum(left, 8)]
 
 
 def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, fold_case: bool = False) -> np.ndarray:
     """64-bit names of ``buf[start:end]``; with ``fold_case`` A-Z count as a-z."""
-    # One table of powers for all slices; a single longer text gets its own, which is not kept.
-    up, down = _powers(SLICE_BYTES) if len(buf) < SLICE_BYTES else _powers.__wrapped__(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(_byte_values(fold_case)[buf] * up[: len(buf)], dtype=np.uint64, out=total[1:])
+    if fold_case:
+        buf = lower(buf)
+    block, length = Blocks(buf), end - start
     # The length is part of the name, and an empty span has one too.
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    out = mix(block(start, length) ^ (length.astype(np.uint64) * _STEP))
+    more, done = np.flatnonzero((length > 8) & (length <= LONG)), 8
+    while len(more):
+        out[more] = mix(out[more] * _STEP + block(start[more] + done, length[more] - done))
+        done += 8
+        more = more[length[more] > done]
+    for i in np.flatnonzero(length > LONG):
+        out[i] = xxhash.xxh3_64_intdigest(buf[start[i] : end[i]].tobytes())
+    return out
 
 
 class Texts:
