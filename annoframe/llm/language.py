@@ -162,6 +162,16 @@ def predict(model: Model, x: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return best, score, shares
 
 
+def likeliest(model: Model, x: Texts) -> np.ndarray:
+    """Number of the one language under which each row's trigrams are likeliest (-1 without any)."""
+    cell, _, _, first = _cells(x)
+    some = np.diff(first) > 0
+    best = np.full(x.rows, -1)
+    if model.languages and some.any():
+        best[some] = np.add.reduceat(model.log[cell], first[:-1][some], axis=0).argmax(axis=1)
+    return best
+
+
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (its proportion, or its posterior if it is alone) and ``languages``.
 

@@ -8,7 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annoframe.llm import backoff, bpe, chat, cover_tree, language, ngram_join, order_minhash, packing, recompress, runtime, simple8b, sql
+from annoframe.llm import (
+    backoff,
+    bpe,
+    chat,
+    cover_tree,
+    divergence,
+    language,
+    ngram_join,
+    order_minhash,
+    packing,
+    recompress,
+    resample,
+    runtime,
+    simple8b,
+    sql,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,3 +103,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
     rows = spark.range(2).select(F.lit(-1).cast("long"), "id", role, F.lit("</s>[INST] ok [/INST]"))
     return chat.digests(chat.format_chats(turns.union(rows)))
+
+
+@query("op11_toxicity")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    free = ~toxicity.held_out()
+    model = toxicity.fit(docs.filter(free), labels.filter(free))
+    rows = docs.select("doc_id", "text", toxicity.held_out().alias("held_out"))
+    return toxicity.score(rows, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op12_importance_resampling", sql.IMPORTANCE_RESAMPLING)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@query("op13_source_divergence", sql.SOURCE_DIVERGENCE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(load(spark, sf_dir, "documents"))

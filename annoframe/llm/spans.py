@@ -95,6 +95,17 @@ class Texts:
         return start, end, np.searchsorted(start, self.at)
 
 
+def runs(x: Texts, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each run of bytes that ``member`` (256 truth values) holds, and each row's first run."""
+    inside = np.zeros(len(x.buf) + 2, bool)
+    inside[1:-1] = member[x.buf]
+    edge = np.zeros(len(x.buf) + 1, bool)
+    edge[x.at] = True  # a run never crosses rows
+    start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
+    end = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
+    return start, end, np.searchsorted(start, x.at)
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[Texts]:
     """The rows of a string column in order, in slices of about ``most`` bytes; null is empty.
 
