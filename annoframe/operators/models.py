@@ -1,4 +1,4 @@
-"""Fitting and scoring MLlib regressors over a run grid."""
+"""Fitting and scoring regressors over a run grid: linear ones from sums of squares (``linear``), trees by MLlib."""
 
 from __future__ import annotations
 
@@ -9,18 +9,18 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annoframe.functions.sequences import zero_nonfinite
-from annoframe.operators import metrics, stats
+from annoframe.operators import linear, metrics, stats
 from annoframe.operators.features import MedianImputer, Standardiser
 
 # Search ranges per estimator; a third entry "log" draws on a log scale.
 SEARCH_SPACES: dict[str, dict[str, tuple]] = {
-    "ridge": {"alpha": (0.01, 1e4, "log")},
-    "elasticnet": {"alpha": (1e-5, 10.0, "log"), "l1_ratio": (0.01, 0.99)},
+    "ridge": {"alpha": (1e-4, 1e4, "log")},
+    "elasticnet": {"alpha": (1e-5, 100.0, "log"), "l1_ratio": (0.01, 0.99)},
     "random_forest": {
         "n_estimators": (50, 500),
         "max_depth": (3, 20),
@@ -35,7 +35,6 @@ SEARCH_SPACES: dict[str, dict[str, tuple]] = {
         "min_child_weight": (1, 20),
     },
 }
-SCALED = ("ridge", "elasticnet")
 IMPORTANCE_TOP = 30
 
 
@@ -77,24 +76,9 @@ class FeaturePlan:
         return self.assemble(self.prepare(df))
 
 
-def estimator(kind: str, params: dict, label: str, seed: int, n_rows: int = 1):
-    """An unfitted MLlib regressor (ML1-ML4).
-
-    Ridge: the published penalty is on the sum of squares and MLlib's on their mean, so alpha is
-    divided by the number of training rows.
-    """
+def estimator(kind: str, params: dict, label: str, seed: int):
+    """An unfitted MLlib regressor (ML3, ML4)."""
     common = {"featuresCol": "features", "labelCol": label, "predictionCol": "prediction"}
-    if kind == "ridge":
-        reg = params.get("alpha", 1.0) / max(n_rows, 1)
-        return LinearRegression(regParam=reg, elasticNetParam=0.0, standardization=False, **common)
-    if kind == "elasticnet":
-        return LinearRegression(
-            regParam=params.get("alpha", 1.0),
-            elasticNetParam=params.get("l1_ratio", 0.5),
-            standardization=False,
-            maxIter=int(params.get("max_iter", 200)),
-            **common,
-        )
     if kind == "random_forest":
         return RandomForestRegressor(
             numTrees=int(params.get("n_estimators", 100)),
@@ -114,7 +98,7 @@ def estimator(kind: str, params: dict, label: str, seed: int, n_rows: int = 1):
             seed=seed,
             **common,
         )
-    raise ValueError(f"unknown estimator {kind!r}; one of {sorted(SEARCH_SPACES)}")
+    raise ValueError(f"unknown estimator {kind!r}; one of {sorted(set(SEARCH_SPACES) - set(linear.FITS))}")
 
 
 def draw_params(space: dict[str, tuple], trial: int, seed: int) -> dict:
@@ -134,8 +118,8 @@ def draw_params(space: dict[str, tuple], trial: int, seed: int) -> dict:
     return out
 
 
-def fit(kind: str, params: dict, train: DataFrame, label: str, seed: int, n_rows: int = 1) -> Model:
-    return estimator(kind, params, label, seed, n_rows).fit(train)
+def fit(kind: str, params: dict, train: DataFrame, label: str, seed: int) -> Model:
+    return estimator(kind, params, label, seed).fit(train)
 
 
 def _rmse(model: Model, df: DataFrame, label: str) -> float:
@@ -158,15 +142,14 @@ def search(
     parameters and the list of trials.
     """
     space = space or SEARCH_SPACES[kind]
-    n_rows = train.count()
     trials = []
     for t in range(n_trials):
         params = draw_params(space, t, seed)
-        model = fit(kind, params, train, label, seed, n_rows)
+        model = fit(kind, params, train, label, seed)
         trials.append({"number": t, "value": _rmse(model, val, label), **params})
     best = min(trials, key=lambda x: (x["value"], x["number"]))
     params = {k: v for k, v in best.items() if k not in ("number", "value")}
-    return fit(kind, params, train, label, seed, n_rows), params, trials
+    return fit(kind, params, train, label, seed), params, trials
 
 
 def predictions(
@@ -218,8 +201,16 @@ def run_cell(
     started = time.perf_counter()
     run = {"model_id": model_id, "seed": seed, "split_type": split_type, "hpo": n_trials > 0}
     try:
+        if kind in linear.FITS:
+            model, plan, trials, params = _linear(df, label, columns, kind, seed, params, n_trials, space, impute, split)
+            run.update(status="completed", n_features=len(columns), best_params=params, runtime_seconds=time.perf_counter() - started)
+            if trials:
+                run.update(best_validation_rmse=min(t["value"] for t in trials), n_trials=len(trials))
+            test = plan.prepare(df.filter(F.col(split) == "test"))
+            rows = predictions(model, test, key, label, "test", model_id, seed, split_type)
+            return Cell("completed", run, rows, model, plan)
         parts = {s: df.filter(F.col(split) == s) for s in ("train", "val", "test")}
-        plan = FeaturePlan(columns, impute, kind in SCALED).fit(parts["train"])
+        plan = FeaturePlan(columns, impute).fit(parts["train"])
         ready = {s: plan.transform(part) for s, part in parts.items()}
         train = ready["train"].cache()
         try:
@@ -228,8 +219,7 @@ def run_cell(
                 run["best_validation_rmse"] = min(t["value"] for t in trials)
                 run["n_trials"] = len(trials)
             else:
-                n_rows = train.count() if kind == "ridge" else 1
-                model = fit(kind, params or {}, train, label, seed, n_rows)
+                model = fit(kind, params or {}, train, label, seed)
         finally:
             train.unpersist()
         run.update(
@@ -245,6 +235,32 @@ def run_cell(
         return Cell("failed", run, error=str(exc))
 
 
+def _linear(
+    df: DataFrame,
+    label: str,
+    columns: Sequence[str],
+    kind: str,
+    seed: int,
+    params: dict | None,
+    n_trials: int,
+    space: dict[str, tuple] | None,
+    impute: bool,
+    split: str,
+) -> tuple[linear.Fitted, FeaturePlan, list[dict], dict]:
+    """A linear cell: one pass over train and validation rows, whatever the number of trials."""
+    plan = FeaturePlan(columns, impute)
+    if impute:
+        plan.fit(df.filter(F.col(split) == "train"))
+    rows = plan.prepare(df.filter(F.col(split).isin("train", "val")))
+    parts = {r[split]: linear.Gram.of(bytes(r["gram"])) for r in linear.grams(rows, columns, label, [split]).collect()}
+    if n_trials:
+        drawn = [draw_params(space or SEARCH_SPACES[kind], t, seed) for t in range(n_trials)]
+        found, params, trials = linear.search(kind, parts["train"], parts["val"], drawn)
+    else:
+        found, params, trials = linear.fit(kind, params or {}, parts["train"]), dict(params or {}), []
+    return linear.Fitted(columns, found), plan, trials, params
+
+
 def run_seeds(df: DataFrame, seeds: Sequence[int], **cell) -> tuple[DataFrame | None, list[Cell]]:
     """The same cell for several seeds (ML8): predictions of all seeds and the cells."""
     cells = [run_cell(df, seed=s, **cell) for s in seeds]
@@ -261,12 +277,12 @@ def seed_summary(rows: DataFrame) -> DataFrame:
     return stats.summary(per, ["model_id", "split_type"], list(metrics.KEY_METRICS))
 
 
-def importance(model: Model, columns: Sequence[str], top: int = IMPORTANCE_TOP) -> DataFrame:
+def importance(model: Model | linear.Fitted, columns: Sequence[str], top: int = IMPORTANCE_TOP) -> DataFrame:
     """Feature importances (absolute coefficients of linear models), the largest first (ML9)."""
     values = (
         model.featureImportances.toArray()
         if hasattr(model, "featureImportances")
-        else [abs(v) for v in model.coefficients.toArray()]
+        else [abs(v) for v in model.coefficients]
     )
     rows = [(c, float(v)) for c, v in zip(columns, values, strict=True)]
     from pyspark.sql import SparkSession
@@ -286,18 +302,19 @@ def time_forward_runs(
     seed: int = 42,
     carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Train before and score after each cutoff, per feature set (ML10).
+    """Train before and score after each cutoff, per feature set (ML10); linear kinds in one pass, trees one by one.
 
     ``df`` carries the ``train_for`` and ``test_for`` columns of ``splits.time_forward``.
     """
+    if kind in linear.FITS:
+        return linear.time_forward_runs(df, key, label, cutoffs, feature_sets, kind, params, carry)
     out = None
     for cutoff in cutoffs:
         train = df.filter(F.array_contains("train_for", cutoff))
         test = df.filter(F.array_contains("test_for", cutoff))
         for name, columns in feature_sets.items():
-            plan = FeaturePlan(columns, scale=kind in SCALED).fit(train)
-            n_rows = train.count() if kind == "ridge" else 1
-            model = fit(kind, params or {}, plan.transform(train), label, seed, n_rows)
+            plan = FeaturePlan(columns).fit(train)
+            model = fit(kind, params or {}, plan.transform(train), label, seed)
             rows = model.transform(plan.transform(test)).select(
                 F.lit(cutoff).alias("cutoff"),
                 F.lit(name).alias("model"),
@@ -316,32 +333,36 @@ def leave_family_runs(
     key: str,
     label: str,
     family: str,
-    columns: Sequence[str],
-    families: Sequence[str],
+    feature_sets: dict[str, Sequence[str]],
+    families: Sequence | None = None,
     kind: str = "boosted",
     params: dict | None = None,
     seed: int = 42,
-    name: str = "model",
 ) -> DataFrame:
-    """Train on all other families plus the support rows, score the query rows (ML11).
+    """Train on all other families plus the support rows, score the query rows, per feature set (ML11).
 
-    ``roles`` comes from ``splits.support_query``. One fit per family: pass the families to run.
+    ``roles`` comes from ``splits.support_query``. Linear kinds do all families in one pass. Trees are fitted one after the
+    other: pass the ``families`` to run.
     """
+    if kind in linear.FITS:
+        if families is not None:
+            roles = roles.filter(F.col(family).isin(list(families)))
+        return linear.leave_family_runs(df, roles, key, label, family, feature_sets, kind, params)
     marked = df.join(roles.select(key, "role"), key, "left")
     out = None
     for fam in families:
-        inside = F.col(family) == fam
-        train = marked.filter(~inside | (F.col("role") == "support"))
+        inside = F.col(family).eqNullSafe(F.lit(fam))
+        train = marked.filter(~inside | F.coalesce(F.col("role") == "support", F.lit(False)))
         test = marked.filter(inside & (F.col("role") == "query"))
-        plan = FeaturePlan(columns, scale=kind in SCALED).fit(train)
-        n_rows = train.count() if kind == "ridge" else 1
-        model = fit(kind, params or {}, plan.transform(train), label, seed, n_rows)
-        rows = model.transform(plan.transform(test)).select(
-            F.lit(fam).alias("family_id"),
-            F.lit(name).alias("model"),
-            F.col(key).alias("sample_id"),
-            F.col(label).cast("double").alias("y_true"),
-            F.col("prediction").alias("y_pred"),
-        )
-        out = rows if out is None else out.unionByName(rows)
+        for name, columns in feature_sets.items():
+            plan = FeaturePlan(columns).fit(train)
+            model = fit(kind, params or {}, plan.transform(train), label, seed)
+            rows = model.transform(plan.transform(test)).select(
+                F.col(family).alias("family_id"),
+                F.lit(name).alias("model"),
+                F.col(key).alias("sample_id"),
+                F.col(label).cast("double").alias("y_true"),
+                F.col("prediction").alias("y_pred"),
+            )
+            out = rows if out is None else out.unionByName(rows)
     return out

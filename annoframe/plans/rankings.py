@@ -26,7 +26,6 @@ fam AS (SELECT fa.model, fa.family_id, n_test, coalesce(valid, 0) AS valid_pair_
 """
 REPS = 300
 
-
 def families(spark, sf):
     rows = predictions(spark, sf).withColumn(
         "family_id", F.concat_ws("|", "segment", F.col("nation").cast("string"))
