@@ -213,6 +213,22 @@ def quantiles(
     return out.select(*by, *probs)
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Add a gap-free number 0..n-1 by ``order``, columns of any orderable types that together are unique.
+
+    Rows are range-partitioned and written; a range's first number is the running count of the ranges before it.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = settle(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    # One row for each partition.
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    inside = W.partitionBy("_range").orderBy(*order)
+    out = placed.join(F.broadcast(sizes), "_range").withColumn(name, F.col("_before") + F.row_number().over(inside) - 1)
+    return out.drop("_range", "_before")
+
+
 def hash_bucket(hashed: Column) -> Column:
     """Leading bits of a draw: an order-preserving bucket for hash order."""
     return F.shiftright(hashed, HASH_SHIFT)

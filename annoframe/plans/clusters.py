@@ -10,6 +10,7 @@ from annoframe.plans.samples import PRELUDE, samples, sequence_of
 from annoframe.plans.split_sets import _LCS
 
 THRESHOLD = 0.5
+NAME_THRESHOLD = 0.7
 
 NODES = f"""
 sup AS (SELECT s_suppkey AS k, substr(translate(md5(CAST(s_suppkey AS VARCHAR)), '0123456789abcdef', 'ACDEFGHIKLMNPQRS'),
@@ -77,6 +78,53 @@ def clusters_longest_first(spark, sf):
     return similarity.expand_clusters(df, found, "sequence").select("k", "cluster_id")
 
 
+# Part names under text ids, as a table of samples with a sequence and an id would be.
+NAMES = f"""
+sup AS (SELECT 'PART_' || p_partkey AS k, p_name AS seq FROM part),
+nodes AS (SELECT seq, min(k) AS first, count(*) AS n_rows FROM sup GROUP BY seq),
+p AS (SELECT x.seq AS a, y.seq AS b, x.first AS fa, y.first AS fb FROM nodes x JOIN nodes y ON x.first < y.first),
+edges AS (SELECT * FROM (SELECT a, b, fa, fb, {_LCS} AS identity FROM p) WHERE identity >= {NAME_THRESHOLD})
+"""
+
+
+@query(
+    "clusters_of_names",
+    f"""WITH RECURSIVE {NAMES}, {_leaders('length(seq) DESC, first')}
+    SELECT k, cluster_id FROM sup JOIN cl USING (seq)""",
+)
+def clusters_of_names(spark, sf):
+    """Leader clusters of part names, longest first, by text ids (SM4, SM5)."""
+    df = load(spark, sf, "part").select(F.concat(F.lit("PART_"), F.col("p_partkey").cast("string")).alias("k"), "p_name")
+    found = similarity.leader_clusters(df, "p_name", "k", NAME_THRESHOLD, order="length_desc")
+    return similarity.expand_clusters(df, found, "p_name").select("k", "cluster_id")
+
+
+SET_THRESHOLD = 0.5
+
+
+def _words(text: str) -> str:
+    return f"list_sort(list_distinct(list_filter(regexp_split_to_array(lower({text}), '[^a-zà-ÿ]+'), lambda t: t <> '')))"
+
+
+@query(
+    "clusters_of_documents",
+    f"""WITH RECURSIVE sup AS (SELECT doc_id AS k, CASE WHEN len({_words("text")}) > 0 THEN {_words("text")} END AS seq FROM documents),
+    full_sets AS (SELECT seq, min(k) AS first FROM sup WHERE seq IS NOT NULL GROUP BY seq),
+    tok AS (SELECT first, len(seq) AS n, unnest(seq) AS t FROM full_sets),
+    ov AS (SELECT x.first AS fa, y.first AS fb, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS o
+           FROM tok x JOIN tok y ON x.t = y.t AND x.first < y.first GROUP BY 1, 2),
+    nodes AS (SELECT first AS seq, first FROM full_sets UNION ALL SELECT k, k FROM sup WHERE seq IS NULL),
+    edges AS (SELECT fa AS a, fb AS b FROM ov WHERE o >= {SET_THRESHOLD} * (na + nb - o)),
+    {_leaders('first')}
+    SELECT k, cluster_id FROM sup LEFT JOIN full_sets f ON f.seq = sup.seq JOIN cl ON cl.seq = coalesce(f.first, k)""",
+)
+def clusters_of_documents(spark, sf):
+    """Leader clusters of documents by their sets of words (SM3)."""
+    words = F.filter(F.split(F.lower("text"), "[^a-zà-ÿ]+"), lambda t: t != "")
+    docs = load(spark, sf, "documents").select(F.col("doc_id").alias("k"), words.alias("w"))
+    return similarity.set_clusters(docs, "k", "w", SET_THRESHOLD)
+
+
 @query("clusters_affine")
 def clusters_affine(spark, sf):
     """Leader clusters by affine-gap identity (SM2, SM4); SQL has no affine alignment."""

@@ -123,6 +123,48 @@ def test_clusters_equal_the_sequential_loop(spark, order, chunk):
     assert {r.seq: r.cluster_id for r in got.collect()} == want
 
 
+def test_clusters_by_text_keys_and_large_numbers(spark):
+    seqs = ["ACDEFGH", "ACDEFGK", "WWYYMMH", "ACDEFGH", "WWYYMMN"]
+    for keys, kind in ((["K_10", "K_9", "K_1", "K_0", "K_7"], "string"), ([2**60 + i for i in (5, 4, 3, 2, 1)], "bigint")):
+        df = spark.createDataFrame(list(zip(keys, seqs, strict=True)), f"k {kind}, s string")
+        got = similarity.leader_clusters(df, "s", "k", 0.7)
+        order = [s for _, s in sorted((min(k for k, t in zip(keys, seqs, strict=True) if t == s), s) for s in set(seqs))]
+        want = sequential(order, lambda a, b: lcs(a, b) / max(len(a), len(b)), 0.7)
+        assert {r.seq: r.cluster_id for r in got.collect()} == want
+
+
+def test_rounds_of_a_hot_key_are_few(spark):
+    # All share a key; half are near copies of one sequence, which the first round takes away.
+    rng = random.Random(2)
+    near = ["ACDEFGHIKLMNPQRSTVWY" * 2 for _ in range(150)]
+    near = [s[:i] + "A" + s[i + 1 :] for i, s in enumerate(near[:40])]
+    other = ["".join(rng.sample("ACDEFGHIKLMNPQRSTVWY", 20)) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(near + other)), "id int, s string")
+    log = []
+    got = similarity.leader_clusters(df, "s", "id", 0.9, chunk=4, log=log)
+    want = sequential(list(dict.fromkeys(near + other)), lambda a, b: lcs(a, b) / max(len(a), len(b)), 0.9)
+    assert {r.seq: r.cluster_id for r in got.collect()} == want
+    assert len(log) <= 8 and max(entry["steps"] for entry in log) <= 6
+
+
+@pytest.mark.parametrize("chunk", [2, 256])
+def test_set_clusters_equal_the_sequential_loop(spark, chunk):
+    rng = random.Random(8)
+    base = [rng.sample(range(40), rng.randint(1, 12)) for _ in range(8)]
+    sets = [[str(x) for x in b if rng.random() < 0.9] for b in base * 6] + [None, [], ["7", "7"]]
+    df = spark.createDataFrame(list(enumerate(sets)), "id int, w array<string>")
+    full = [frozenset(s or ()) for s in sets]
+    jaccard = lambda a, b: len(a & b) / len(a | b) >= 0.5 and bool(a)
+    leaders, want = [], {}
+    for i, s in enumerate(full):
+        hit = next((n for n, x in enumerate(leaders) if s and x and jaccard(x, s)), None)
+        if hit is None:
+            leaders.append(s)
+            hit = len(leaders) - 1
+        want[i] = hit
+    assert {r.id: r.cluster_id for r in similarity.set_clusters(df, "id", "w", 0.5, chunk).collect()} == want
+
+
 def test_edges_miss_nothing(spark):
     rng = random.Random(5)
     seqs = list({"".join(rng.choice("ACDE") for _ in range(rng.randint(3, 8))) for _ in range(60)})
