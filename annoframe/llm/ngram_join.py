@@ -28,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from annoframe.functions.joins import join_keys
 from annoframe.llm import runtime
 from annoframe.llm.columns import group_of, joined, planes
 from annoframe.llm.components import components
 from annoframe.llm.spans import SMALL_SLICE, Texts, hash_spans, mix, rows_of, slices
+from annoframe.operators import ranks
 
 N = 5
 #: Link when 100 * intersection >= PERCENT * union.
@@ -270,9 +272,23 @@ def _counts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([none, pa.array(np.concatenate(size) if size else np.zeros(0, np.int64)), none], ["doc_id", "n_shingles", "component_id"])
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each class: that with the smallest id; rows without id stay."""
-    found = classes(docs, **options)
-    id_col = options.get("id_col", "doc_id")
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each class: that with the smallest id.
+
+    Decided row by row: of an id that is repeated with two texts, one may go and the other stay. Rows of one id and text are one
+    document, of which the row that is smallest by all columns stays. A row without an id comes after all others, and
+    stays unless it is like one of them. Texts without words are like nothing; only rows that repeat such a text under one id go.
+    """
+    odd = docs.groupBy(id_col).agg(F.count("*").alias("rows")).filter((F.col("rows") > 1) | F.col(id_col).isNull())
+    if not odd.limit(1).count():
+        gone = classes(docs, id_col=id_col, text_col=text_col, **options).filter("doc_id <> component_id")
+        return docs.join(gone.select(F.col("doc_id").alias(id_col)), id_col, "left_anti").select(*docs.columns)
+    # Ids that say nothing are replaced by numbers in the order of ids and texts.
+    text = F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit(""))
+    named = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), text.alias("_text"))
+    keys = ranks.numbered(named.select(F.col("_id").isNull().alias("_none"), "_id", "_text").distinct(), ["_none", "_id", "_text"], "_n")
+    rows = join_keys(named, keys.select("_id", "_text", "_n"), ["_id", "_text"])
+    rows = runtime.table(rows.groupBy("_n").agg(F.min("_row").alias("_row")))
+    found = classes(rows.select("_n", F.col(f"_row.{text_col}").alias("_text")), id_col="_n", text_col="_text", **options)
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_n"))
+    return rows.join(gone, "_n", "left_anti").select("_row.*")

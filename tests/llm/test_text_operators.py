@@ -1,14 +1,17 @@
 import hashlib
+import math
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
 from annoframe.llm import backoff, bpe, language, ngram_join, packing, recompress, runtime, simple8b
+from annoframe.llm.spans import slices
 from tests.llm import brute
 
 BYTE, WORD, RANKS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_50k.tiktoken"))
@@ -52,6 +55,16 @@ def test_jaccard_of_rows_without_id_and_of_an_empty_table(spark):
     assert {r.doc_id for r in one.collect()} == {1, 4, 5, 6, 7, 9, 10, 13, 14, 15, 16} - {2}
 
 
+def test_one_of_each_decides_row_by_row(spark):
+    near = [f"w{i}" for i in range(60)]
+    copy, other = " ".join(near), " ".join(["z", *near[1:]])
+    pairs = [(1, copy), (2, other), (2, "a unique text of id two"), (3, copy), (3, copy), (4, "own"), (4, "own"), (5, ""), (5, ""), (None, copy), (None, "no id at all"), (6, None)]
+    docs = brute.table(spark, pairs)
+    got = brute.rows(ngram_join.one_of_each(docs), "doc_id", "text")
+    want = [(1, copy), (2, "a unique text of id two"), (4, "own"), (5, ""), (6, None), (None, "no id at all")]
+    assert got == want and ngram_join.one_of_each(docs).schema == docs.schema
+
+
 @pytest.mark.parametrize("pairs", [brute.odd_texts(), random_texts(3), random_texts(4, 120)], ids=["odd", "random 3", "random 4"])
 def test_repeats_are_those_of_all_windows(spark, pairs):
     got = brute.rows(recompress.digests(brute.table(spark, pairs)), "doc_id", "n_words", "n_removed", "kept_sha256")
@@ -185,6 +198,49 @@ def test_language_shares(spark):
     assert language.identify(docs.limit(0), model).collect() == []
 
 
+def test_mixtures_are_those_of_plain_expectation_maximisation():
+    # A plain form over dictionaries: the same cells, one word and one language at a time.
+    texts = ["der hund läuft", "the dog and der hund", "le chien court vite", "the the the", "12", ""]
+    x = next(slices(pa.array([*texts, "x y"])))
+    draw = np.random.default_rng(0)
+    model = language.Model(["a", "b", "c"], draw.integers(0, 50, (3, language.BUCKETS)).astype(float))
+    best, score, shares = language.predict(model, x)
+    cells, _, begins, first = language._cells(x)
+    for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+        words, start = [], None
+        for c, new in zip(cells[a:b].tolist(), begins[a:b].tolist(), strict=True):
+            if new or start is None:
+                words.append([0.0, 0.0, 0.0])
+                start = True
+            for k in range(3):
+                words[-1][k] += float(model.log[c, k])
+        if not words:
+            assert best[i] == -1 and score[i] == 0
+            continue
+        chosen = [max(range(3), key=lambda k: sum(w[k] for w in words))]
+        share = plain_mixture(words, [0, 1, 2], [1 / 3] * 3)[0]
+        reached = sum(w[chosen[0]] - max(w) for w in words)
+        found = {chosen[0]: 1.0}
+        while len(chosen) < 3:
+            more = max((k for k in range(3) if k not in chosen), key=lambda k: share[k])
+            trial = sorted([*chosen, more])
+            begin = [max(share[k], 1e-6) for k in trial]
+            got, gained = plain_mixture(words, trial, [v / sum(begin) for v in begin])
+            if gained - reached <= language.PENALTY * math.log(max(len(words), 2)) + language.SLACK * len(words):
+                break
+            chosen, reached, found = trial, gained, dict(zip(trial, got, strict=True))
+        assert best[i] == (max(found, key=found.get) if len(found) > 1 else chosen[0])
+        assert shares[i] == pytest.approx([found.get(k, 0) for k in range(3)], abs=1e-6)
+
+
+def plain_mixture(words, languages, share):
+    for _ in range(language.STEPS):
+        joint = [[max(math.exp(w[k] - max(w)), 1e-30) * s for k, s in zip(languages, share, strict=True)] for w in words]
+        whole = [sum(j) for j in joint]
+        share = [sum(j[k] / t for j, t in zip(joint, whole, strict=True)) / len(words) for k in range(len(languages))]
+    return share, sum(math.log(t) for t in whole)
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = language.fit(docs.filter(~language.held_out()))
