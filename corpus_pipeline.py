@@ -13,20 +13,22 @@ from pyspark.sql import functions as F
 
 from annoframe.llm import language, ngram_join, packing, recompress, runtime
 
-#: A document goes if no language has this share of it.
-LEAST_SHARE = 0.4
-
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go, and those in which no language has ``LEAST_SHARE``; a missing language is filled in."""
+    """Documents without a letter go; a missing language is filled in. A mixture of languages is no reason to go.
+
+    If no document that may be learned from has a language, nothing can be told and all documents stay as they are.
+    """
     model = language.fit(docs.filter(~language.held_out()).select("lang", "text"))
+    if not model.languages:
+        return docs
     found = language.identify(docs, model, prefix="found_")
-    kept = found.filter((F.col("found_lang_pred") != language.UNKNOWN) & (F.col("found_score") >= LEAST_SHARE))
+    kept = found.filter(F.col("found_lang_pred") != language.UNKNOWN)
     return kept.withColumn("lang", F.coalesce("lang", "found_lang_pred")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays, that with the smallest id."""
+    """One row of each class of near copies stays, that with the smallest id; equal rows are copies of each other."""
     return ngram_join.one_of_each(docs)
 
 
