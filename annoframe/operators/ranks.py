@@ -38,9 +38,29 @@ def with_bucket(
 
     Edges are approximate quantiles per key; keys with at most ``bucket_rows`` rows get one
     bucket. A value equal to an edge has a bucket of its own (odd number), so a value held by
-    many rows never shares a bucket with others.
+    many rows never shares a bucket with others. Where a key has so many rows that its buckets are too large, they are
+    cut again by edges of their own until none has more than twice ``bucket_rows`` rows of different values.
     """
-    return _bucketed(df, by, value, _edges(df, by, value, bucket_rows, fan), name, fan)
+    return _placed(df, by, value, settle(_edges(df, by, value, bucket_rows, fan)), name, bucket_rows, fan)
+
+
+def _placed(
+    df: DataFrame, by: Sequence[str], value: str, edges: DataFrame, name: str, bucket_rows: int, fan: int
+) -> DataFrame:
+    """Bucket numbers from ``edges``, then from those of each bucket that is still too large."""
+    by, leaves = list(by), fan * fan
+    out = _bucketed(df, by, value, edges, name, fan)
+    if (edges.agg(F.max("_n")).first()[0] or 0) <= leaves * bucket_rows:
+        return out
+    while True:
+        size = out.groupBy(*by, name).agg(F.count(value).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+        full = settle(size.filter((F.col("_n") > 2 * bucket_rows) & (F.col("_lo") < F.col("_hi"))).select(*by, name))
+        if full.isEmpty():
+            return out
+        inner = join_keys(out, full, [*by, name], "left_semi")
+        inside = settle(_edges(inner, [*by, name], value, bucket_rows, fan))
+        cut = _bucketed(out, [*by, name], value, inside, "_inner", fan, "left")
+        out = cut.withColumn(name, F.col(name) * (2 * leaves + 2) + F.col("_inner")).drop("_inner")
 
 
 def _edges(df: DataFrame, by: Sequence[str], value: str, bucket_rows: int, fan: int) -> DataFrame:
@@ -67,12 +87,15 @@ def _edges(df: DataFrame, by: Sequence[str], value: str, bucket_rows: int, fan:
 
 
 def _bucketed(
-    df: DataFrame, by: Sequence[str], value: str, edges: DataFrame, name: str, fan: int
+    df: DataFrame, by: Sequence[str], value: str, edges: DataFrame, name: str, fan: int, how: str = "inner"
 ) -> DataFrame:
     x = F.col(value).cast("double")
     # Without keys there is one row of edges; with the constant key folded away it must be the built side.
     sides = F.broadcast(edges.drop("_n")) if list(by) == ["_all"] else edges.drop("_n")
-    joined = join_keys(df, sides, by)
+    joined = join_keys(df, sides, by, how)
+    if how == "left":
+        none = F.array().cast("array<double>")
+        joined = joined.withColumns({c: F.coalesce(c, none) for c in ("_fine_edges", "_coarse_edges")})
     coarse = F.size(F.filter("_coarse_edges", lambda e: e < x))
     joined = joined.withColumn("_coarse_edges", coarse)
     fine = F.size(F.filter(F.slice("_fine_edges", F.col("_coarse_edges") * fan + 1, fan), lambda e: e < x))
@@ -201,7 +224,7 @@ def quantiles(
         ).alias("_rank"),
     )
     targets = targets.withColumn("_target", F.col("_rank") + 1)
-    items = _bucketed(rows, keys, "_v", edges, "_bucket", FAN).withColumn("_one", F.lit(1))
+    items = _placed(rows, keys, "_v", edges, "_bucket", bucket_rows, FAN).withColumn("_one", F.lit(1))
     found = crossing(items, keys, "_bucket", ["_v"], "_one", targets, "_target")
     per = found.groupBy(*keys, "_name", "_frac").agg(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi")

@@ -5,16 +5,18 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annoframe.functions import draws
 from annoframe.functions.joins import join_keys
 from annoframe.functions.tquantile import t_975_column
-from annoframe.operators import metrics, ranks
-from annoframe.session import settle
+from annoframe.operators import metrics, ranks, replicates as replicated
+from annoframe.session import settle, ship
 
-SIGN_FLIP_LIMIT = 20
+SIGN_FLIP_LIMIT = 44
 BOOTSTRAP_REPLICATES = 2000
 FAMILY_REPLICATES = 5000
 BOOTSTRAP_SEED = 20260717
@@ -121,24 +123,56 @@ def compare_long(
     return both.select(*by, "comparison", (F.col("_l") - F.col("_r")).alias("difference"))
 
 
+def _half_sums(values: np.ndarray) -> np.ndarray:
+    """All sums of the values with either sign, in order."""
+    sums = np.zeros(1)
+    for v in values:
+        # Two ordered lists, shifted down and up, merged by their places in each other.
+        low, high = sums - v, sums + v
+        out = np.empty(2 * len(sums))
+        at = np.arange(len(low)) + np.searchsorted(high, low, side="left")
+        out[at] = low
+        rest = np.ones(len(out), bool)
+        rest[at] = False
+        out[rest] = high
+        sums = out
+    return sums
+
+
+def _flip_share(values: np.ndarray, slack: float = 1e-15) -> float:
+    """Share of the 2^n sign vectors whose mean is at least as far from 0 as that of ``values``.
+
+    The sums of both halves are put in order; for each sum of the first half, those of the second that
+    lead beyond the observed sum are a leading and a trailing part, so 2^(n/2) sums stand for 2^n.
+    """
+    size = np.abs(values)
+    # Sums in another order differ in their last digits; those are ties too.
+    bound = abs(values.sum()) - slack * len(values) - 1e-13 * size.sum()
+    if bound <= 0:
+        return 1.0
+    left, right = _half_sums(size[::2]), _half_sums(size[1::2])
+    above = len(right) - np.searchsorted(right, bound - left, side="left")
+    below = np.searchsorted(right, -bound - left, side="right")
+    return float(np.sum(above) + np.sum(below)) / float(len(left) * len(right))
+
+
 def sign_flip(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Exact two-sided sign-flip permutation p of the mean (ST5).
 
-    All 2**n sign vectors of the n values of a group are enumerated, which bounds n: groups with
-    more than SIGN_FLIP_LIMIT values are an error when their row is computed, never NULL.
+    Groups of up to ``SIGN_FLIP_LIMIT`` values: a task holds 2^(n/2) sums. More values are an error when their row is
+    computed, never NULL; at that size the p of a normal mean says the same.
     """
     rows, keys = ranks.keyed(df.filter(F.col(value).isNotNull()), by)
+    ship(df.sparkSession)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pairs"))
     small = join_keys(rows, sizes.filter(F.col("n_pairs") <= SIGN_FLIP_LIMIT), keys)
-    lists = small.groupBy(*keys).agg(
-        F.max("n_pairs").alias("_n"), F.array_sort(F.collect_list(F.abs(value))).alias("_d"),
-        F.abs(F.sum(value)).alias("_obs"),
-    )
-    masks = F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_n").cast("int")) - 1)
-    flips = lists.select(*keys, "_n", "_d", "_obs", F.explode(masks).alias("_m"))
-    bit = F.expr("aggregate(transform(_d, (v, i) -> if(getbit(_m, i) = 1, v, -v)), 0D, (a, v) -> a + v)")
-    reached = F.abs(bit) / F.col("_n") >= F.col("_obs") / F.col("_n") - 1e-15
-    p = flips.groupBy(*keys).agg(F.avg(reached.cast("double")).alias("p_value_unadjusted"))
+    lists = small.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(value).cast("double"))).alias("_d"))
+
+    @F.pandas_udf("double")
+    def share(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: _flip_share(np.asarray(v, dtype=float)))
+
+    p = lists.select(*keys, share("_d").alias("p_value_unadjusted"))
     many = F.raise_error(F.concat(F.lit(f"more than {SIGN_FLIP_LIMIT} values in a group: "), F.col("n_pairs").cast("string")))
     checked = F.when(F.col("n_pairs") > SIGN_FLIP_LIMIT, many.cast("double")).otherwise(F.col("p_value_unadjusted"))
     return join_keys(sizes, p, keys, "left").select(*by, "n_pairs", checked.alias("p_value_unadjusted"))
@@ -241,7 +275,7 @@ def group_bootstrap(
     """Percentile interval of r2, rmse, mae and spearman with whole groups resampled (ST7).
 
     The first three come from per-group sums, so their cost is replicates x groups. Spearman
-    needs weighted ranks of rows in every replicate; switch it off for very large row counts.
+    orders the rows once for all replicates (``replicates.spearman``).
     """
     df, keys = ranks.keyed(metrics.clean(df, truth, pred).filter(F.col(truth).isNotNull()), by)
     # One row per group, used by the draws and by every replicate.
@@ -254,10 +288,7 @@ def group_bootstrap(
     point = metrics.regression(df, keys, truth, pred).select(*keys, "r2", "rmse", "mae")
     base = melt(point, keys, ["r2", "rmse", "mae"], "metric", "estimate")
     if with_spearman:
-        slim = df.groupBy(*keys, group, truth, pred).agg(F.count(F.lit(1)).alias("_c"))
-        rows = picks.join(slim, [*keys, group])
-        rows = rows.withColumn("_w", F.col("multiplicity") * F.col("_c"))
-        rho = metrics.spearman(rows, [*keys, "replicate"], truth, pred, weight="_w")
+        rho = replicated.spearman(df, keys, group, truth, pred, picks)
         long = long.unionByName(
             rho.select(*keys, "replicate", F.lit("spearman").alias("metric"), F.col("spearman").alias("value"))
         )
@@ -313,20 +344,16 @@ def group_bootstrap_diff(
     total = _weighted(sums.withColumn("multiplicity", F.lit(1)), keys, cols)
     base = differences(total, [])
     if with_spearman:
-        slim = df.groupBy(*keys, group, truth, pred_x, pred_y).agg(F.count(F.lit(1)).alias("_c"))
-        rows = picks.join(slim, [*keys, group])
-        rows = rows.withColumn("_w", F.col("multiplicity") * F.col("_c"))
 
-        def rho(source: DataFrame, at: list[str], weight: str | None) -> DataFrame:
-            a = metrics.spearman(source, at, truth, pred_x, weight)
-            b = metrics.spearman(source, at, truth, pred_y, weight)
+        def rho(at: list[str], of) -> DataFrame:
+            a, b = of(pred_x), of(pred_y)
             both = a.join(b.withColumnRenamed("spearman", "_b"), at)
             return both.select(
                 *at, F.lit("spearman").alias("metric"), (F.col("spearman") - F.col("_b")).alias("value")
             )
 
-        reps = reps.unionByName(rho(rows, [*keys, "replicate"], "_w"))
-        base = base.unionByName(rho(df, keys, None))
+        reps = reps.unionByName(rho([*keys, "replicate"], lambda pred: replicated.spearman(df, keys, group, truth, pred, picks)))
+        base = base.unionByName(rho(keys, lambda pred: metrics.spearman(df, keys, truth, pred)))
     out = base.withColumnRenamed("value", "observed_difference").join(
         _interval(reps, [*keys, "metric"], "value"), [*keys, "metric"]
     )

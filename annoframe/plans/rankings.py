@@ -24,7 +24,7 @@ fam AS (SELECT fa.model, fa.family_id, n_test, coalesce(valid, 0) AS valid_pair_
   CASE WHEN valid > 0 THEN ok * 1.0 / valid END AS pairwise_accuracy, CASE WHEN isnan(rho) THEN NULL ELSE rho END AS rho
   FROM fa LEFT JOIN pc ON pc.model = fa.model AND pc.family_id = fa.family_id)
 """
-REPS = 300
+REPS = 5000
 
 def families(spark, sf):
     rows = predictions(spark, sf).withColumn(

@@ -133,7 +133,7 @@ dr AS (SELECT {keys}rep, {sql_unit(str(seed), "rep", "g")} % n AS g FROM gi {siz
 mult AS (SELECT {keys}rep, {group}, count(*) AS w FROM dr JOIN gi USING ({using}g) GROUP BY {keys}rep, {group})"""
 
 
-REPS = 300
+REPS = 2000
 BOOT = f"""
 {PREDICTIONS}, {_draws("model", "pred", "nation", REPS)},
 gs AS (SELECT model, nation, count(*) AS n, sum(y_true) AS sy, sum(y_true * y_true) AS syy,
@@ -162,21 +162,51 @@ def bootstrap_groups(spark, sf):
     return rounded(out, 3)
 
 
+def _rho(source: str, by: str, y: str, name: str) -> str:
+    """SQL: Spearman of every replicate; ``source`` has ``by``, nation, y_true and ``y``.
+
+    In a replicate a value's mid-rank is the sum over nations of their multiplicity times their rows below it (and half of
+    those at it), so all sums over rows follow from sums over nations, pairs and triples of nations.
+    """
+
+    def below(side: str, column: str) -> str:
+        return f"""
+{name}_{side} AS (SELECT {by}, v, nation AS n, sum(c) OVER (PARTITION BY {by}, nation ORDER BY v) - c / 2.0 AS a FROM (
+    SELECT d.{by}, d.v, g.nation, coalesce(c, 0) AS c FROM (SELECT DISTINCT {by}, {column} AS v FROM {source}) d
+    JOIN (SELECT DISTINCT {by}, nation FROM {source}) g USING ({by})
+    LEFT JOIN (SELECT {by}, {column} AS v, nation, count(*) AS c FROM {source} GROUP BY ALL) USING ({by}, v, nation)))"""
+
+    def triples(left: str, right: str) -> str:
+        column = {"x": "y_true", "y": y}
+        return f"""
+{name}_{left}{right} AS (SELECT {by}, rep, sum(a.w * b.w * c.w * t) AS s FROM (
+    SELECT p.{by}, p.nation AS k, l.n, r.n AS m, sum(l.a * r.a) AS t FROM {source} p
+    JOIN {name}_{left} l ON l.{by} = p.{by} AND l.v = p.{column[left]} JOIN {name}_{right} r ON r.{by} = p.{by} AND r.v = p.{column[right]} GROUP BY ALL)
+  JOIN mult a USING ({by}) JOIN mult b USING ({by}, rep) JOIN mult c USING ({by}, rep)
+  WHERE a.nation = k AND b.nation = n AND c.nation = m GROUP BY {by}, rep)"""
+
+    def pairs(side: str, column: str) -> str:
+        return f"""
+{name}_s{side} AS (SELECT {by}, rep, sum(a.w * b.w * t) AS s FROM (
+    SELECT p.{by}, p.nation AS k, l.n, sum(l.a) AS t FROM {source} p JOIN {name}_{side} l ON l.{by} = p.{by} AND l.v = p.{column} GROUP BY ALL)
+  JOIN mult a USING ({by}) JOIN mult b USING ({by}, rep) WHERE a.nation = k AND b.nation = n GROUP BY {by}, rep)"""
+
+    return f"""{below("x", "y_true")},{below("y", y)},{triples("x", "y")},{triples("x", "x")},{triples("y", "y")},{pairs("x", "y_true")},{pairs("y", y)},
+{name}_n AS (SELECT {by}, rep, sum(w * c) AS s FROM mult JOIN (SELECT {by}, nation, count(*) AS c FROM {source} GROUP BY ALL) USING ({by}, nation) GROUP BY {by}, rep),
+{name} AS (SELECT {by}, rep, (xy.s - x.s * y.s / n.s) / sqrt((xx.s - x.s * x.s / n.s) * (yy.s - y.s * y.s / n.s)) AS v
+  FROM {name}_xy xy JOIN {name}_xx xx USING ({by}, rep) JOIN {name}_yy yy USING ({by}, rep) JOIN {name}_sx x USING ({by}, rep)
+  JOIN {name}_sy y USING ({by}, rep) JOIN {name}_n n USING ({by}, rep))"""
+
+
 @query(
     "bootstrap_groups_spearman",
-    f"""WITH {PREDICTIONS}, {_draws("model", "pred", "nation", 20)},
-    bw AS (SELECT model, rep, y_true AS x, y_pred AS y, w FROM pred JOIN mult USING (model, nation)),
-    ex AS (SELECT model, rep, x, y FROM (SELECT *, unnest(range(w)) AS k FROM bw)),
-    rk AS (SELECT model, rep,
-      rank() OVER (PARTITION BY model, rep ORDER BY x) + (count(*) OVER (PARTITION BY model, rep, x) - 1) / 2.0 AS rx,
-      rank() OVER (PARTITION BY model, rep ORDER BY y) + (count(*) OVER (PARTITION BY model, rep, y) - 1) / 2.0 AS ry FROM ex),
-    v AS (SELECT model, rep, corr(rx, ry) AS v FROM rk GROUP BY 1, 2)
+    f"""WITH {PREDICTIONS}, {_draws("model", "pred", "nation", REPS)}, {_rho("pred", "model", "y_pred", "v")}
     SELECT model, 'spearman' AS metric, {r("quantile_cont(v, 0.025)", "ci95_low")}, {r("quantile_cont(v, 0.975)", "ci95_high")}
     FROM v GROUP BY model""",
 )
 def bootstrap_groups_spearman(spark, sf):
-    """Grouped bootstrap of Spearman with weighted ranks (ST7)."""
-    out = stats.group_bootstrap(predictions(spark, sf), ["model"], "nation", replicates=20)
+    """Grouped bootstrap of Spearman, all replicates from one ordering of the rows (ST7)."""
+    out = stats.group_bootstrap(predictions(spark, sf), ["model"], "nation", replicates=REPS)
     return rounded(out.filter("metric = 'spearman'").select("model", "metric", "ci95_low", "ci95_high"))
 
 
@@ -209,9 +239,7 @@ def bootstrap_difference(spark, sf):
     )
     groups = base.select("id", "nation", "priority")
     known, _ = stats.attach_groups(both.join(groups.select("id", "priority"), "id"), groups, "id", "nation")
-    out = stats.group_bootstrap_diff(
-        known, ["priority"], "nation", replicates=REPS, with_spearman=False
-    )
+    out = stats.group_bootstrap_diff(known, ["priority"], "nation", replicates=REPS, with_spearman=False)
     return rounded(out, 3)
 
 
@@ -224,7 +252,7 @@ fd AS (SELECT a.nation, a.bias AS left_value, b.bias AS right_value, a.bias - b.
 
 @query(
     "bootstrap_mean",
-    f"""WITH {FAMS}, {_draws("model", "fam", "nation", 500)},
+    f"""WITH {FAMS}, {_draws("model", "fam", "nation", 5000)},
     v AS (SELECT model, rep, sum(w * bias) / sum(w) AS v FROM mult JOIN fam USING (model, nation) GROUP BY 1, 2),
     ci AS (SELECT model, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM v GROUP BY 1),
     pt AS (SELECT model, count(*) AS n_units, avg(bias) AS mean FROM fam GROUP BY 1)
@@ -235,7 +263,7 @@ def bootstrap_mean(spark, sf):
     fam = predictions(spark, sf).groupBy("nation", "model").agg(
         (F.avg(F.col("y_true") - F.col("y_pred")) / 1000).alias("bias")
     )
-    return rounded(stats.mean_bootstrap(fam, ["model"], "nation", "bias", replicates=500))
+    return rounded(stats.mean_bootstrap(fam, ["model"], "nation", "bias", replicates=5000))
 
 
 @query(

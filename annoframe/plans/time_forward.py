@@ -91,7 +91,7 @@ def time_composition(spark, sf):
     return rounded(timeforward.composition(orders.join(people, "cust"), "segment", (1998, 2000)))
 
 
-REPS = 100
+REPS = 2000
 
 
 def cutoff_predictions(spark, sf):

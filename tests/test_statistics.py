@@ -173,12 +173,55 @@ def test_model_cell_learns_and_records_failure(spark):
     assert bad.status == "failed" and "nope" in bad.error
 
 
-def test_sign_flip_of_many_values_is_an_error(spark):
-    df = spark.createDataFrame([(float(i),) for i in range(21)], "d double")
-    with pytest.raises(Exception, match="more than 20"):
+def test_sign_flip_of_many_values(spark):
+    # Twos only: the share is a binomial tail. Mixed values: all sign vectors, one by one.
+    import itertools
+    import math
+
+    rng = random.Random(3)
+    mixed = [round(rng.gauss(0.4, 1), 2) for _ in range(14)]
+    groups = {"ones": [2.0] * 19 + [-2.0] * 11, "odd": [1.0] * 25 + [-1.0] * 12, "mixed": mixed, "zero": [1.0, -1.0], "one": [3.0]}
+    groups["long"] = [rng.gauss(0, 1) for _ in range(40)]
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, d double")
+    got = {r.g: r.p_value_unadjusted for r in stats.sign_flip(df, ["g"], "d").collect()}
+    tail = lambda n, far: sum(math.comb(n, k) for k in range(n + 1) if abs(n - 2 * k) >= far) / 2**n
+    assert got["ones"] == pytest.approx(tail(30, 8)) and got["odd"] == pytest.approx(tail(37, 13))
+    flips = [abs(sum(s * v for s, v in zip(signs, mixed, strict=True))) >= abs(sum(mixed)) - 1e-9 for signs in itertools.product((1, -1), repeat=14)]
+    assert got["mixed"] == pytest.approx(sum(flips) / len(flips))
+    assert got["zero"] == 1.0 and got["one"] == 1.0 and 0 < got["long"] <= 1
+
+
+def test_sign_flip_beyond_its_limit_is_an_error(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(45)], "d double")
+    with pytest.raises(Exception, match="more than 44"):
         stats.sign_flip(df, [], "d").collect()
 
 
+def test_buckets_follow_the_row_count(spark):
+    value = F.when(F.col("id") % 3 == 0, F.lit(7.0)).otherwise(F.col("id") * F.col("id"))
+    df = spark.range(100_000).select(F.lit("a").alias("g"), value.cast("double").alias("v"))
+    rows = ranks.with_bucket(df, ["g"], "v", bucket_rows=50)
+    size = rows.groupBy("_bucket").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("_bucket").collect()
+    assert sum(r.n for r in size) == 100_000
+    assert all(r.n <= 100 or r.lo == r.hi for r in size)
+    assert all(a.hi < b.lo for a, b in zip(size, size[1:], strict=False))
+
+
+def test_spearman_of_replicates_is_that_of_each_resample(spark, monkeypatch):
+    monkeypatch.setattr(replicates, "BLOCK", 8)
+    monkeypatch.setattr(replicates, "BUCKET_ROWS", 16)
+    rng = random.Random(1)
+    draw = lambda: rng.choice([rng.random(), float(rng.randint(0, 3))])
+    data = [(m, f"g{rng.randint(0, 9)}", draw(), draw(), draw()) for m in ("a", "b") for _ in range(120)] + [("a", "g0", None, 1.0, 1.0)]
+    df = spark.createDataFrame(data, "m string, g string, y_true double, y_pred double, other double")
+    picks = stats.settle(stats.draw_groups(df.select("m", "g").distinct(), ["m"], "g", 21, 5))
+    got = {(r.m, r.replicate): r.spearman for r in replicates.spearman(df, ["m"], "g", "y_true", "y_pred", picks).collect()}
+    slim = df.filter("y_true is not null").groupBy("m", "g", "y_true", "y_pred").agg(F.count("*").alias("c"))
+    rows = picks.join(slim, ["m", "g"]).withColumn("w", F.col("multiplicity") * F.col("c"))
+    want = {(r.m, r.replicate): r.spearman for r in metrics.spearman(rows, ["m", "replicate"], "y_true", "y_pred", weight="w").collect()}
+    assert got == pytest.approx(want) and len(got) == 42
+
+
 def test_binomial_tail_is_exact(spark):
     import math
 
