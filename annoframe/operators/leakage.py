@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annoframe.functions import constants as C
 from annoframe.operators import ranks, similarity
-from annoframe.session import settle
+from annoframe.session import settle, ship
 
 HIGH_IDENTITY = 0.7
 # The last one finds every pair that shares a letter.
 LOWER_LEVELS = (0.4, 0.2, 0.1, 1e-6)
 JS_EPSILON = 1e-10
+# Fixed value: up to this size of the larger side the p of the Kolmogorov-Smirnov test is exact.
+EXACT_KS = 10_000
+#: Letters of train sequences times test sequences up to which the mean identity is that of all pairs.
+EXACT_STEPS = 10**13
 
 
 def sequence_similarity(df: DataFrame, sequence: str, split: str = "split") -> DataFrame:
@@ -51,6 +57,34 @@ def sampled_mean_identity(
     return pairs.agg(F.coalesce(F.avg("identity"), F.lit(0.0)).alias("mean_test_train_similarity"))
 
 
+def mean_identity(
+    df: DataFrame,
+    key: str,
+    sequence: str,
+    split: str = "split",
+    exact_steps: int = EXACT_STEPS,
+    draws_wanted: int = 1_000_000,
+    seed: int = 42,
+) -> DataFrame:
+    """Mean identity of all pairs of a train and a test row and its standard error, which is 0 as all pairs count (LK1).
+
+    Distinct sequences count with their rows on both sides. Beyond ``exact_steps`` letters of train sequences times test
+    sequences it is the mean of ``draws_wanted`` hashed draws, and the error says how far that may be off.
+    """
+    used = df.filter(F.col(split).isin("train", "test") & F.col(sequence).isNotNull())
+    seqs = settle(used.groupBy(F.col(sequence).alias("seq"), F.col(split).alias("_side")).agg(F.count(F.lit(1)).alias("w")))
+    letters = F.sum(F.when(F.col("_side") == "train", F.length("seq") + 1))
+    cost = seqs.agg(F.coalesce(letters, F.lit(0)).alias("a"), F.count_if(F.col("_side") == "test").alias("b")).first()
+    if cost.a * cost.b > exact_steps:
+        train, test = (used.filter(F.col(split) == side) for side in ("train", "test"))
+        pairs = similarity.sampled_pairs(train, test, sequence, key, draws_wanted, seed)
+        error = F.stddev_samp("identity") / F.sqrt(F.count("identity"))
+        return pairs.agg(F.avg("identity").alias("mean_test_train_similarity"), error.alias("standard_error"))
+    sums = similarity.identity_sums(*(seqs.filter(F.col("_side") == side).select("seq", "w") for side in ("train", "test")))
+    mean = F.coalesce(F.try_divide(F.sum("total"), F.sum("pairs")), F.lit(0.0))
+    return sums.agg(mean.alias("mean_test_train_similarity"), F.lit(0.0).alias("standard_error"))
+
+
 def key_overlap(df: DataFrame, group: str, split: str = "split") -> DataFrame:
     """Keys found on both sides and the share of test rows that have one (JN10, LK2)."""
     per = df.groupBy(group).agg(
@@ -129,10 +163,38 @@ def js_of(p: Sequence[Column], q: Sequence[Column]) -> Column:
     return out
 
 
-def ks(df: DataFrame, label: str, split: str = "split") -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic of train and test labels with the asymptotic p
-    (LK6). An empty side gives 0 and 1."""
+def _paths_inside(m: int, n: int, h: int) -> float:
+    """Share of the orders of m and n values in which |i n - j m| stays below ``h`` after every i and j values.
+
+    Orders are lattice paths; the share of those that reach a point unhurt follows from its two neighbours on the diagonal
+    before, so that a diagonal is one vector.
+    """
+    inside = np.ones(1)
+    for k in range(1, m + n + 1):
+        low, high = max(0, k - n), min(m, k)
+        i = np.arange(low, high + 1)
+        before = max(0, k - 1 - n)
+        left = np.zeros(len(i))
+        down = np.zeros(len(i))
+        # From (i - 1, j) and from (i, j - 1), where those exist.
+        at = i - 1 - before
+        ok = (at >= 0) & (at < len(inside))
+        left[ok] = inside[at[ok]]
+        at = i - before
+        ok = (at >= 0) & (at < len(inside)) & (k - i > 0)
+        down[ok] = inside[at[ok]]
+        inside = (left * i + down * (k - i)) / k
+        inside[np.abs(i * n - (k - i) * m) >= h] = 0
+    return float(inside[0])
+
+
+def ks(df: DataFrame, label: str, split: str = "split", exact_up_to: int = EXACT_KS) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov statistic of train and test labels and its p (LK6). An empty side gives 0 and 1.
+
+    The p is exact, from lattice paths, if no side has more than ``exact_up_to`` rows, and else the limiting one.
+    """
     rows = df.filter(F.col(split).isin("train", "test") & F.col(label).isNotNull())
+    ship(df.sparkSession)
     counts = rows.groupBy(F.col(label).cast("double").alias("_v")).agg(
         F.count_if(F.col(split) == "train").alias("_a"), F.count_if(F.col(split) == "test").alias("_b")
     )
@@ -153,9 +215,18 @@ def ks(df: DataFrame, label: str, split: str = "split") -> DataFrame:
     # Below 0.2 the series has not converged after 100 terms, and p is 1 to twelve digits.
     p = F.when(lam < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
     empty = F.coalesce((F.col("_m") == 0) | (F.col("_n") == 0), F.lit(True))
+
+    @F.pandas_udf("double")
+    def exact(m: pd.Series, n: pd.Series, d: pd.Series) -> pd.Series:
+        # One row. m n d is a whole number.
+        share = [1 - _paths_inside(int(a), int(b), round(a * b * x)) if 0 < a and 0 < b and max(a, b) <= exact_up_to else 0.0 for a, b, x in zip(m, n, d, strict=True)]
+        return pd.Series(np.clip(share, 0.0, 1.0))
+
+    small = F.greatest("_m", "_n") <= exact_up_to
+    row = settle(row)
     return row.select(
         F.when(empty, 0.0).otherwise(d).alias("ks_statistic"),
-        F.when(empty, 1.0).otherwise(p).alias("ks_pvalue"),
+        F.when(empty, 1.0).when(small, exact("_m", "_n", "_d")).otherwise(p).alias("ks_pvalue"),
     )
 
 
@@ -188,13 +259,12 @@ def report(
     label: str,
     scaffold: str,
     profile: str,
-    draws_wanted: int = 10_000,
     split: str = "split",
 ) -> DataFrame:
     """All leakage metrics of a split in one row (LK9)."""
     parts = [
         sequence_similarity(df, sequence, split),
-        sampled_mean_identity(df, key, sequence, draws_wanted, split=split),
+        mean_identity(df, key, sequence, split),
         key_overlap(df, scaffold, split),
         profile_cosine(df, profile, split),
         js_divergence(df, edits, split=split),

@@ -311,8 +311,28 @@ def leakage_js_divergence(spark, sf):
     FROM p, range(1, 101) t(k) GROUP BY d""",
 )
 def leakage_ks(spark, sf):
-    """Kolmogorov-Smirnov statistic and p (LK6)."""
-    return rounded(leakage.ks(split_samples(spark, sf), "label"))
+    """Kolmogorov-Smirnov statistic and its limiting p (LK6)."""
+    return rounded(leakage.ks(split_samples(spark, sf), "label", exact_up_to=0))
+
+
+@query(
+    "leakage_ks_exact",
+    f"""WITH RECURSIVE ss AS (SELECT s_acctbal AS label, CASE WHEN s_nationkey % 4 = 0 THEN 'test' ELSE 'train' END AS split FROM supplier),
+    n AS (SELECT count_if(split = 'train')::BIGINT AS m, count_if(split = 'test')::BIGINT AS n FROM ss),
+    v AS (SELECT label, count_if(split = 'train') AS a, count_if(split = 'test') AS b FROM ss GROUP BY label),
+    c AS (SELECT abs(sum(a) OVER (ORDER BY label) * n.n - sum(b) OVER (ORDER BY label) * n.m) AS gap FROM v, n),
+    h AS (SELECT m, n, (SELECT max(gap) FROM c)::BIGINT AS h FROM n),
+    path(k, a) AS (
+      SELECT 0, list_transform(range(m + 1), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FROM h
+      UNION ALL
+      SELECT k + 1, list_transform(range(m + 1), lambda i: CASE WHEN k + 1 - i < 0 OR k + 1 - i > n OR abs(i * n - (k + 1 - i) * m) >= h THEN 0.0
+        ELSE (coalesce(CASE WHEN i > 0 THEN a[i] END, 0.0) * i + a[i + 1] * (k + 1 - i)) / (k + 1) END) FROM path, h WHERE k < m + n)
+    SELECT {r("h * 1.0 / (m * n)", "ks_statistic")}, {r("1 - a[m + 1]", "ks_pvalue")} FROM path, h WHERE k = m + n""",
+)
+def leakage_ks_exact(spark, sf):
+    """Kolmogorov-Smirnov statistic and exact p of supplier balances (LK6)."""
+    side = F.when(F.col("s_nationkey") % 4 == 0, "test").otherwise("train")
+    return rounded(leakage.ks(load(spark, sf, "supplier").select(F.col("s_acctbal").alias("label"), side.alias("split")), "label"))
 
 
 @query(
@@ -389,14 +409,29 @@ def leakage_sampled_mean(spark, sf):
     return rounded(leakage.sampled_mean_identity(split_samples(spark, sf), "id", "sequence"))
 
 
+# Exact: every pair of distinct sequences, with the rows of both.
+_MEAN = f"""
+met AS (SELECT x.te * y.tr AS w, x.seq AS a, y.seq AS b FROM qt x, qt y WHERE x.te > 0 AND y.tr > 0),
+mean AS (SELECT sum(w * {_LCS}) / sum(w) AS mean FROM met)"""
+
+
+@query(
+    "leakage_mean_identity",
+    f"""WITH {PRELUDE}, {KEYS}, {SPLIT}, {_BEST}, {_MEAN} SELECT {r("mean", "mean_test_train_similarity")}, 0.0::DOUBLE AS standard_error FROM mean""",
+)
+def leakage_mean_identity(spark, sf):
+    """Mean identity of all train-test pairs (LK1, JN7)."""
+    return rounded(leakage.mean_identity(split_samples(spark, sf), "id", "sequence"))
+
+
 @query(
     "leakage_report",
-    f"""WITH {PRELUDE}, {KEYS}, {SPLIT}, {_BEST},
+    f"""WITH {PRELUDE}, {KEYS}, {SPLIT}, {_BEST}, {_MEAN},
     k AS (SELECT scaffold, count_if(split = 'train') AS a, count_if(split = 'test') AS b FROM ss GROUP BY scaffold),
     x AS (SELECT (SELECT max(best) FROM best) AS mi,
           (SELECT 100.0 * sum(CASE WHEN best > 0.7 THEN te ELSE 0 END) / sum(te) FROM best) AS hi,
-          (SELECT 100.0 * sum(CASE WHEN a > 0 THEN b ELSE 0 END) / sum(b) FROM k) AS ov)
-    SELECT {r("mi", "max_sequence_identity")}, {r("hi", "pct_test_high_similarity")}, {r("ov", "pct_test_shared_scaffold")},
+          (SELECT 100.0 * sum(CASE WHEN a > 0 THEN b ELSE 0 END) / sum(b) FROM k) AS ov, (SELECT mean FROM mean) AS mean)
+    SELECT {r("mi", "max_sequence_identity")}, {r("mean", "mean_test_train_similarity")}, {r("hi", "pct_test_high_similarity")}, {r("ov", "pct_test_shared_scaffold")},
       CASE WHEN mi < 0.7 AND ov < 10 THEN 'low' WHEN mi > 0.85 OR ov > 50 THEN 'high' ELSE 'moderate' END AS overall_risk
     FROM x""",
 )
@@ -405,4 +440,4 @@ def leakage_report(spark, sf):
     out = leakage.report(
         split_samples(spark, sf), "id", "sequence", "edits", "label", "scaffold", "profile"
     )
-    return rounded(out.select("max_sequence_identity", "pct_test_high_similarity", "pct_test_shared_scaffold", "overall_risk"))
+    return rounded(out.select("max_sequence_identity", "mean_test_train_similarity", "pct_test_high_similarity", "pct_test_shared_scaffold", "overall_risk"))

@@ -211,6 +211,69 @@ def test_nearest_equals_brute_force(spark):
         assert got[i] == pytest.approx((js[0], sum(js[:5]) / 5))
 
 
+@pytest.mark.parametrize("k,pilot,heavy", [(5, 3, 2), (2, 1, 1), (3, 7, 10_000)])
+def test_nearest_beyond_the_pilot(spark, k, pilot, heavy):
+    rng = random.Random(k)
+    make = lambda n: [(i, [f"t{min(rng.randrange(30), rng.randrange(30))}" for _ in range(rng.randint(0, 9))]) for i in range(n)]
+    q, c = make(40), make(60)
+    q += [(100, ["no", "such", "item"]), (101, None)]
+    c += c[:10]
+    ddl = "id int, w array<string>"
+    got = similarity.nearest_jaccard(spark.createDataFrame(q, ddl), spark.createDataFrame(c, ddl), "id", "w", k, pilot, heavy)
+    got = {r.id: (r.max_similarity, r.mean_top_similarity) for r in got.collect()}
+    corpus = [set(w) for _, w in c if w]
+    for i, w in q:
+        if not w:
+            assert got[i] == (None, None)
+            continue
+        js = sorted((len(set(w) & d) / len(set(w) | d) for d in corpus), reverse=True)
+        assert got[i] == pytest.approx((js[0], sum(js[:k]) / k))
+    none = similarity.nearest_jaccard(spark.createDataFrame(q, ddl), spark.createDataFrame([], ddl), "id", "w")
+    assert {(r.max_similarity, r.mean_top_similarity) for r in none.collect()} == {(None, None)}
+
+
+def test_mean_identity_is_that_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "TRAIN_BLOCK", 7)
+    monkeypatch.setattr(similarity, "TEST_BLOCK", 5)
+    rng = random.Random(6)
+    text = lambda: "".join(rng.choice("ACDE") for _ in range(rng.choice([0, 1, 5, 9, 64, 70, 140])))
+    rows = [(i, text(), rng.choice(["train", "test", "val"])) for i in range(60)]
+    rows += [(100 + i, *rows[i][1:]) for i in range(15)] + [(200, None, "test")]
+    df = spark.createDataFrame(rows, "id int, s string, split string")
+    train, test = ([s for _, s, p in rows if p == side and s is not None] for side in ("train", "test"))
+    identity = lambda a, b: lcs(a, b) / max(len(a), len(b)) if a or b else 1.0
+    want = sum(identity(a, b) for a in train for b in test) / (len(train) * len(test))
+    got = leakage.mean_identity(df, "id", "s").first()
+    assert got.mean_test_train_similarity == pytest.approx(want) and got.standard_error == 0
+    near = leakage.mean_identity(df.filter("length(s) > 0"), "id", "s", exact_steps=10, draws_wanted=4000).first()
+    filled = [(a, b) for a in train for b in test if a and b]
+    assert abs(near.mean_test_train_similarity - sum(identity(a, b) for a, b in filled) / len(filled)) < 5 * near.standard_error
+    assert leakage.mean_identity(df.filter("split = 'val'"), "id", "s").first() == (0.0, 0.0)
+
+
+def test_exact_ks(spark):
+    import itertools
+
+    for m, n in ((3, 4), (5, 5), (1, 6)):
+        gaps = []
+        for chosen in itertools.combinations(range(m + n), m):
+            i, worst = 0, 0
+            for k in range(m + n):
+                i += k in chosen
+                worst = max(worst, abs(i * n - (k + 1 - i) * m))
+            gaps.append(worst)
+        for h in set(gaps):
+            assert 1 - leakage._paths_inside(m, n, h) == pytest.approx(sum(g >= h for g in gaps) / len(gaps))
+    # Published values of the two-sample distribution.
+    assert 1 - leakage._paths_inside(10, 10, 60) == pytest.approx(0.05244755244755244)
+    assert 1 - leakage._paths_inside(5, 5, 25) == pytest.approx(2 / 252)
+    rows = [(float(v), "train") for v in (1, 2, 3, 4, 5)] + [(float(v), "test") for v in (6, 7, 8, 9, 10)]
+    row = leakage.ks(spark.createDataFrame(rows, "y double, split string"), "y").first()
+    assert (row.ks_statistic, row.ks_pvalue) == pytest.approx((1.0, 2 / 252))
+    empty = leakage.ks(spark.createDataFrame(rows[:5], "y double, split string"), "y").first()
+    assert (empty.ks_statistic, empty.ks_pvalue) == (0.0, 1.0)
+
+
 def test_risk(spark):
     rows = [(0.6, 5.0, "low"), (0.9, 10.0, "high"), (0.7, 60.0, "high"), (0.75, 20.0, "moderate")]
     df = spark.createDataFrame(rows, "a double, b double, want string")

@@ -1,5 +1,6 @@
 """Metrics, bootstraps, paired tests, ranking and attribution."""
 
+import random
 import re
 
 import numpy as np
@@ -7,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from annoframe.operators import attribution, metrics, models, ranking, ranks, runs, stats
+from annoframe.operators import attribution, metrics, models, ranking, ranks, replicates, runs, stats
 
 PRED = "run int, id bigint, y_true double, y_pred double"
 
