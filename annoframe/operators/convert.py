@@ -19,15 +19,27 @@ LETTER_TOKEN = f"^(?:me|d|Me_d)?([{C.LETTERS}])$"
 
 
 def parse_token_list(text: Column) -> Column:
-    """A list literal such as ``['L', 'meL']`` to an array of tokens; NULL if it is none (CV1)."""
+    """A list literal such as ``['L', 'meL', 'it\\'s']`` to an array of tokens; NULL if it is none (CV1).
+
+    Backslashes escape quotes, themselves, and n, t and r; before other letters they stay.
+    """
     t = F.trim(text)
-    item = r"'[^'\\]*'|\"[^\"\\]*\""
+    item = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\""
     shape = rf"^\[\s*(?:(?:{item})\s*(?:,\s*(?:{item})\s*)*,?\s*)?\]$"
     items = F.regexp_extract_all(t, F.lit(f"({item})"), F.lit(1))
-    tokens = F.transform(items, lambda i: F.substring(i, F.lit(2), F.length(i) - 2))
+    tokens = F.transform(items, lambda i: _unescaped(F.substring(i, F.lit(2), F.length(i) - 2)))
     return F.when(t.rlike(shape), tokens)
 
 
+def _unescaped(token: Column) -> Column:
+    # An escaped backslash is set aside, so that it does not escape what follows.
+    aside = F.lit("\ue000")
+    out = F.replace(token, F.lit("\\\\"), aside)
+    for code, char in (("'", "'"), ('"', '"'), ("n", "\n"), ("t", "\t"), ("r", "\r")):
+        out = F.replace(out, F.lit("\\" + code), F.lit(char))
+    return F.when(F.instr(token, "\\") > 0, F.replace(out, aside, F.lit("\\"))).otherwise(token)
+
+
 def map_tokens(token: Column, extra: dict[str, str] | None = None) -> Column:
     """Base letter of a token, NULL when unknown (CV2): a prefix rule, then a fixed table."""
     table = {**C.TOKEN_LETTERS, **(extra or {})}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from annoframe.functions import constants as C
@@ -9,6 +11,8 @@ from annoframe.functions import sequences as S
 from annoframe.operators import audit, validate
 from annoframe.plans.base import load, query, r, rounded
 from annoframe.plans.samples import KEYS, PRELUDE, samples
+from annoframe.session import shared_folder
+from annoframe.sources import tables
 
 _MARKERS = " OR ".join(f"contains(lower(mod), '{m}')" for m in C.AMBIGUOUS_MARKERS)
 AUDIT = f"""
@@ -110,6 +114,17 @@ def audit_rows(spark, sf):
     )
 
 
+@query(
+    "audit_export",
+    f"""WITH {AUDIT} SELECT doc_id, array_to_string(reasons, ';') AS exclusion_reasons FROM rows_ WHERE len(reasons) > 0""",
+)
+def audit_export(spark, sf):
+    """Excluded documents written as CSV with their reasons, and read back (AU13)."""
+    path = f"{shared_folder(spark).rstrip('/')}/annoframe-{uuid.uuid4().hex}"
+    audit.export(audited(spark, sf).select("doc_id", "is_excluded", "exclusion_reasons"), path)
+    return tables.read_raw_csv(spark, path, "doc_id bigint, is_excluded boolean, exclusion_reasons string").select("doc_id", "exclusion_reasons")
+
+
 @query("audit_metrics", f"WITH {AUDIT} SELECT {_METRICS} FROM rows_")
 def audit_metrics(spark, sf):
     """Census metrics over the audited rows (AU6)."""

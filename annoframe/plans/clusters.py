@@ -220,6 +220,17 @@ def edit_pairs(spark, sf):
     return rounded(similarity.edit_pairs(df, "p_name", "p_retailprice", ["p_brand"], 2), 4)
 
 
+@query(
+    "edit_pairs_distant",
+    f"""WITH d AS (SELECT p_name, avg(p_retailprice) AS label, count(*) AS n FROM part GROUP BY p_name)
+    SELECT a.p_name AS source, b.p_name AS target, levenshtein(a.p_name, b.p_name) AS distance, a.n AS source_rows, b.n AS target_rows,
+      {r("b.label - a.label", "delta", 4)} FROM d a JOIN d b ON a.p_name < b.p_name WHERE levenshtein(a.p_name, b.p_name) BETWEEN 1 AND 4""",
+)
+def edit_pairs_distant(spark, sf):
+    """Names within four edits of each other (JN9, SC11)."""
+    return rounded(similarity.edit_pairs(load(spark, sf, "part"), "p_name", "p_retailprice", max_distance=4), 4)
+
+
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-zà-ÿ]+'), lambda t: t <> ''))"
 NEAREST = f"""
 q AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -254,6 +265,34 @@ def nearest_items(spark, sf):
     return rounded(nearest(spark, sf))
 
 
+@query(
+    "nearest_items_approximate",
+    f"""WITH q AS (SELECT doc_id, {_WORDS} AS w FROM documents), c AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+    m AS (SELECT count(*) AS m FROM c WHERE len(w) > 0),
+    word AS (SELECT t, ('0x' || substr(md5(t), 1, 7))::BIGINT AS a, ('0x' || substr(md5(t), 9, 7))::BIGINT AS b
+             FROM (SELECT DISTINCT unnest(w) AS t FROM (SELECT w FROM q UNION ALL SELECT w FROM c))),
+    qw AS (SELECT doc_id, unnest(w) AS t, len(w) AS n FROM q), cw AS (SELECT item_id, unnest(w) AS t, len(w) AS n FROM c),
+    qs AS (SELECT doc_id, i, min((a + i * b) % 2147483647) AS v FROM qw JOIN word USING (t), range(128) f(i) GROUP BY 1, 2),
+    cs AS (SELECT item_id, i, min((a + i * b) % 2147483647) AS v FROM cw JOIN word USING (t), range(128) f(i) GROUP BY 1, 2),
+    met AS (SELECT DISTINCT x.doc_id, y.item_id FROM qs x JOIN cs y ON x.i = y.i AND x.v = y.v AND x.i % 2 = 0
+            JOIN qs x2 ON x2.doc_id = x.doc_id AND x2.i = x.i + 1 JOIN cs y2 ON y2.item_id = y.item_id AND y2.i = y.i + 1 AND x2.v = y2.v),
+    j AS (SELECT doc_id, item_id, count(cw.t) * 1.0 / (max(qw.n) + max(z.n) - count(cw.t)) AS j FROM met JOIN qw USING (doc_id)
+          JOIN (SELECT item_id, any_value(n) AS n FROM cw GROUP BY 1) z USING (item_id)
+          LEFT JOIN cw ON cw.item_id = met.item_id AND cw.t = qw.t GROUP BY doc_id, item_id),
+    top AS (SELECT doc_id, max(j) AS best, sum(j) AS s FROM (
+            SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY j DESC) AS rn FROM j) WHERE rn <= 5 GROUP BY doc_id)
+    SELECT q.doc_id, {r("CASE WHEN len(w) > 0 THEN coalesce(best, 0) END", "max_similarity")},
+      {r("CASE WHEN len(w) > 0 THEN coalesce(s, 0) / least(m, 5) END", "mean_top_similarity")}
+    FROM q LEFT JOIN top ON top.doc_id = q.doc_id, m""",
+)
+def nearest_items_approximate(spark, sf):
+    """Similarity of documents to the benchmark items that share a MinHash band (SM7, approximate)."""
+    words = F.filter(F.split(F.lower("text"), "[^a-zà-ÿ]+"), lambda t: t != "")
+    docs = load(spark, sf, "documents").select("doc_id", words.alias("w"))
+    items = load(spark, sf, "benchmark").select("item_id", words.alias("w"))
+    return rounded(similarity.nearest_approximate(docs, items, "doc_id", "w"))
+
+
 @query(
     "nearest_summary",
     f"""WITH {NEAREST}, v AS (SELECT max_similarity AS x FROM near WHERE max_similarity IS NOT NULL)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,15 +12,13 @@ from annoframe.plans.audits import sample_records
 from annoframe.plans.predictions import predictions
 from annoframe.plans.samples import KEYS, PRELUDE
 from annoframe.sources import samples as sample_files
+from annoframe.session import settle, shared_folder
 from annoframe.sources import tables
 
 
 def scratch(spark) -> str:
-    """A new folder: in the shared checkpoint folder where the cluster names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/annoframe-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder in the one that driver and executors share."""
+    return f"{shared_folder(spark).rstrip('/')}/annoframe-{uuid.uuid4().hex}"
 
 
 def records(spark, sf):
@@ -155,26 +152,43 @@ def files_predictions(spark, sf):
     round(CAST(avg(o_totalprice) AS DOUBLE), 3) AS r2 FROM orders GROUP BY 1, 2""",
 )
 def files_run_documents(spark, sf):
-    """Run documents without own keys, read as one table with keys from the path (IO9)."""
+    """Run documents without own keys in their folders, read as one table with keys from the path (IO9)."""
     root = scratch(spark)
-    doc = load(spark, sf, "orders").groupBy(
+    docs = load(spark, sf, "orders").groupBy(
         F.col("o_orderpriority").alias("p"), F.year("o_orderdate").alias("y")
-    ).agg(F.round(F.avg("o_totalprice"), 3).alias("r2"))
-    body = doc.select(
-        F.concat_ws("/", "p", F.concat(F.lit("seed_"), F.col("y")), F.lit("model_a")).alias("folder"),
-        F.struct(
-            F.lit("completed").alias("status"), F.struct("r2").alias("test_metrics")
-        ).alias("d"),
-    )
-    rows = body.select("folder", "d.*")
-    rows.write.partitionBy("folder").json(f"{root}/raw")
-    docs = spark.read.schema(tables.RUN_DDL + ", folder string").json(f"{root}/raw")
-    # The partition folder carries the run path in escaped form; unescape it as a path.
-    path = F.concat(F.lit("/"), F.col("folder"), F.lit("/metrics.json"))
-    seeds = tables.seed_table(tables.with_path_keys(docs.withColumn("source_path", path)))
+    ).agg(F.struct(F.round(F.avg("o_totalprice"), 3).alias("r2")).alias("test_metrics"))
+    docs = settle(docs.withColumn("status", F.lit("completed")))
+    # One small document for each run, each in a folder of its own.
+    for run in docs.select("p", "y").collect():
+        one = docs.filter((F.col("p") == run.p) & (F.col("y") == run.y)).select(F.to_json(F.struct("status", "test_metrics")))
+        one.coalesce(1).write.text(f"{root}/{run.p}/seed_{run.y}/model_a")
+    seeds = tables.seed_table(tables.read_runs(spark, f"{root}/*/seed_*/*"))
     return seeds.select("split", "seed", "feature_set_id", "r2")
 
 
+@query(
+    "files_prediction_csv",
+    """SELECT model_id, 'all' AS split_type, seed, count(*) AS n, round(sum(y), 2) AS y_true FROM (
+      SELECT unnest(['count', 'total']) AS model_id, CAST(year(o_orderdate) AS INTEGER) AS seed, o_totalprice AS y FROM orders) GROUP BY ALL""",
+)
+def files_prediction_csv(spark, sf):
+    """Prediction files as CSV with a header, read under a glob (IO10)."""
+    root = scratch(spark)
+    rows = predictions(spark, sf).select(
+        F.col("id").cast("string").alias("sample_id"),
+        "y_true",
+        "y_pred",
+        F.lit("test").alias("split"),
+        F.col("model").alias("model_id"),
+        F.col("yr").alias("seed"),
+        F.lit("all").alias("split_type"),
+    )
+    for model in ("count", "total"):
+        tables.write_table(rows.filter(F.col("model_id") == model), f"{root}/{model}/predictions.csv")
+    back = tables.read_predictions(spark, f"{root}/*/predictions.csv")
+    return back.groupBy("model_id", "split_type", "seed").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("y_true"), 2).alias("y_true"))
+
+
 @query("files_checksums")
 def files_checksums(spark, sf):
     """Checksums of written result files and the frozen summary row (IO13, ST17)."""

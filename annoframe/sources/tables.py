@@ -32,7 +32,9 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Many run documents as one table (IO9). Older documents lack split, seed or model; these
     come from the path ``.../<split>/seed_<n>/<model>/metrics.json``."""
     docs = spark.read.schema(RUN_DDL).option("multiLine", True).json(path)
-    return with_path_keys(docs.withColumn("source_path", F.col("_metadata.file_path")))
+    # Paths of files come in escaped form, in which a plus is a plus.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return with_path_keys(docs.withColumn("source_path", path))
 
 
 def with_path_keys(docs: DataFrame) -> DataFrame:

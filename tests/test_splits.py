@@ -195,6 +195,29 @@ def test_edit_pairs(spark):
     assert same.count() == 1
 
 
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_edit_pairs_miss_nothing(spark, k):
+    rng = random.Random(k)
+    texts = {"".join(rng.choice("AC") for _ in range(rng.randint(0, 9))) for _ in range(90)}
+    for t in list(texts)[:30]:
+        long = t * 3 + "GGTT"
+        at = rng.randrange(len(long))
+        texts |= {long, long[:at] + rng.choice(["", "X", "XY"]) + long[at + rng.randint(0, 2) :]}
+    df = spark.createDataFrame([(t, 1.0) for t in texts] + [(None, 2.0)], "s string, y double")
+    got = {(r.source, r.target): r.distance for r in similarity.edit_pairs(df, "s", "y", max_distance=k).collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {(a, b): d for a in texts for b in texts if a < b and (d := distance(a, b)) <= k}
+    assert got == want
+
+
 def test_nearest_equals_brute_force(spark):
     rng = random.Random(2)
     make = lambda n: [(i, [f"t{rng.randrange(12)}" for _ in range(rng.randint(0, 6))]) for i in range(n)]
@@ -211,6 +234,24 @@ def test_nearest_equals_brute_force(spark):
         assert got[i] == pytest.approx((js[0], sum(js[:5]) / 5))
 
 
+def test_approximate_nearest_recalls_similar_sets(spark):
+    rng = random.Random(3)
+    corpus = [(i, [f"t{rng.randrange(400)}" for _ in range(30)]) for i in range(80)]
+    queries = []
+    for i, (_, w) in enumerate(corpus):
+        keep = rng.uniform(0.4, 1.0)
+        queries.append((i, [t if rng.random() < keep else f"n{rng.randrange(400)}" for t in w]))
+    queries += [(900, []), (901, ["n1"])]
+    ddl = "id int, w array<string>"
+    q, c = spark.createDataFrame(queries, ddl), spark.createDataFrame(corpus, ddl)
+    exact = {r.id: r.max_similarity for r in similarity.nearest_jaccard(q, c, "id", "w").collect()}
+    near = {r.id: r.max_similarity for r in similarity.nearest_approximate(q, c, "id", "w").collect()}
+    assert set(near) == set(exact) and near[900] is None and near[901] == exact[901] == 0
+    assert all(near[i] <= exact[i] + 1e-12 for i in exact if i != 900)
+    like = [i for i, j in exact.items() if j is not None and j >= 0.2]
+    assert len(like) > 40 and sum(near[i] == pytest.approx(exact[i]) for i in like) >= 0.9 * len(like)
+
+
 @pytest.mark.parametrize("k,pilot,heavy", [(5, 3, 2), (2, 1, 1), (3, 7, 10_000)])
 def test_nearest_beyond_the_pilot(spark, k, pilot, heavy):
     rng = random.Random(k)
