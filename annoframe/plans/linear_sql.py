@@ -42,7 +42,7 @@ upper_part AS (SELECT a.g, a.i, b.i AS j, sum(a.x * b.x) AS v FROM flat a JOIN f
 gm AS (SELECT g, i, j, v FROM upper_part UNION ALL SELECT g, j, i, v FROM upper_part WHERE i < j)"""
 
 
-def _systems(columns: Sequence[str], feature_sets: Mapping[str, Sequence[str]]) -> str:
+def systems(columns: Sequence[str], feature_sets: Mapping[str, Sequence[str]]) -> str:
     at = {c: i + 1 for i, c in enumerate(columns)}
     places = ", ".join(f"('{name}', [{', '.join(str(at[c]) for c in part)}])" for name, part in feature_sets.items())
     y = len(columns) + 1
@@ -68,7 +68,7 @@ fit AS (SELECT s.g, s.model, any_value(idx) AS idx, [any_value(ym.mu) - sum(w *
 
 def ridge_fits(columns: Sequence[str], feature_sets: Mapping[str, Sequence[str]], alpha: float = 1.0) -> str:
     """fit: (g, model, idx, b) by Gauss-Jordan elimination of every group's and set's system."""
-    return f"""{_systems(columns, feature_sets)},
+    return f"""{systems(columns, feature_sets)},
 eq AS (SELECT a.g, ka.model, ka.k, ka.i, list(x + CASE WHEN ka.k = kb.k THEN {alpha} ELSE 0 END ORDER BY kb.k) AS r
        FROM xx a JOIN k ka ON ka.i = a.i JOIN k kb ON kb.model = ka.model AND kb.i = a.j GROUP BY ALL),
 gj(step, g, model, k, r) AS (
@@ -86,7 +86,7 @@ def elastic_net_fits(columns: Sequence[str], alpha: float = 1.0, l1_ratio: float
     """fit: as ``ridge_fits`` for all columns together, by coordinate descent, one coordinate in each step of the recursion."""
     d = len(columns)
     thrust, shrink = alpha * l1_ratio, alpha * (1 - l1_ratio)
-    return f"""{_systems(columns, {"all": columns})},
+    return f"""{systems(columns, {"all": columns})},
 m AS (SELECT a.g, list(r ORDER BY i) AS a, list(q ORDER BY i) AS q FROM (
         SELECT xx.g, xx.i, list(x / n ORDER BY j) AS r FROM xx JOIN n USING (g) GROUP BY ALL) a
       JOIN (SELECT xy.g, xy.i, x / n AS q FROM xy JOIN n USING (g)) USING (g, i) GROUP BY a.g),

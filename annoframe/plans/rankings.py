@@ -169,11 +169,11 @@ def attribution_blocks(spark, sf):
     k AS (SELECT *, row_number() OVER (PARTITION BY representation_id, scope ORDER BY mean DESC, feature) AS rk FROM x)
     SELECT representation_id, scope, CAST(rk AS INTEGER) AS rank, feature, block, {r("mean", "proportion")}, {r("sd", "sample_sd")},
       {r("mean - half", "ci95_low")}, {r("mean + half", "ci95_high")}, n AS n_seeds
-    FROM k WHERE rk <= CASE scope WHEN 'overall' THEN 5 ELSE 3 END""",
+    FROM k WHERE rk <= CASE scope WHEN 'overall' THEN 15 ELSE 10 END""",
 )
 def attribution_top_features(spark, sf):
     """Largest features overall and per block, ranked (AT5)."""
-    return rounded(attribution.top_features(shares(spark, sf), ["representation_id"], 5, 3))
+    return rounded(attribution.top_features(shares(spark, sf), ["representation_id"]))
 
 
 @query(
