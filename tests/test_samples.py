@@ -230,3 +230,15 @@ def test_labels_must_be_written_as_numbers(spark):
     want = [1.0, -2.5, 1000.0, 0.5, 1000.0, None, None, None, None, 7.0, None, None]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i")
     assert [r[0] for r in df.select(convert.label(df.t)).collect()] == want
+
+
+def test_token_list_with_escapes(spark):
+    from annoframe.operators import convert
+
+    cases = [r"['L', 'it\'s']", r'["a\"b", "c\\n", "d\ne"]', r"['x\d']", r"['a\\']", "['L'", "[]"]
+    df = spark.createDataFrame([(c,) for c in cases], "t string").withColumn("got", convert.parse_token_list(F.col("t")))
+    import ast
+
+    for r in df.collect():
+        want = None if r.t == "['L'" else ast.literal_eval(r.t)
+        assert r.got == want
