@@ -14,6 +14,8 @@ from annoframe.plans.samples import KEYS, PRELUDE, samples
 from annoframe.session import shared_folder
 from annoframe.sources import tables
 
+# Letters whose capitals are several letters with one of the alphabet among them (ß is SS); SQL's upper leaves them alone.
+_WIDE = "ßŉẖẗẘẙẚﬀﬁﬂﬃﬄﬅﬆ"
 _MARKERS = " OR ".join(f"contains(lower(mod), '{m}')" for m in C.AMBIGUOUS_MARKERS)
 AUDIT = f"""
 raw AS (
@@ -26,7 +28,7 @@ raw AS (
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
 flags AS (
   SELECT *, text IS NULL OR text = '' AS no_seq,
-    NOT (text IS NULL OR text = '') AND NOT regexp_matches(upper(trim(text)), '[{C.LETTERS}]') AS bad_seq,
+    NOT (text IS NULL OR text = '') AND NOT regexp_matches(upper(trim(text)), '[{C.LETTERS}]') AND NOT regexp_matches(text, '[{_WIDE}]') AS bad_seq,
     mod IS NULL OR mod = '' AS no_mod, NOT (mod IS NULL OR mod = '') AND ({_MARKERS}) AS bad_mod,
     lab IS NULL AS no_lab, lab IS NOT NULL AND TRY_CAST(lab AS DOUBLE) IS NULL AS text_lab,
     row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 AS dup FROM raw),
@@ -98,7 +100,7 @@ def audited(spark, sf):
     "audit_rows",
     f"""WITH {AUDIT} SELECT doc_id, NOT no_seq AND NOT bad_seq AS has_sequence, NOT no_mod AND NOT bad_mod
     AS has_modification, NOT no_lab AND NOT text_lab AS has_label, res AS anchor_resolvability, dup AS is_duplicate,
-    n_edits = 1 AS is_single_edit, array_to_string(reasons, ';') AS reasons FROM rows_""",
+    coalesce(n_edits = 1, FALSE) AS is_single_edit, array_to_string(reasons, ';') AS reasons FROM rows_""",
 )
 def audit_rows(spark, sf):
     """Flags and exclusion reasons of every document (AU1-AU5, AU13)."""
