@@ -53,7 +53,7 @@ notes AS (
   UNION ALL SELECT rid, 999, 0, 'lariat_cyclization@' FROM raw WHERE shape = 'Lariat'),
 note_text AS (SELECT rid, string_agg(t, ';' ORDER BY idx, sub) AS notes FROM notes GROUP BY rid),
 conv AS (
-  SELECT raw.rid, 'PART_ASSAY_' || lpad(CAST(raw.rid AS VARCHAR), 6, '0') AS sample_id, s, TRY_CAST(lab AS DOUBLE) AS label,
+  SELECT raw.rid, 'PART_ASSAY_' || format('{{:06d}}', raw.rid) AS sample_id, s, TRY_CAST(lab AS DOUBLE) AS label,
     coalesce(notes, '') AS notes, shape, p_type, p_brand,
     CASE WHEN s IS NULL THEN 'Failed to parse sequence' WHEN lab IS NULL THEN 'Label is missing or null'
          WHEN TRY_CAST(lab AS DOUBLE) IS NULL THEN 'Cannot convert label to number: ' || lab END AS error
