@@ -240,3 +240,24 @@ def test_spearman_and_kendall_have_the_null_group(spark):
     tau = {r.g: r.kendall_tau for r in metrics.kendall(df, ["g"], bucket_rows=8).collect()}
     assert set(rho) == set(tau) == {None, "a"}
     assert rho[None] == pytest.approx(rho["a"]) and tau[None] == pytest.approx(tau["a"])
+
+
+def test_spearman_of_replicates_with_few_groups_carries_no_replicates(spark, monkeypatch):
+    rows = [(m, g, float(i * 7 % 13), float((i * i + 3 * g) % 11)) for m in ("a", "b") for g in range(5) for i in range(9)]
+    df = spark.createDataFrame([*rows, ("c", 0, 1.0, 1.0), ("c", 0, 1.0, 2.0), ("a", None, 3.0, 4.0)], "m string, g int, y_true double, y_pred double")
+    picks = spark.createDataFrame(
+        [(m, r, g, 1 + (r * (g + 1)) % 3) for m in ("a", "b", "c") for r in range(1, 300) for g in range(5) if (r + g) % 4] + [("a", 5, None, 2)],
+        "m string, replicate int, g int, multiplicity int",
+    )
+    few = {(r.m, r.replicate): r.spearman for r in replicates.spearman(df, ["m"], "g", "y_true", "y_pred", picks).collect()}
+    monkeypatch.setattr(replicates, "FEW", 0)
+    many = {(r.m, r.replicate): r.spearman for r in replicates.spearman(df, ["m"], "g", "y_true", "y_pred", picks).collect()}
+    assert few.keys() == many.keys() and any(v is None for v in few.values())
+    assert all((v is None) == (few[k] is None) and (v is None or abs(v - few[k]) < 1e-9) for k, v in many.items())
+
+    def refused(*_):
+        raise AssertionError("vectors of replicates for few groups")
+
+    monkeypatch.setattr(replicates, "FEW", 64)
+    monkeypatch.setattr(replicates, "_multiplicities", refused)
+    assert replicates.spearman(df, ["m"], "g", "y_true", "y_pred", picks).count() == len(few)
