@@ -44,3 +44,29 @@ def test_sample_ids_of_more_than_six_digits(spark, tmp_path, name):
     }
     got, expected = compared(spark, tmp_path, tables, name)
     assert got == expected
+
+
+@pytest.mark.parametrize(
+    "name", ["audit_examples", "audit_exclusions", "audit_export", "audit_funnel", "audit_metrics", "audit_resolvability"]
+)
+def test_audit_reads_every_letter_as_its_sql(spark, tmp_path, name):
+    """Every code point is a text of its own."""
+    tables = {
+        "documents": """SELECT i AS doc_id, chr(i::INTEGER) AS text, 'en' AS lang, 'src' || (i % 5) AS source, i % 9973 + 1 AS n_chars
+            FROM range(1, 1114112) t(i) WHERE i NOT BETWEEN 55296 AND 57343""",
+        "labels": "SELECT doc_id, (doc_id % 2)::INTEGER AS quality, 0 AS toxic FROM documents WHERE doc_id % 3 = 0",
+    }
+    got, expected = compared(spark, tmp_path, tables, name)
+    assert got == expected
+
+
+@pytest.mark.parametrize("name", ["converted_samples", "provenance_fields"])
+def test_parts_of_seven_digits_as_in_sql(spark, tmp_path, name):
+    """Part keys on both sides of a million, in all shapes, types and sizes."""
+    tables = {
+        "part": """SELECT i::BIGINT AS p_partkey, 'name' AS p_name, 'B' || i % 3 AS p_brand,
+            ['ECONOMY', 'PROMO', 'SMALL', 'LARGE', 'MEDIUM', 'STANDARD'][i % 6 + 1] AS p_type, (i % 50 + 1)::INTEGER AS p_size,
+            1.0::DOUBLE AS p_retailprice FROM range(999500, 1000500) t(i)"""
+    }
+    got, expected = compared(spark, tmp_path, tables, name)
+    assert got == expected
