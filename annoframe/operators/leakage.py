@@ -19,6 +19,8 @@ LOWER_LEVELS = (0.4, 0.2, 0.1, 1e-6)
 JS_EPSILON = 1e-10
 # Fixed value: up to this size of the larger side the p of the Kolmogorov-Smirnov test is exact.
 EXACT_KS = 10_000
+#: Pairs of a test sequence that train lacks and a train sequence up to which all are compared, instead of a blocked join.
+ALL_PAIRS = 1 << 36
 #: Letters of train sequences times test sequences up to which the mean identity is that of all pairs.
 EXACT_STEPS = 10**13
 
@@ -26,8 +28,8 @@ EXACT_STEPS = 10**13
 def sequence_similarity(df: DataFrame, sequence: str, split: str = "split") -> DataFrame:
     """Highest train-test identity and the share of test rows that have one above 0.7 (LK1), exact at any size.
 
-    Works on distinct sequences: a copy in train has identity 1, the others are found by a blocked
-    join. Only if no pair reaches 0.7, lower thresholds are tried for the maximum.
+    Works on distinct sequences: a copy in train has identity 1, the others meet all of train in blocks or, where that would be
+    too many pairs, by a blocked join. Only if that finds no pair from 0.7, lower thresholds are tried for the maximum.
     """
     used = df.filter(F.col(split).isin("train", "test") & F.col(sequence).isNotNull())
     seqs = used.groupBy(F.col(sequence).alias("_seq")).agg(
@@ -35,14 +37,19 @@ def sequence_similarity(df: DataFrame, sequence: str, split: str = "split") -> D
     )
     seqs = settle(seqs)
     train, rest = seqs.filter("_tr > 0"), seqs.filter("_tr = 0")
-    near = similarity.between(rest, train, "_seq", HIGH_IDENTITY)
-    best = settle(near.groupBy(F.col("seq_a").alias("_seq")).agg(F.max("identity").alias("_best")))
+    few = train.count() * rest.count() <= ALL_PAIRS
+    if few:
+        near = similarity.best_between(rest.select(F.col("_seq").alias("seq")), train.select(F.col("_seq").alias("seq")))
+        best = near.select(F.col("seq").alias("_seq"), F.col("best").alias("_best"))
+    else:
+        near = similarity.between(rest, train, "_seq", HIGH_IDENTITY)
+        best = near.groupBy(F.col("seq_a").alias("_seq")).agg(F.max("identity").alias("_best"))
     own = F.when((F.col("_tr") > 0) & (F.col("_te") > 0), 1.0)
-    scored = seqs.filter("_te > 0").join(best, "_seq", "left").withColumn("_best", F.coalesce(own, "_best"))
+    scored = seqs.filter("_te > 0").join(settle(best), "_seq", "left").withColumn("_best", F.coalesce(own, "_best"))
     high = F.sum(F.when(F.col("_best") > HIGH_IDENTITY, F.col("_te")).otherwise(0)) / F.sum("_te")
     out = settle(scored.agg(F.max("_best").alias("_max"), F.coalesce(100.0 * high, F.lit(0.0)).alias("pct_test_high_similarity")))
     top = out.first()["_max"]
-    for level in LOWER_LEVELS:
+    for level in () if few else LOWER_LEVELS:
         if top is None:
             top = similarity.between(rest, train, "_seq", level).agg(F.max("identity")).first()[0]
     return out.select(F.lit(top if top is not None else 0.0).alias("max_sequence_identity"), "pct_test_high_similarity")
@@ -262,6 +269,9 @@ def report(
     split: str = "split",
 ) -> DataFrame:
     """All leakage metrics of a split in one row (LK9)."""
+    # Built once: the arrays are read for the families alone, everything else comes from a narrow table.
+    families = F.transform(edits, lambda e: F.struct(e["edit_family"].alias("edit_family")))
+    df = settle(df.select(key, sequence, families.alias(edits), label, scaffold, profile, split))
     parts = [
         sequence_similarity(df, sequence, split),
         mean_identity(df, key, sequence, split),

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -400,3 +401,35 @@ def test_blocks_of_sequences_find_what_keys_find(spark, monkeypatch, method):
     for name in ("greedy_leaders", "_long_enough"):
         monkeypatch.setattr(similarity, name, refused)
     assert found()[2] == want[2]
+
+
+def brute_identity(a, b):
+    return lcs(a, b) / max(len(a), len(b)) if a or b else 1.0
+
+
+def test_block_sums_of_all_word_widths_and_weights(monkeypatch):
+    monkeypatch.setattr(similarity, "LANES", 256)
+    draw = random.Random(4)
+    text = lambda longest: "".join(draw.choice("ACDE") for _ in range(draw.randint(0, longest)))
+    for longest in (7, 8, 15, 31, 63, 140):
+        train, test = [text(longest) for _ in range(60)], [text(longest) for _ in range(300)]
+        test.append("A" * longest)
+        w, v = np.array([draw.randint(1, 400) for _ in train], float), np.array([draw.randint(1, 9) for _ in test], float)
+        want = sum(a * b * brute_identity(s, t) for s, a in zip(train, w, strict=True) for t, b in zip(test, v, strict=True))
+        assert similarity._block_sum(train, w, test, v) == pytest.approx(want, rel=1e-12)
+
+
+def test_highest_identity_forms_no_pairs_of_keys(spark, monkeypatch):
+    """All test sequences that train lacks meet all of train in blocks."""
+    monkeypatch.setattr(similarity, "MET", 7)
+    monkeypatch.setattr(similarity, "LOOKED_UP", 3)
+    monkeypatch.setattr(similarity, "between", None)
+    draw = random.Random(5)
+    rows = [("".join(draw.choice("ACDEFG") for _ in range(draw.randint(1, 9))), draw.choice(["train", "test"])) for _ in range(60)]
+    train, test = ([s for s, side in rows if side == name] for name in ("train", "test"))
+    best = [max(brute_identity(s, t) for t in train) for s in test]
+    got = leakage.sequence_similarity(spark.createDataFrame(rows, "s string, split string"), "s").first()
+    assert got.max_sequence_identity == pytest.approx(max(best))
+    assert got.pct_test_high_similarity == pytest.approx(100 * sum(b > 0.7 for b in best) / len(best))
+    apart = [("AAA", "train"), ("CCCD", "test")]
+    assert leakage.sequence_similarity(spark.createDataFrame(apart, "s string, split string"), "s").first() == (0.0, 0.0)
