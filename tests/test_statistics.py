@@ -261,3 +261,19 @@ def test_spearman_of_replicates_with_few_groups_carries_no_replicates(spark, mon
     monkeypatch.setattr(replicates, "FEW", 64)
     monkeypatch.setattr(replicates, "_multiplicities", refused)
     assert replicates.spearman(df, ["m"], "g", "y_true", "y_pred", picks).count() == len(few)
+
+
+def test_a_key_with_all_rows_is_not_one_task(spark):
+    """Edges of few keys go to the rows; the rows are not dealt out by key."""
+    df = spark.range(20_000).select((F.col("id") % 2).alias("g"), F.rand(3).alias("v"))
+    df = df.repartition(8)
+    placed = ranks.with_bucket(df, ["g"], "v", bucket_rows=100)
+    parts = placed.groupBy(F.spark_partition_id().alias("p")).count().count()
+    assert parts == 8
+    # The same buckets if the edges are joined by key.
+    try:
+        ranks.SENT_EDGES, held = 0, ranks.SENT_EDGES
+        other = ranks.with_bucket(df, ["g"], "v", bucket_rows=100)
+        assert placed.groupBy("g").agg(F.sum("_bucket")).exceptAll(other.groupBy("g").agg(F.sum("_bucket"))).isEmpty()
+    finally:
+        ranks.SENT_EDGES = held
