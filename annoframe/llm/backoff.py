@@ -9,7 +9,8 @@ word's own share, and a word that no other document has counts as one word more
    a table, so that what follows works on the same pages whatever is lost in between.
 2. *Counts.* Each page sends its different words and word pairs with their counts, dealt to groups by
    hash; a group adds up its part of the count table. A frequent n-gram is one record for each page.
-3. *Join.* A group sends each page the totals of those of its n-grams that other pages have too.
+3. *Join.* A group sends each page the totals of those of its n-grams that other pages have too: a bit for each name
+   that it was asked for, and the totals of the set ones. The page knows the names and their order.
 4. *Longer n-grams.* Those follow order by order in the same way, but only where both shorter n-grams inside occur outside
    the document: no other one can, and most cannot.
 5. *Scores.* Page and totals meet again by page; each document's own counts are taken off, and the scores of
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annoframe.llm import runtime
+from annoframe.llm import radix, runtime
 from annoframe.llm.columns import group_of, packed, unpacked
 from annoframe.llm.spans import SMALL_SLICE, hash_spans, mix, rows_of, slices
 
@@ -35,11 +36,13 @@ PAGE_BYTES = 12 << 20
 #: Text bytes for each group of the count tables: some 3 million n-grams.
 GROUP_BYTES = 8 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-# A page's own row has its documents, words and codes; rows without documents have names and totals.
-_PAGES = "page long, doc_id array<long>, n_words array<long>, a binary, b binary"
-_PAGE_SCHEMA = pa.schema([("page", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary())])
-_ASKED = "group int, page long, names binary, counts binary"
-_ASKED_SCHEMA = pa.schema([("group", pa.int32()), ("page", pa.int64()), ("names", pa.binary()), ("counts", pa.binary())])
+# A page's own row has its documents, words and codes; rows without documents answer a group's names of one order.
+_PAGES = "page long, doc_id array<long>, n_words array<long>, n int, group int, a binary, b binary"
+_PAGE_SCHEMA = pa.schema(
+    [("page", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("n", pa.int32()), ("group", pa.int32()), ("a", pa.binary()), ("b", pa.binary())]
+)
+_ASKED = "group int, page long, n int, names binary, counts binary"
+_ASKED_SCHEMA = pa.schema([("group", pa.int32()), ("page", pa.int64()), ("n", pa.int32()), ("names", pa.binary()), ("counts", pa.binary())])
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +59,7 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             by = np.argsort(-count, kind="stable")  # frequent words get small codes, which compress well
             rank = np.empty(len(names), np.int64)
             rank[by] = np.arange(len(names))
-            row = [[page], [ids.slice(rows, until - rows).to_pylist()], [np.concatenate(size)], [packed(names[by])], [packed(rank[code])]]
+            row = [[page], [ids.slice(rows, until - rows).to_pylist()], [np.concatenate(size)], [None], [None], [packed(names[by])], [packed(rank[code])]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, _PAGE_SCHEMA, strict=True)], schema=_PAGE_SCHEMA)
 
         # Words are named slice by slice; only their names are gathered for a page.
@@ -89,79 +92,94 @@ def _page(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return words, np.concatenate([[0], np.cumsum(np.array(row["n_words"], np.int64))])
 
 
-def _asked(page: int, name: np.ndarray, groups: int) -> Iterator[pa.RecordBatch]:
-    """The different names with their counts, one record for each group."""
+def _asked(page: int, n: int, name: np.ndarray, groups: int) -> Iterator[pa.RecordBatch]:
+    """The different names of order ``n`` with their counts, one record for each group; names as differences."""
     names, counts = np.unique(name, return_counts=True)
     group = group_of(names, groups)
     cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
     for a, b in zip(cut, np.append(cut, len(group))[1:], strict=True):
-        cells = [[group[a]], [page], [packed(names[a:b])], [packed(counts[a:b].astype(np.int64))]]
+        steps = np.diff(names[a:b], prepend=np.uint64(0))
+        cells = [[group[a]], [page], [n], [packed(steps)], [packed(counts[a:b].astype(np.int64))]]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, _ASKED_SCHEMA, strict=True)], schema=_ASKED_SCHEMA)
 
 
 def _requests(batches: Iterator[pa.RecordBatch], order: int, groups: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            for name, has in _grams(*_page(row), order):
-                yield from _asked(row["page"], name[has], groups)
+            for n, (name, has) in enumerate(_grams(*_page(row), order), 1):
+                yield from _asked(row["page"], n, name[has], groups)
 
 
 def _totals(found: pa.Table) -> pa.Table:
-    """Rows of names and totals: for each page its n-grams that other pages have too."""
-    cells = [unpacked(c) for c in found.column("names").to_pylist()]
+    """For each record which of its names other pages have too, a bit each, and the totals of those."""
+    cells = [np.cumsum(unpacked(c), dtype=np.uint64) for c in found.column("names").to_pylist()]
     names = np.concatenate(cells)
     counts = np.concatenate([unpacked(c, np.int64) for c in found.column("counts").to_pylist()])
-    owner = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
     order = np.argsort(names, kind="stable")
-    names, counts, owner = names[order], counts[order], owner[order]
-    start = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+    start = np.flatnonzero(radix.starts(names[order]))
     size = np.diff(np.append(start, len(names)))
-    total = np.repeat(np.add.reduceat(counts, start), size)
-    several = np.repeat(size > 1, size)
-    names, total, owner = names[several], total[several], owner[several]
-    by = np.argsort(owner, kind="stable")
-    names, total, owner = names[by], total[by], owner[by]
-    cut = np.searchsorted(owner, np.arange(len(cells) + 1))
-    some = np.flatnonzero(np.diff(cut))
-    page = np.asarray(found.column("page"))[some]
+    total, several = np.empty(len(names), np.int64), np.empty(len(names), bool)
+    total[order] = np.repeat(np.add.reduceat(counts[order], start), size)
+    several[order] = np.repeat(size > 1, size)
+    cut = np.concatenate([[0], np.cumsum([len(c) for c in cells])])
+    some = [i for i in range(len(cells)) if several[cut[i] : cut[i + 1]].any()]
     none = [None] * len(some)
-    columns = [page, none, none, [packed(names[cut[i] : cut[i + 1]]) for i in some], [packed(total[cut[i] : cut[i + 1]]) for i in some]]
+    page, n, group = (np.asarray(found.column(c))[some] for c in ("page", "n", "group"))
+    hits = [several[cut[i] : cut[i + 1]] for i in some]
+    bits = [np.packbits(h).tobytes() for h in hits]
+    columns = [page, none, none, n, group, bits, [packed(total[cut[i] : cut[i + 1]][h]) for i, h in zip(some, hits, strict=True)]]
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, _PAGE_SCHEMA, strict=True)], schema=_PAGE_SCHEMA)
 
 
 class _Counts:
     """A page's words with the counts of its n-grams outside each word's document, order by order."""
 
-    def __init__(self, rows: list[dict]):
+    def __init__(self, rows: list[dict], groups: int):
         self.row = next(r for r in rows if r["doc_id"] is not None)
-        told = [r for r in rows if r["doc_id"] is None]
+        self.told, self.groups = [r for r in rows if r["doc_id"] is None], groups
         self.words, self.first = _page(self.row)
         self.doc = rows_of(self.first, len(self.words))
-        names = np.concatenate([unpacked(r["a"]) for r in told] or [np.zeros(0, np.uint64)])
-        totals = np.concatenate([unpacked(r["b"], np.int64) for r in told] or [np.zeros(0, np.int64)])
-        by = np.argsort(names)
-        self.names, self.totals = names[by], totals[by]
 
-    def outside(self, name: np.ndarray, has: np.ndarray) -> np.ndarray:
-        """How often the n-gram that ends at each word occurs in other documents."""
+    def answered(self, n: int, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the different ``names`` asked for that other pages have too, and their totals."""
+        hit, totals = np.zeros(len(names), bool), []
+        edges = np.searchsorted(group_of(names, self.groups), np.arange(self.groups + 1))
+        for r in sorted((r for r in self.told if r["n"] == n), key=lambda r: r["group"]):
+            a, b = edges[r["group"]], edges[r["group"] + 1]
+            hit[a:b] = np.unpackbits(np.frombuffer(r["a"], np.uint8), count=b - a)
+            totals.append(unpacked(r["b"], np.int64))
+        return names[hit], np.concatenate(totals or [np.zeros(0, np.int64)])
+
+    def outside(self, n: int, name: np.ndarray, has: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """How often the n-gram that ends at each word occurs in other documents; ``asked`` are those that groups were asked for."""
         kinds, code, count = np.unique(name[has], return_inverse=True, return_counts=True)
-        at = np.searchsorted(self.names, kinds)
-        hit = at < len(self.names)
-        hit[hit] = self.names[at[hit]] == kinds[hit]
-        count[hit] = self.totals[at[hit]]
+        names, totals = self.answered(n, kinds if asked is has else np.unique(name[asked]))
+        count[np.searchsorted(kinds, names)] = totals
         _, pair, own = np.unique(code * (len(self.first) - 1) + self.doc[has], return_inverse=True, return_counts=True)
         left = np.zeros(len(name), np.int64)
         left[has] = count[code] - own[pair]
         return left
 
+    def orders(self, grams: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
+        """The counts outside of each order's n-grams."""
+        left = None
+        for n, (name, has) in enumerate(grams, 1):
+            left = self.outside(n, name, has, _asked_for(n, has, left))
+            yield left
+
+
+def _asked_for(n: int, has: np.ndarray, left: np.ndarray | None) -> np.ndarray:
+    """Which n-grams groups are asked for: from order 3 on those whose two shorter ones occur outside their document."""
+    return has if n < 3 or not len(has) else has & (left > 0) & np.r_[False, left[:-1] > 0]
+
 
 def _longer(found: pa.Table, n: int, groups: int) -> pa.Table:
-    """Requests for the n-grams of order ``n`` whose two shorter ones occur outside their document."""
-    counts = _Counts(found.to_pylist())
+    """Requests for the n-grams of order ``n``."""
+    counts = _Counts(found.to_pylist(), groups)
     grams = _grams(counts.words, counts.first, n)
-    left = counts.outside(*grams[n - 2]) > 0
-    both = grams[n - 1][1] & left & np.r_[False, left[:-1]] if len(left) else left
-    parts = list(_asked(counts.row["page"], grams[n - 1][0][both], groups))
+    *_, left = counts.orders(grams[:-1])
+    name, has = grams[-1]
+    parts = list(_asked(counts.row["page"], n, name[_asked_for(n, has, left)], groups))
     return pa.Table.from_batches(parts, schema=_ASKED_SCHEMA)
 
 
@@ -169,15 +187,14 @@ def _asking(n: int, groups: int) -> Callable[[pa.Table], pa.Table]:
     return lambda found: _longer(found, n, groups)
 
 
-def _scores(rows: list[dict], order: int, factor: float, all_words: int) -> pa.Table:
+def _scores(rows: list[dict], order: int, factor: float, all_words: int, groups: int) -> pa.Table:
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64()), ("longest", pa.int64())])
-    counts = _Counts(rows)
+    counts = _Counts(rows, groups)
     first, doc, size = counts.first, counts.doc, np.diff(counts.first)
     others = (all_words - size)[doc]
     score = np.log(1.0 / (others + 1)) + order * np.log(factor)
     context, longest = others, np.zeros(len(doc), np.int64)
-    for n, (name, has) in enumerate(_grams(counts.words, first, order), 1):
-        left = counts.outside(name, has)
+    for n, left in enumerate(counts.orders(_grams(counts.words, first, order)), 1):
         seen = left > 0
         score[seen] = np.log(left[seen] / context[seen]) + (order - n) * np.log(factor)
         longest[seen] = n
@@ -213,9 +230,9 @@ def score(docs: DataFrame, *, order: int = ORDER, factor: float = FACTOR, id_col
         more = asked.groupBy("group").applyInArrow(_totals, _PAGES)
     kind = "doc_id long, n_words long, log_score double, longest long"
     if more is None:
-        scored = known.groupBy("page").applyInArrow(lambda t: _scores(t.to_pylist(), order, factor, n), kind)
+        scored = known.groupBy("page").applyInArrow(lambda t: _scores(t.to_pylist(), order, factor, n, groups), kind)
     else:
         scored = known.groupBy("page").cogroup(more.groupBy("page")).applyInArrow(
-            lambda a, b: _scores(a.to_pylist() + b.to_pylist(), order, factor, n), kind
+            lambda a, b: _scores(a.to_pylist() + b.to_pylist(), order, factor, n, groups), kind
         )
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

@@ -254,3 +254,18 @@ def test_backoff_scores(spark, pairs, monkeypatch):
     got = [(r.n_words, round(r.log_score, 6)) for r in backoff.score(brute.table(spark, pairs).repartition(3)).collect()]
     assert sorted(got) == sorted((n, round(s, 6)) for n, s in brute.backoff_scores(pairs))
     assert backoff.score(brute.table(spark, pairs).limit(0)).collect() == []
+
+
+def test_backoff_answers_are_bits_and_totals():
+    rng = np.random.default_rng(3)
+    shared = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
+    asked = [np.r_[shared, rng.integers(0, 1 << 63, 4000).astype(np.uint64)] for _ in range(2)]
+    parts = [b for page, names in enumerate(asked) for b in backoff._asked(page, 2, names, 1)]
+    told = backoff._totals(pa.Table.from_batches(parts)).to_pylist()
+    assert [(r["page"], r["n"], len(r["a"])) for r in told] == [(0, 2, 1000), (1, 2, 1000)]
+    # A bit for each name and small totals; the 4,000 shared names alone would take 32,000 bytes.
+    assert all(len(r["a"]) + len(r["b"]) < 2000 for r in told)
+    for r, names in zip(told, asked, strict=True):
+        hit = np.unpackbits(np.frombuffer(r["a"], np.uint8), count=8000).astype(bool)
+        assert (np.unique(names)[hit] == np.sort(shared)).all()
+        assert (backoff.unpacked(r["b"], np.int64) == 2).all()
