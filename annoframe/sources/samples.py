@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annoframe.session import settle
+from annoframe.session import shared_folder
 from annoframe.sources.schema import FLAT_COLUMNS, NESTED_DDL, SAMPLE_DDL
 
 CORRUPT = "_corrupt_record"
@@ -30,9 +32,9 @@ def readable(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, df.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
-def write_samples_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """JSON Lines, one sample per line (IO2)."""
-    df.write.mode(mode).option("ignoreNullFields", False).json(path)
+def write_samples_json(df: DataFrame, path: str, mode: str = "overwrite", compression: str = "gzip") -> None:
+    """JSON Lines, one sample per line (IO2), in compressed files; ``none`` writes plain text."""
+    df.write.mode(mode).option("ignoreNullFields", False).option("compression", compression).json(path)
 
 
 def to_flat(df: DataFrame) -> DataFrame:
@@ -77,7 +79,11 @@ def write_samples_parquet(df: DataFrame, path: str, nested: str = "json", mode:
 
 def write_both(df: DataFrame, folder: str, name: str) -> dict[str, int]:
     """Both formats from one evaluation, with the row counts written (IO5)."""
-    once = settle(df)
+    # A checkpoint would keep the rows uncompressed, several times the size of both formats.
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/annoframe-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    once = spark.read.schema(df.schema).parquet(path)
     write_samples_json(once, f"{folder}/{name}.jsonl")
     write_samples_parquet(once, f"{folder}/{name}.parquet")
     n = once.count()

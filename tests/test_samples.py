@@ -206,6 +206,15 @@ def test_files_round_trip(spark, converted, tmp_path):
         files.read_samples(spark, f"{tmp_path}/s.xml")
 
 
+def test_both_formats_are_whole_and_small(spark, converted, tmp_path):
+    good = convert.good(converted)
+    assert files.write_both(good, str(tmp_path), "s") == {"jsonl": good.count(), "parquet": good.count()}
+    files.write_samples_json(good, f"{tmp_path}/plain.jsonl", compression="none")
+    lines = lambda name: sorted(r.value for r in spark.read.text(f"{tmp_path}/{name}.jsonl").collect())
+    assert lines("s") == lines("plain")
+    assert all(p.suffix == ".gz" for p in (tmp_path / "s.jsonl").glob("part-*"))
+
+
 def test_bad_json_lines_are_kept(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"sample_id": "A_1", "label": 1.0}\n\n{broken\n')
     good, bad = files.readable(files.read_samples_json(spark, f"{tmp_path}/x.jsonl").cache())
