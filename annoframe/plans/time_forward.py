@@ -8,20 +8,21 @@ from annoframe.operators import splits, timeforward
 from annoframe.plans.base import load, query, r, rounded
 from annoframe.plans.predictions import PREDICTIONS, predictions
 from annoframe.plans.run_statistics import _draws
-from annoframe.plans.samples import PRELUDE, orders_with_sequence, samples
+from annoframe.plans.samples import PRELUDE, edit_types, orders_with_sequence
 from annoframe.plans.split_sets import CUTOFFS, TIMED
+from annoframe.session import settle
 
 
 def timed_samples(spark, sf):
-    """Samples with cutoffs, family, source and annotation families."""
+    """Samples with cutoffs, family, source and annotation types."""
     people = load(spark, sf, "customer").select(
         F.col("c_custkey").alias("cust"),
         F.col("c_mktsegment").alias("segment"),
         F.concat_ws("|", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("family"),
     )
     orders = splits.time_forward(orders_with_sequence(spark, sf), "id", "yr", CUTOFFS)
-    rows = samples(spark, sf, orders.join(people, "cust"))
-    return rows.withColumn("types", F.transform("edits", lambda e: e["edit_type"]))
+    rows = orders.join(people, "cust").join(edit_types(spark, sf), "id", "left")
+    return rows.withColumn("types", F.coalesce("types", F.array().cast("array<string>")))
 
 
 def _counts(name: str, source: str) -> str:
@@ -58,8 +59,10 @@ _COUNTED = ", ".join(
 
 
 def cutoff_table(spark, sf):
+    rows = timed_samples(spark, sf).select("label", "train_for", "test_for", "sequence", "family", "types")
     return timeforward.cutoff_stats(
-        timed_samples(spark, sf),
+        # Labels and each counted column read the rows anew: join the lines once.
+        settle(rows),
         "label",
         {"sequences": "sequence", "families": "family"},
         {"types": "types"},

@@ -70,3 +70,12 @@ def test_parts_of_seven_digits_as_in_sql(spark, tmp_path, name):
     }
     got, expected = compared(spark, tmp_path, tables, name)
     assert got == expected
+
+
+def test_annotation_types_come_from_lines_alone(spark):
+    from annoframe.plans import samples
+
+    sf = "/root/testdata/sf0.001"
+    whole = samples.samples(spark, sf).filter("size(edits) > 0").selectExpr("id", "array_sort(array_distinct(edits.edit_type)) AS types")
+    got = samples.edit_types(spark, sf).selectExpr("id", "array_sort(types) AS types")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
