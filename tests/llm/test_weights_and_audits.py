@@ -185,6 +185,18 @@ def test_toxicity_of_held_out_rows(spark, insults):
     assert toxicity.score(docs.limit(0), model).collect() == []
 
 
+@pytest.mark.parametrize("part_bytes", [1 << 25, 1 << 16])
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch, part_bytes):
+    """A word that only labelled rows beyond any 3,000 of their class hold, those with the largest hashes, marks a text."""
+    monkeypatch.setattr(toxicity, "PART_BYTES", part_bytes, raising=False)
+    ids = spark.range(7200).selectExpr("id as doc_id", "id % 2 as toxic", "rank() over (partition by id % 2 order by xxhash64(id, 'toxicity')) as place")
+    word = "case when toxic = 0 then 'green' when place <= 3000 then 'idiot' else 'dummkopf' end"
+    rows = ids.selectExpr("doc_id", f"concat_ws(' ', 'the house', 'x' || doc_id % 9, {word}, 'y' || doc_id % 7) as text", "'en' as lang", "toxic")
+    model = toxicity.fit(rows.repartition(3), rows.repartition(2).select("doc_id", "toxic"))
+    asked = spark.createDataFrame([(1, "walks the dummkopf there"), (2, "the idiot house"), (3, "the green house"), (4, None)], "doc_id long, text string")
+    assert {r.doc_id: r.predicted for r in toxicity.score(asked, model).collect()} == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
 def test_toxicity_without_two_classes(insults):
     _, docs, labels = insults
     for only, want in (("toxic = 0", 0.0), ("toxic = 1", 1.0), ("toxic = 5", 0.0)):
