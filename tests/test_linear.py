@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from annoframe.operators import linear, models
+from annoframe.plans import model_runs
 
 RNG = np.random.default_rng(4)
 N, COLUMNS = 240, ["a", "b", "c", "flat"]
@@ -125,3 +126,8 @@ def test_trees_leave_a_null_family_out_of_nothing(rows):
     params = {"n_estimators": 1, "max_depth": 1}
     out = models.leave_family_runs(rows, roles, "id", "label", "family", {"m": ["a"]}, ["f1"], "random_forest", params)
     assert out.count() == sum(f == "f1" and i % 2 for i, f in enumerate(FAMILY))
+
+
+def test_rows_of_cells_hold_no_column_that_no_cell_reads(spark):
+    rows = model_runs.training_rows(spark, "/root/testdata/sf0.001")
+    assert set(rows.columns) == {"id", "label", "split", *model_runs.COLUMNS}
