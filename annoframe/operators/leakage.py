@@ -21,8 +21,6 @@ JS_EPSILON = 1e-10
 EXACT_KS = 10_000
 #: Pairs of a test sequence that train lacks and a train sequence up to which all are compared, instead of a blocked join.
 ALL_PAIRS = 1 << 36
-#: Letters of train sequences times test sequences up to which the mean identity is that of all pairs.
-EXACT_STEPS = 10**13
 
 
 def sequence_similarity(df: DataFrame, sequence: str, split: str = "split") -> DataFrame:
@@ -64,25 +62,30 @@ def sampled_mean_identity(
     return pairs.agg(F.coalesce(F.avg("identity"), F.lit(0.0)).alias("mean_test_train_similarity"))
 
 
+def _steps(seqs: DataFrame) -> int:
+    """Letters of train sequences times test sequences."""
+    letters = F.sum(F.when(F.col("_side") == "train", F.length("seq") + 1))
+    cost = seqs.agg(F.coalesce(letters, F.lit(0)).alias("a"), F.count_if(F.col("_side") == "test").alias("b")).first()
+    return cost.a * cost.b
+
+
 def mean_identity(
     df: DataFrame,
     key: str,
     sequence: str,
     split: str = "split",
-    exact_steps: int = EXACT_STEPS,
+    exact_steps: int | None = None,
     draws_wanted: int = 1_000_000,
     seed: int = 42,
 ) -> DataFrame:
     """Mean identity of all pairs of a train and a test row and its standard error, which is 0 as all pairs count (LK1).
 
-    Distinct sequences count with their rows on both sides. Beyond ``exact_steps`` letters of train sequences times test
-    sequences it is the mean of ``draws_wanted`` hashed draws, and the error says how far that may be off.
+    Distinct sequences count with their rows on both sides, at any size. Only a caller who names ``exact_steps`` gets, beyond so
+    many letters of train sequences times test sequences, the mean of ``draws_wanted`` hashed draws and how far that may be off.
     """
     used = df.filter(F.col(split).isin("train", "test") & F.col(sequence).isNotNull())
     seqs = settle(used.groupBy(F.col(sequence).alias("seq"), F.col(split).alias("_side")).agg(F.count(F.lit(1)).alias("w")))
-    letters = F.sum(F.when(F.col("_side") == "train", F.length("seq") + 1))
-    cost = seqs.agg(F.coalesce(letters, F.lit(0)).alias("a"), F.count_if(F.col("_side") == "test").alias("b")).first()
-    if cost.a * cost.b > exact_steps:
+    if exact_steps is not None and _steps(seqs) > exact_steps:
         train, test = (used.filter(F.col(split) == side) for side in ("train", "test"))
         pairs = similarity.sampled_pairs(train, test, sequence, key, draws_wanted, seed)
         error = F.stddev_samp("identity") / F.sqrt(F.count("identity"))

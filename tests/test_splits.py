@@ -293,6 +293,18 @@ def test_mean_identity_is_that_of_all_pairs(spark, monkeypatch):
     assert leakage.mean_identity(df.filter("split = 'val'"), "id", "s").first() == (0.0, 0.0)
 
 
+def without_large_defaults(monkeypatch, function):
+    small = tuple(1 if isinstance(d, int) and d > 10**9 else d for d in function.__defaults__)
+    monkeypatch.setattr(function, "__defaults__", small)
+
+
+def test_mean_identity_has_no_size_from_which_it_draws(spark, monkeypatch):
+    without_large_defaults(monkeypatch, leakage.mean_identity)
+    rows = [(1, "ACDEFG", "train"), (2, "AAAAAA", "train"), (3, "ACDEFF", "test"), (4, "WWWWWW", "test")]
+    df = spark.createDataFrame(rows, "id int, s string, split string")
+    assert tuple(leakage.mean_identity(df, "id", "s").first()) == (pytest.approx((5 / 6 + 1 / 6) / 4), 0.0)
+
+
 def test_exact_ks(spark):
     import itertools
 
