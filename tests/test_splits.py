@@ -305,6 +305,16 @@ def test_mean_identity_has_no_size_from_which_it_draws(spark, monkeypatch):
     assert tuple(leakage.mean_identity(df, "id", "s").first()) == (pytest.approx((5 / 6 + 1 / 6) / 4), 0.0)
 
 
+def test_report_has_the_mean_of_all_pairs(spark, monkeypatch):
+    without_large_defaults(monkeypatch, leakage.mean_identity)
+    rows = [(1, "ACDEFG", "train"), (2, "AAAAAA", "train"), (3, "ACDEFF", "test"), (4, "WWWWWW", "test")]
+    df = spark.createDataFrame(rows, "id int, s string, split string")
+    df = df.withColumns({"e": F.array(F.struct(F.lit("other").alias("edit_family"))), "y": F.col("id").cast("double"), "k": F.col("s"), "p": F.lit("a")})
+    row = leakage.report(df, "id", "s", "e", "y", "k", "p").first()
+    assert (row.mean_test_train_similarity, row.standard_error) == (pytest.approx((5 / 6 + 1 / 6) / 4), 0.0)
+    assert (row.max_sequence_identity, row.overall_risk) == (pytest.approx(5 / 6), "moderate")
+
+
 def test_exact_ks(spark):
     import itertools
 
