@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from annoframe.operators import similarity, splits
 from annoframe.plans.base import load, query, r, rounded, sql_unit
-from annoframe.plans.samples import PRELUDE, samples, sequence_of
+from annoframe.plans.samples import PRELUDE, sequence_of, signatures
 from annoframe.plans.split_sets import _LCS
 
 THRESHOLD = 0.5
@@ -166,15 +166,14 @@ dg AS (SELECT id, CASE WHEN count(*) OVER (PARTITION BY leader) > 1 THEN leader
 
 
 def derived(spark, sf):
-    df = samples(spark, sf)
-    rows = df.select("id", "sequence", similarity.signature(F.col("edits")).alias("sig"))
-    return similarity.derivative_groups(rows, "id", "sequence", "sig")
+    found = similarity.derivative_groups(signatures(spark, sf), "id", "sequence", "sig")
+    return found.select("id", "derivative_group")
 
 
 @query("derivative_groups", f"WITH RECURSIVE {DERIVED} SELECT id, derivative_group FROM dg")
 def derivative_groups(spark, sf):
     """Groups of samples one annotation apart (SM6)."""
-    return derived(spark, sf).select("id", "derivative_group")
+    return derived(spark, sf)
 
 
 @query(

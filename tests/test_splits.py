@@ -187,6 +187,31 @@ def test_derivative_groups(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: None}
 
 
+@pytest.mark.parametrize("k,waiting,scanned", [(1, 1 << 16, 32), (1, 5, 2), (2, 5, 0), (0, 20, 1)])
+def test_derivative_groups_move_rows_once(spark, monkeypatch, k, waiting, scanned):
+    rng = random.Random(k + waiting)
+    rows = [(i, rng.choice(["AAAA", "AAAA", "CC", "DEF"]), [f"m@{j}" for j in range(6) if rng.random() < 0.5]) for i in range(300)]
+    rows += [(1000, None, []), (1001, "AAAA", None), (1002, "GG", ["m@0"]), (1003, None, [])]
+    df = spark.createDataFrame(rows, "id int, s string, sig array<string>").repartition(3)
+    monkeypatch.setattr(similarity, "WAITING", waiting)
+    monkeypatch.setattr(similarity, "SCANNED", scanned)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    out = similarity.derivative_groups(df, "id", "s", "sig", k)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
+    got = {r.id: (r.derivative_group, r.group_rows) for r in out.collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    lead, leaders = {}, {}
+    for i, s, sig in rows:
+        if s is not None and sig is not None:
+            near = [j for j, other in leaders.setdefault(s, []) if len(set(sig) ^ other) <= k]
+            lead[i] = near[0] if near else i
+            if not near:
+                leaders[s].append((i, set(sig)))
+    sizes = {j: list(lead.values()).count(j) for j in lead.values()}
+    want = {i: (lead[i], sizes[lead[i]]) if i in lead and sizes[lead[i]] > 1 else (None, None) for i, _, _ in rows}
+    assert got == want
+
+
 def test_edit_pairs(spark):
     rows = [("ACDE", 1.0), ("ACDE", 3.0), ("ACDF", 5.0), ("ACD", 0.0), ("WWWW", 9.0)]
     df = spark.createDataFrame(rows, "s string, y double")
