@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from annoframe.operators import leakage, similarity, splits
+from annoframe.plans import base
 
 LETTERS = "ACDEFGHIKLMNPQRSTVWY"
 
@@ -212,6 +213,24 @@ def test_derivative_groups_move_rows_once(spark, monkeypatch, k, waiting, scanne
     assert got == want
 
 
+def shuffles_of_lines(spark, name, monkeypatch):
+    """How many times the query ``name`` reads the lines of orders."""
+    from annoframe.plans import samples
+
+    read, load = [], samples.load
+    monkeypatch.setattr(samples, "load", lambda spark, sf, table: (read.append(table), load(spark, sf, table))[1])
+    out = base.QUERIES[name](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    return read.count("lineitem"), plan.count("l_linenumber"), out
+
+
+def test_derivative_feasibility_has_no_checkpoint_of_annotations(spark, monkeypatch):
+    read, _, out = shuffles_of_lines(spark, "derivative_feasibility", monkeypatch)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert read == 1 and "edit_metadata" not in plan and "ExistingRDD" not in plan and "Scan" not in plan
+    assert out.first().n_rows == 1500
+
+
 def test_edit_pairs(spark):
     rows = [("ACDE", 1.0), ("ACDE", 3.0), ("ACDF", 5.0), ("ACD", 0.0), ("WWWW", 9.0)]
     df = spark.createDataFrame(rows, "s string, y double")
