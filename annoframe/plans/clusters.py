@@ -8,6 +8,7 @@ from annoframe.operators import similarity, splits
 from annoframe.plans.base import load, query, r, rounded, sql_unit
 from annoframe.plans.samples import PRELUDE, sequence_of, signatures
 from annoframe.plans.split_sets import _LCS
+from annoframe.session import settle
 
 THRESHOLD = 0.5
 NAME_THRESHOLD = 0.7
@@ -188,7 +189,8 @@ def derivative_groups(spark, sf):
 )
 def split_by_derivative(spark, sf):
     """Derivative groups stay whole, single rows are split separately (SP7)."""
-    return splits.by_derivative(derived(spark, sf), "id", "derivative_group").select("id", "split")
+    # Read three times: units, cut points, rows.
+    return splits.by_derivative(settle(derived(spark, sf)), "id", "derivative_group").select("id", "split")
 
 
 @query(

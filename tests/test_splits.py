@@ -231,6 +231,12 @@ def test_derivative_feasibility_has_no_checkpoint_of_annotations(spark, monkeypa
     assert out.first().n_rows == 1500
 
 
+def test_split_by_derivative_settles_groups_once(spark, monkeypatch):
+    read, lines, out = shuffles_of_lines(spark, "split_by_derivative", monkeypatch)
+    # The plan goes back to the settled groups, not to the lines.
+    assert read == 1 and lines == 0 and out.count() == 1500
+
+
 def test_edit_pairs(spark):
     rows = [("ACDE", 1.0), ("ACDE", 3.0), ("ACDF", 5.0), ("ACD", 0.0), ("WWWW", 9.0)]
     df = spark.createDataFrame(rows, "s string, y double")
