@@ -237,15 +237,21 @@ def _few_groups(slim: DataFrame, keys: list[str], group: str, codes: DataFrame,
     return drawn.groupBy(*keys, "_block").cogroup(forms.groupBy(*keys, "_of")).applyInArrow(correlated, out_schema)
 
 
-def spearman(df: DataFrame, keys: Sequence[str], group: str, truth: str, pred: str, picks: DataFrame) -> DataFrame:
+def spearman(
+    df: DataFrame, keys: Sequence[str], group: str, truth: str, pred: str, picks: DataFrame, weight: str | None = None
+) -> DataFrame:
     """(keys, replicate, spearman) of the resamples ``picks`` (keys, replicate, group, multiplicity).
 
     Rows with a null truth or prediction take no part. A replicate in which one side is constant has a null Spearman.
+    ``weight`` says of how many equal rows a row is one; such rows are all different and settled.
     """
     keys = list(keys)
     t, p = F.col(truth).cast("double"), F.col(pred).cast("double")
-    slim = df.filter(t.isNotNull() & p.isNotNull()).groupBy(*keys, group, t.alias("_x"), p.alias("_y")).agg(F.count(F.lit(1)).alias("_c"))
-    slim = settle(slim)
+    slim = df.filter(t.isNotNull() & p.isNotNull())
+    if weight is None:
+        slim = settle(slim.groupBy(*keys, group, t.alias("_x"), p.alias("_y")).agg(F.count(F.lit(1)).alias("_c")))
+    else:
+        slim = slim.select(*keys, group, t.alias("_x"), p.alias("_y"), F.col(weight).alias("_c"))
     codes = settle(slim.select(*keys, group).distinct())
     most = codes.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if most <= FEW:

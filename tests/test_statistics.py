@@ -105,6 +105,27 @@ def test_bootstrap_draws_keep_groups_whole(spark):
     assert len(per) == 50 and all(r.n == 3 for r in per)
 
 
+def test_bootstrap_with_spearman_reads_rows_once(spark):
+    rng = random.Random(4)
+    rows = [(f"m{i % 2}", rng.choice("abcdef"), float(rng.randrange(9)), rng.choice([1.5, 2.0, rng.random()])) for i in range(300)]
+    rows += [("m0", "a", None, 1.0), ("m1", "b", 2.0, float("nan")), ("one", "a", 1.0, 3.0), ("flat", "a", 1.0, 3.0), ("flat", "b", 1.0, 4.0)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    plain = spark.createDataFrame(rows, "model string, g string, y_true double, y_pred double")
+    got = stats.group_bootstrap(plain.mapInArrow(counted, plain.schema), ["model"], "g", replicates=50).collect()
+    assert read.value == len(rows)
+    point = metrics.regression(plain.filter("y_true is not null"), ["model"]).join(metrics.spearman(plain, ["model"]), "model", "left").collect()
+    want = {(r.model, m): r[m] for r in point for m in ("r2", "rmse", "mae", "spearman")}
+    found = {(r.model, r.metric): r.estimate for r in got}
+    assert found.keys() == want.keys()
+    assert all(found[k] == (None if want[k] is None else pytest.approx(want[k], abs=1e-9)) for k in want)
+
+
 def test_bootstrap_difference_of_equal_models_is_zero(table):
     _, df = table
     both = df.withColumns({"y_pred_x": F.col("y_pred"), "y_pred_y": F.col("y_pred"), "g": F.col("id") % 9})
