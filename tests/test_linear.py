@@ -106,6 +106,35 @@ def test_every_cutoff_in_one_pass(rows):
         assert {r.sample_id: r.y_pred for r in out if r.cutoff == cut} == pytest.approx(want)
 
 
+def test_cutoffs_are_scored_by_matrices(rows):
+    """Scores come from one product a batch, not from an expression with a term for each column; odd values count as 0."""
+    cutoffs = [2, 5]
+    bad = F.when(F.col("id") % 11 == 0, F.lit(float("nan"))).when(F.col("id") % 13 == 0, F.lit(float("inf"))).when(F.col("id") % 17 == 0, None)
+    df = rows.withColumns(
+        {
+            "a": bad.otherwise(F.col("a")),
+            "train_for": F.filter(F.array(*map(F.lit, cutoffs)), lambda c: c > F.col("yr")),
+            "test_for": F.filter(F.array(*map(F.lit, cutoffs)), lambda c: c <= F.col("yr")),
+        }
+    )
+    sets = {"m": ["a", "c"], "all": COLUMNS}
+    out = models.time_forward_runs(df, "id", "label", cutoffs, sets, "ridge", {"alpha": 1.0})
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    x = X.copy()
+    x[[i for i in range(N) if i % 11 == 0 or i % 13 == 0 or i % 17 == 0], COLUMNS.index("a")] = 0
+    got = {(r.cutoff, r.model, r.sample_id): r.y_pred for r in out.collect()}
+    want = {}
+    for cut in cutoffs:
+        train, test = [i for i in range(N) if i % 7 < cut], [i for i in range(N) if i % 7 >= cut]
+        for name, part in sets.items():
+            at = [COLUMNS.index(c) for c in part]
+            for i, v in zip(test, plain_ridge(x[train][:, at], Y[train], x[test][:, at], 1.0), strict=True):
+                want[cut, name, i] = v
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    nothing = models.time_forward_runs(df, "id", "label", [-1], sets, "ridge", {"alpha": 1.0})
+    assert nothing.count() == 0
+
+
 def test_search_never_reads_rows_again_and_never_sees_test_rows(rows):
     df = rows.withColumn("split", F.when(F.col("id") % 5 == 0, "test").when(F.col("id") % 5 == 1, "val").otherwise("train"))
     cell = models.run_cell(df, "id", "label", COLUMNS, "elasticnet", "m", 3, "s", n_trials=12)
